@@ -184,10 +184,10 @@ def embed_documents(
     put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
     errors = new.where(F.col("error").isNotNull()).select("text_sha1", "error")
     cached = cache_lookup(keyed, read_cache(spark, cache_path), model)
-    return (
-        cached.join(errors, "text_sha1", "left")
-        .select(*documents.columns, "embedding", "error")
-    )
+    joined = cached.join(errors, "text_sha1", "left")
+    no_text = F.when(F.col("embedding").isNull(), F.lit(NO_TEXT))
+    error = F.coalesce("error", no_text).alias("error")
+    return joined.select(*documents.columns, "embedding", error)
 
 
 def read_cache(spark, path: str) -> DataFrame:
