@@ -6,27 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The 29 characters that count as whitespace when text is cleaned
-# or split. Written out because a plain \s misses 23 of them, and because a
-# character class is much cheaper to match than the (?U) flag.
-WHITESPACE = (
-    r"\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a"
-    r"\u2028\u2029\u202f\u205f\u3000"
+# or split (a plain \s misses 23 of them).
+WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+# The same set as a regular expression, other than the plain space. Latin-1
+# members are listed one by one, which the matcher keeps as a bit set, and the
+# others sit behind one range test that ordinary letters fail at once.
+_OTHER = (
+    r"\u0009\u000a\u000b\u000c\u000d\u001c\u001d\u001e\u001f\u0085\u00a0"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 )
+_ANY = f"[{_OTHER} ]"
+# Runs that are not already a single plain space.
+_UNTIDY = f"[{_OTHER}]{_ANY}*+| {_ANY}++"
 
 
 def clean_text(text: Column) -> Column:
     """Collapse every whitespace run to one space and strip both ends."""
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, _UNTIDY, " "))
 
 
 def strip(text: Column) -> Column:
     """Strip whitespace of any kind from both ends."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def embed_input(text: Column) -> Column:
     """Newlines to spaces, then strip: the form in which text is embedded."""
-    return strip(F.translate(text, "\n", " "))
+    return strip(F.replace(text, F.lit("\n"), F.lit(" ")))
 
 
 def text_id(text: Column) -> Column:
@@ -40,31 +47,28 @@ def content_id(content: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Whitespace tokens; no tokens for blank text."""
-    return F.filter(F.split(clean_text(text), " "), lambda w: w != "")
+    """Whitespace tokens. Blank text gives one empty token, which is no word."""
+    return F.split(strip(text), _ANY + "++")
 
 
 def token_count(text: Column) -> Column:
-    """Number of whitespace tokens, without building the token array."""
-    cleaned = clean_text(text)
-    spaces = F.length(cleaned) - F.length(F.replace(cleaned, F.lit(" "), F.lit("")))
-    return F.when(cleaned == "", F.lit(0)).otherwise(spaces + 1).cast("int")
+    """Number of whitespace tokens, none for blank text."""
+    return F.when(strip(text) == "", F.lit(0)).otherwise(F.size(tokens(text)))
 
 
-def chunk_words(words: Column, size: int) -> Column:
-    """Cut a token array into space-joined runs of at most ``size`` tokens."""
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(size))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<string>"))
+def chunk_words(cleaned: Column, size: int) -> Column:
+    """Cut cleaned text into runs of at most ``size`` words.
 
+    One pass of a regular expression that never backtracks. Slices of a token
+    array would need the array once per chunk, and it is costly to build.
+    """
+    run = f"[^ ]++(?: [^ ]++){{0,{int(size) - 1}}}+"
+    return F.regexp_extract_all(cleaned, F.lit(run), F.lit(0))
 
-def chunk_chars(text: Column, size: int) -> Column:
-    """Cut text into runs of at most ``size`` code points (never mid-character).
 
-    One pass of a regular expression: ``substring`` at growing offsets would
-    walk the UTF-8 bytes from the start for every chunk.
-    """
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{int(size)}}}"), F.lit(0))
+def chunk_chars(text: Column, size: int) -> Column:
+    """Cut text into runs of at most ``size`` code points, never mid-character."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{int(size)}}}+"), F.lit(0))
 
 
 def drop_blank(chunks: Column) -> Column:

@@ -41,9 +41,14 @@ def l2_norm(v: Column) -> Column:
 
 
 def normalize(v: Column, norm: Column | None = None) -> Column:
-    """Scale to unit length; a zero vector stays as it is."""
+    """Scale to unit length; a zero vector stays as it is.
+
+    The norm is handed over as an array: inside the lambda it would be computed
+    again for every component.
+    """
     norm = l2_norm(v) if norm is None else norm
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    divisor = F.when(norm > 0, norm).otherwise(F.lit(1.0))
+    return F.zip_with(v, F.array_repeat(divisor, F.size(v)), lambda x, n: x / n)
 
 
 def l2_score(distance: Column) -> Column:

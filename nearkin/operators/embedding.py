@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as X
-from nearkin.sources.storage import durable, read_or_empty
+from nearkin.sources.storage import durable, read_or_empty, spread
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -31,28 +30,36 @@ EMBEDDED = "embedding array<double>, error string"
 _LIST = pa.list_(pa.float64())
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(word: str, dim: int) -> int:
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dim
-
-
 class HashedWords:
     """The built-in embedder: hashed word counts, scaled to unit length.
 
     Deterministic and free of any service, for tests and offline use.
     """
 
+    _REMEMBERED = 1 << 18
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._buckets: dict[str, int] = {}
 
     @property
     def model(self) -> str:
         return f"hashed-words-{self.dim}"
 
+    def _bucket(self, word: str) -> int:
+        found = self._buckets.get(word)
+        if found is None:
+            digest = hashlib.md5(word.encode()).digest()
+            found = int.from_bytes(digest[:4], "big") % self.dim
+            if len(self._buckets) >= self._REMEMBERED:
+                self._buckets.clear()
+            self._buckets[word] = found
+        return found
+
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            buckets = [_bucket(w, self.dim) for w in text.split()]
+            buckets = [self._bucket(w) for w in text.split()]
             row += np.bincount(buckets, minlength=self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms > 0, norms, 1.0)
@@ -67,7 +74,7 @@ def chunks_of(
     a byte-pair tokenizer with the same limit, and never split a character.
     """
     if unit == "word":
-        return X.drop_blank(X.chunk_words(X.tokens(text), max_tokens))
+        return X.chunk_words(X.clean_text(text), max_tokens)
     if unit == "char":
         return X.drop_blank(X.chunk_chars(text, max_tokens))
     raise ValueError(f"unit must be 'word' or 'char', not {unit!r}")
@@ -123,7 +130,8 @@ def pooled_embedding(
                 names=["embedding", "error"],
             )
 
-    return run(chunks)
+    # never evaluated twice, whatever filter is put on its result
+    return run.asNondeterministic()(chunks)
 
 
 def embed_texts(
@@ -139,7 +147,7 @@ def embed_texts(
 
 
 def _with_embedding(df, chunks: Column, embedder, batch_size) -> DataFrame:
-    out = df.withColumn("_e", pooled_embedding(chunks, embedder, batch_size))
+    out = spread(df).withColumn("_e", pooled_embedding(chunks, embedder, batch_size))
     return out.select(*df.columns, "_e.embedding", "_e.error")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearkin.functions import vectors as V
+from nearkin.functions.vectors import COSINE, L2
 from nearkin.sources.storage import durable
 
 MAX_BROADCAST_QUERIES = 10_000
@@ -65,14 +66,14 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def _closeness(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """n x m closeness (higher is nearer) as one matrix product."""
     near = x @ q.T
-    if metric == V.L2:
+    if metric == L2:
         near = 2 * near - (x * x).sum(1)[:, None] - (q * q).sum(1)[None, :]
     return np.nan_to_num(near, nan=-np.inf)
 
 
 def _exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """Row-by-row closeness, independent of where a row sits in a block."""
-    return (x * q).sum(1) if metric == V.COSINE else -((x - q) ** 2).sum(1)
+    return (x * q).sum(1) if metric == COSINE else -((x - q) ** 2).sum(1)
 
 
 def _rounding_slack(x: np.ndarray, q: np.ndarray, metric: str) -> float:
@@ -81,7 +82,7 @@ def _rounding_slack(x: np.ndarray, q: np.ndarray, metric: str) -> float:
         return 0.0
     xn = np.nanmax((x * x).sum(1)) ** 0.5
     qn = np.nanmax((q * q).sum(1)) ** 0.5
-    size = xn * qn if metric == V.COSINE else (xn + qn) ** 2
+    size = xn * qn if metric == COSINE else (xn + qn) ** 2
     return 8 * (x.shape[1] + 4) * np.finfo(float).eps * size + 10.0**-SCORE_DECIMALS
 
 
@@ -138,7 +139,7 @@ class _TopK:
 
 
 def _signed(near: np.ndarray, metric: str) -> np.ndarray:
-    return near + 0.0 if metric == V.COSINE else 0.0 - near
+    return near + 0.0 if metric == COSINE else 0.0 - near
 
 
 def _hits(top: _TopK, query_ids: pa.Array, carry: Sequence[str]) -> pa.Table | None:
@@ -177,7 +178,7 @@ def knn(
     table: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    metric: str = V.COSINE,
+    metric: str = COSINE,
     *,
     id_col: str = "row_id",
     vector_col: str = "v",
@@ -209,7 +210,7 @@ def knn(
         partial = _block_knn(
             left, queries, k, metric, id_col, carry, schema, block_bytes
         )
-    best_first = F.desc("raw_score") if metric == V.COSINE else F.asc("raw_score")
+    best_first = F.desc("raw_score") if metric == COSINE else F.asc("raw_score")
     order = Window.partitionBy("query_id").orderBy(best_first, F.asc(id_col))
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -220,7 +221,7 @@ def knn(
 
 
 def _prepare(x: np.ndarray, metric: str) -> np.ndarray:
-    return unit_rows(x) if metric == V.COSINE else x
+    return unit_rows(x) if metric == COSINE else x
 
 
 def _broadcast_knn(left, small, k, metric, id_col, carry, schema) -> DataFrame:
@@ -286,7 +287,7 @@ def knn_overfetch(
     table: DataFrame,
     queries: DataFrame,
     k: int = 5,
-    metric: str = V.COSINE,
+    metric: str = COSINE,
     *,
     keep: Callable[[DataFrame], DataFrame] | None = None,
     id_col: str = "row_id",

@@ -2,8 +2,8 @@
 
 No pair matrix is built. With ``u`` the unit vectors and ``S`` their sum, the
 average of a document to the others is ``(u.S - u.u) / (N - 1)``, the mean over
-the full matrix is ``S.S / N^2``, and its maximum is the largest ``u.u``, since
-the diagonal is part of it. Only the minimum has no closed form.
+the full matrix is ``S.S / N^2``, and its maximum is one as soon as any vector is
+not zero, since the diagonal is part of it. Only the minimum has no closed form.
 """
 
 from __future__ import annotations
@@ -27,41 +27,48 @@ _CELLS = 4_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 
 
-def sum_vector(units: DataFrame, u: str = "u") -> DataFrame:
-    """One row ``(total, n)``: the sum of all vectors and their number.
+def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
+    """One row ``(total, n)``: the sum of all unit vectors and their number.
 
     Summed per position with a map-side combine, so a task shuffles one row per
     dimension whatever it read.
     """
+    v = V.as_double(F.col(vector_col))
     per_position = (
-        units.select(F.posexplode(u).alias("pos", "x"))
+        documents.select(v.alias("v"), V.l2_norm(v).alias("norm"))
+        .select("norm", F.posexplode_outer("v").alias("pos", "x"))
         .groupBy("pos")
-        .agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+        .agg(
+            F.sum(F.when(F.col("norm") > 0, F.col("x") / F.col("norm"))).alias("x"),
+            F.count("*").alias("n"),
+        )
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("x", F.lit(0.0)).alias("x"))))
     return per_position.agg(
         F.transform(ordered, lambda s: s["x"]).alias("total"), F.max("n").alias("n")
     )
 
 
-def _sums(units: DataFrame, u: str) -> Column:
+def _sums(documents: DataFrame, vector_col: str) -> Column:
     """The one row of ``sum_vector`` as a scalar subquery."""
-    return sum_vector(units, u).select(F.struct("total", "n")).scalar()
+    return sum_vector(documents, vector_col).select(F.struct("total", "n")).scalar()
 
 
 def average_similarity(documents: DataFrame, vector_col: str = "v") -> DataFrame:
     """Add ``avg_sim``: mean cosine to every other document, NULL if alone.
 
-    Two reads of the vectors and no shuffle of documents.
+    Two reads of the vectors and no shuffle of documents. ``u.S`` is taken as
+    ``v.S / |v|``, so no scaled copy of a vector is made.
     """
-    v = F.col(vector_col)
-    units = documents.select(V.normalize(V.as_double(v)).alias("u"))
-    sums = _sums(units, "u")
-    u = V.normalize(V.as_double(v))
-    others = F.nullif(sums["n"] - 1, F.lit(0))
-    out = documents.withColumn("_u", u).withColumn("_s", sums["total"])
-    average = (V.dot(F.col("_u"), F.col("_s")) - V.dot(F.col("_u"), F.col("_u"))) / others
-    return out.withColumn("avg_sim", average).drop("_u", "_s")
+    v = V.as_double(F.col(vector_col))
+    with_sums = documents.withColumn("_s", _sums(documents, vector_col))
+    parts = with_sums.withColumns(
+        {"_vs": V.dot(v, F.col("_s.total")), "_norm": V.l2_norm(v)}
+    )
+    others = F.nullif(F.col("_s.n") - 1, F.lit(0))
+    to_all = F.when(F.col("_norm") > 0, F.col("_vs") / F.col("_norm") - 1.0)
+    average = F.coalesce(to_all, F.lit(0.0)) / others
+    return parts.withColumn("avg_sim", average).drop("_s", "_vs", "_norm")
 
 
 def rank_universal(scored: DataFrame) -> DataFrame:
@@ -82,15 +89,18 @@ def similarity_stats(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Mean, minimum and maximum cosine over the full matrix, diagonal included."""
-    units = documents.select(V.normalize(V.as_double(F.col(vector_col))).alias("u"))
-    sums = _sums(units, "u")
+    v = V.as_double(F.col(vector_col))
+    units = documents.select(V.normalize(v).alias("u"))
     low = min_cosine(
         units, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes
     )
-    return units.agg(F.max(V.dot(F.col("u"), F.col("u"))).alias("max_sim")).select(
-        (V.dot(sums["total"], sums["total"]) / (sums["n"] * sums["n"])).alias("mean_sim"),
-        F.lit(low).alias("min_sim"),
-        "max_sim",
+    total, n = F.col("total"), F.col("n")
+    # cosine to itself is one for every vector that is not zero
+    longest = documents.agg(F.max(V.l2_norm(v)).alias("longest")).scalar()
+    return sum_vector(documents, vector_col).select(
+        (V.dot(total, total) / (n * n)).alias("mean_sim"),
+        F.lit(low).cast("double").alias("min_sim"),
+        F.when(longest > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("max_sim"),
     )
 
 

@@ -10,8 +10,11 @@ from nearkin.functions import text as X
 
 def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, count`` over all texts; counted map-side, so hot words are cheap."""
-    words = documents.select(F.explode(X.tokens(F.col(text_col))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("count"))
+    # outer, because a plain explode would test the token array for emptiness in
+    # a filter of its own and so build it more than once
+    split = F.explode_outer(X.tokens(F.col(text_col)))
+    words = documents.select(split.alias("word"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("count"))
 
 
 def most_common(counts: DataFrame, n: int = 20) -> DataFrame:

@@ -42,7 +42,8 @@ def vector_rows(documents: DataFrame, metric: str) -> DataFrame:
     V.check_metric(metric)
     dim = dimension(documents)
     v = V.as_double(V.require_vector(F.col("embedding"), F.col("id"), dim))
-    checked = documents.select(F.col("id").alias("uuid"), "filename", v.alias("v"))
+    given = [c for c in ("row_id",) if c in documents.columns]
+    checked = documents.select(*given, F.col("id").alias("uuid"), "filename", v.alias("v"))
     normed = checked.withColumn("norm", V.l2_norm(F.col("v")))
     stored = V.normalize(F.col("v"), F.col("norm")) if metric == V.COSINE else F.col("v")
     return normed.withColumn("v", stored).withColumn("metric", F.lit(metric))
@@ -53,11 +54,14 @@ def build_index(
 ) -> None:
     """Write the vector table, replacing whatever is at ``path``.
 
-    Dense ids follow the order of the input and take one more write and read;
-    otherwise ids are unique and increasing, but with gaps.
+    Unique row ids the documents bring along are kept. Otherwise dense ids
+    follow the order of the input and take one more write and read; without
+    ``dense_ids`` they are unique and increasing, but with gaps.
     """
     rows = vector_rows(documents, metric)
-    if dense_ids:
+    if "row_id" in rows.columns:
+        numbered = rows
+    elif dense_ids:
         numbered = number_rows(durable(rows, "vectors"))
     else:
         numbered = rows.withColumn("row_id", F.monotonically_increasing_id())

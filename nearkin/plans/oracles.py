@@ -131,9 +131,11 @@ _WORDS = f"SELECT unnest(string_split({_clean('text')}, ' ')) AS word"
 
 # Power iteration by repeated squaring: the square of a square ... of the
 # covariance converges to the projector on the leading axis.
-_PCA = f"""
-WITH RECURSIVE {_VECTORS},
-  long AS (SELECT row_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM scaled),
+def _pca(inputs: str, source: str) -> str:
+    """CTEs ending in ``points(row_id, pc1, pc2)``."""
+    return f"""
+WITH RECURSIVE {inputs},
+  long AS (SELECT row_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {source}),
   mean AS (SELECT pos, avg(x) AS m FROM long GROUP BY pos),
   centred AS (SELECT row_id, l.pos, x - m AS x FROM long l JOIN mean USING (pos)),
   cov AS (
@@ -409,11 +411,10 @@ SELECT round(avg(n), 6) AS mean_tokens, round(stddev_pop(n), 6) AS std_tokens,
        count(DISTINCT text) AS unique_texts, count(*) AS total_texts
 FROM n
 """,
-    "pca_2d": f"{_PCA} SELECT row_id, pc1, pc2 FROM points",
+    "pca_2d": f"{_pca(_VECTORS, 'scaled')} SELECT row_id, pc1, pc2 FROM points",
     "role_labels": f"WITH {_CORPUS}, {_ROLES} SELECT row_id, filename, role FROM roles",
     "similarity_map": f"""
-{_PCA.replace("scaled)", "corpus_vectors)").replace("FROM scaled", "FROM corpus")
-     .replace("WITH RECURSIVE " + _VECTORS, "WITH RECURSIVE " + _CORPUS)},
+{_pca(_CORPUS, 'corpus')},
   {_ROLES}
 SELECT row_id, role, pc1, pc2 FROM points JOIN roles USING (row_id)
 """,

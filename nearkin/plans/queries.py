@@ -94,7 +94,8 @@ def _page_files(pages: DataFrame) -> DataFrame:
 def _document_index(spark, sf_dir, metric: str) -> tuple[DataFrame, str]:
     """Embed the documents, build a vector table and open it."""
     embedded = E.embed_documents(_documents(spark, sf_dir), EMBEDDER)
-    records = embedded.withColumn("id", F.col("doc_id").cast("string"))
+    doc_id = F.col("doc_id")
+    records = embedded.withColumns({"id": doc_id.cast("string"), "row_id": doc_id})
     path = scratch_path(spark, "index")
     index.build_index(records, path, metric)
     return index.open_index(spark, path)
@@ -112,9 +113,8 @@ def _benchmark_texts(spark, sf_dir) -> DataFrame:
 
 
 def _long_form(df: DataFrame, key: str, vector_col: str = "embedding") -> DataFrame:
-    return df.select(key, F.posexplode(vector_col).alias("pos", "x")).select(
-        key, "pos", _r6("x").alias("x")
-    )
+    long = df.select(key, F.posexplode_outer(vector_col).alias("pos", "x"))
+    return long.select(key, "pos", _r6("x").alias("x"))
 
 
 def _rounded_hits(hits: DataFrame) -> DataFrame:
@@ -149,8 +149,8 @@ def _chunks(spark, sf_dir, size, unit):
     d = _read(spark, sf_dir, "documents")
     cut = E.chunks_of(F.col("text"), size, unit).alias("chunks")
     return d.select("doc_id", cut).select(
-        "doc_id", F.posexplode("chunks").alias("chunk_no", "chunk")
-    )
+        "doc_id", F.posexplode_outer("chunks").alias("chunk_no", "chunk")
+    ).where(F.col("chunk").isNotNull())
 
 
 def chunk_words(spark, sf_dir):

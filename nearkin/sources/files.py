@@ -90,4 +90,5 @@ def extracted(content: Column, extractor: Callable[[bytes], str]) -> Column:
                 names=["text", "error"],
             )
 
-    return run(content)
+    # never evaluated twice, whatever filter is put on its result
+    return run.asNondeterministic()(content)

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_SMALL_PER_CORE = 32 << 20
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_base: str | None = None
 
@@ -83,3 +84,16 @@ def read_or_empty(
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share a small input out over all cores before costly per-row work.
+
+    A small file is often a single row group and so a single task. Only inputs
+    that the planner estimates at a few megabytes per core are shuffled for it;
+    larger ones come in enough parts as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * _SMALL_PER_CORE else df
