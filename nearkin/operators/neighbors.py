@@ -24,10 +24,11 @@ from pyspark.sql import types as T
 
 from nearkin.functions import vectors as V
 from nearkin.functions.vectors import COSINE, L2
-from nearkin.sources.storage import durable
+from nearkin.sources.storage import bounded_rows, durable, settled
 
 MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_HITS = 200_000
 BLOCK_BYTES = 64 << 20
 
 # Scores are compared at nine decimals, finer than single precision, so equal
@@ -54,7 +55,7 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.nda
     width = dim if dim is not None else (int(sizes[0]) if len(sizes) else 0)
     if len(sizes) and (sizes != width).any():
         raise ValueError(f"a vector does not have {width} dimensions")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width)
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -165,15 +166,6 @@ def _block_of(keys: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(keys), F.lit(blocks)).cast("int")
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """All rows if there are at most ``max_rows``; otherwise nothing.
-
-    The limit only keeps an oversized result off the driver; no result is cut.
-    """
-    rows = df.limit(max_rows + 1).toArrow()
-    return rows if rows.num_rows <= max_rows else None
-
-
 def knn(
     table: DataFrame,
     queries: DataFrame,
@@ -310,9 +302,14 @@ def with_metadata(
     """Add ``filename`` to hits by row id.
 
     A hit without an entry gets ``default``; with ``default=None`` it fails the
-    job instead. Neither side is hinted: the planner broadcasts by size.
+    job instead. Hits are few beside the map, so as long as their number is
+    within bounds they are sent to the map, which is then not shuffled.
     """
-    joined = hits.join(id_map.select(id_col, "filename"), id_col, "left")
+    names = id_map.select(id_col, "filename")
+    hits, few = settled(hits, MAX_BROADCAST_HITS)
+    if few:
+        names = names.join(F.broadcast(hits.select(id_col).distinct()), id_col, "left_semi")
+    joined = hits.join(names, id_col, "left")
     if default is not None:
         missing = F.lit(default)
     else:

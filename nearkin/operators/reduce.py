@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
+from nearkin.sources.storage import settled
+
+MAX_BROADCAST_ROLES = 10_000
 
 QUERY, NEIGHBOUR, BACKGROUND = "query", "neighbour", "background"
 
@@ -53,6 +56,10 @@ def label_roles(points: DataFrame, roles: DataFrame) -> DataFrame:
     A file that is both query and neighbour is the query. All rows of a
     filename get its role.
     """
+    return _with_roles(points, settled(roles, MAX_BROADCAST_ROLES)[0])
+
+
+def _with_roles(points: DataFrame, roles: DataFrame) -> DataFrame:
     # 'query' is the larger of the two words, so max() is the precedence rule
     one = roles.groupBy("filename").agg(F.max("role").alias("role"))
     role = F.coalesce("role", F.lit(BACKGROUND))
@@ -77,6 +84,7 @@ def similarity_map(
     ``require_query`` makes an absent query file an error; ``warn_missing``
     warns about absent neighbours, which are otherwise passed over.
     """
+    roles, _ = settled(roles, MAX_BROADCAST_ROLES)
     if require_query or warn_missing:
         # at most one small row per requested name
         absent = missing_roles(documents, roles).toLocalIterator()
@@ -85,4 +93,4 @@ def similarity_map(
                 raise ValueError(f"query file {row.filename!r} not found")
             if row.role == NEIGHBOUR and warn_missing:
                 warnings.warn(f"neighbour {row.filename!r} not found", stacklevel=2)
-    return label_roles(pca_2d(documents, vector_col), roles)
+    return _with_roles(pca_2d(documents, vector_col), roles)

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.operators.neighbors import BLOCK_BYTES, bounded_rows, matrix, unit_rows
-from nearkin.sources.storage import durable
+from nearkin.operators.neighbors import BLOCK_BYTES, matrix, unit_rows
+from nearkin.sources.storage import bounded_rows, durable
 
 _START_PIVOTS = 16
 _ROUNDS = 3
@@ -28,7 +28,7 @@ MAX_BROADCAST_BYTES = 64 << 20
 
 
 def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
-    """One row ``(total, n)``: the sum of all unit vectors and their number.
+    """One row ``(total, n, longest)``: sum of unit vectors, number, largest norm.
 
     Summed per position with a map-side combine, so a task shuffles one row per
     dimension whatever it read.
@@ -41,11 +41,14 @@ def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
         .agg(
             F.sum(F.when(F.col("norm") > 0, F.col("x") / F.col("norm"))).alias("x"),
             F.count("*").alias("n"),
+            F.max("norm").alias("longest"),
         )
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("x", F.lit(0.0)).alias("x"))))
     return per_position.agg(
-        F.transform(ordered, lambda s: s["x"]).alias("total"), F.max("n").alias("n")
+        F.transform(ordered, lambda s: s["x"]).alias("total"),
+        F.max("n").alias("n"),
+        F.max("longest").alias("longest"),
     )
 
 
@@ -95,12 +98,10 @@ def similarity_stats(
         units, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes
     )
     total, n = F.col("total"), F.col("n")
-    # cosine to itself is one for every vector that is not zero
-    longest = documents.agg(F.max(V.l2_norm(v)).alias("longest")).scalar()
     return sum_vector(documents, vector_col).select(
         (V.dot(total, total) / (n * n)).alias("mean_sim"),
         F.lit(low).cast("double").alias("min_sim"),
-        F.when(longest > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("max_sim"),
+        F.when(F.col("longest") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("max_sim"),
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from nearkin.functions import vectors as V
 from nearkin.sources.storage import durable
 
+_MAX_BROADCAST_FILES = 100_000
+
 
 def dimension(documents: DataFrame, vector_col: str = "embedding") -> int | None:
     """Length of the vectors, from the first one; each row is held to it later."""
@@ -28,16 +30,21 @@ def number_rows(stored: DataFrame, id_col: str = "row_id") -> DataFrame:
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")
     offsets = per_file.select("_f", offset)
+    if len(stored.inputFiles()) <= _MAX_BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
     number = (F.col("_o") + F.col("_i")).alias(id_col)
     return at.join(offsets, "_f").select(number, *stored.columns)
 
 
-def vector_rows(documents: DataFrame, metric: str) -> DataFrame:
+def vector_rows(
+    documents: DataFrame, metric: str, single_precision: bool = False
+) -> DataFrame:
     """``uuid, filename, v, norm, metric`` from ``id, filename, embedding``.
 
     A record without an embedding, or with another dimension than the first,
     fails the job by name. For cosine the vectors are stored at unit length;
-    ``norm`` keeps the original one.
+    ``norm`` keeps the original one. ``single_precision`` halves the table at
+    the price of scores good to about seven digits.
     """
     V.check_metric(metric)
     dim = dimension(documents)
@@ -46,11 +53,18 @@ def vector_rows(documents: DataFrame, metric: str) -> DataFrame:
     checked = documents.select(*given, F.col("id").alias("uuid"), "filename", v.alias("v"))
     normed = checked.withColumn("norm", V.l2_norm(F.col("v")))
     stored = V.normalize(F.col("v"), F.col("norm")) if metric == V.COSINE else F.col("v")
+    if single_precision:
+        stored = stored.cast("array<float>")
     return normed.withColumn("v", stored).withColumn("metric", F.lit(metric))
 
 
 def build_index(
-    documents: DataFrame, path: str, metric: str, *, dense_ids: bool = True
+    documents: DataFrame,
+    path: str,
+    metric: str,
+    *,
+    dense_ids: bool = True,
+    single_precision: bool = False,
 ) -> None:
     """Write the vector table, replacing whatever is at ``path``.
 
@@ -58,7 +72,7 @@ def build_index(
     follow the order of the input and take one more write and read; without
     ``dense_ids`` they are unique and increasing, but with gaps.
     """
-    rows = vector_rows(documents, metric)
+    rows = vector_rows(documents, metric, single_precision)
     if "row_id" in rows.columns:
         numbered = rows
     elif dense_ids:

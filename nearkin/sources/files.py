@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 
 EXTRACTED = "text string, error string"
 
+# Fixed value: the columns of Spark's binary file source.
+_BINARY_FILE = (
+    "path string, modificationTime timestamp, length bigint, content binary"
+)
+
 
 def has_suffix(filename: Column, suffix: str) -> Column:
     """Case-insensitive suffix test."""
@@ -55,10 +60,21 @@ def read_folder(
 
 
 def stream_folder(
-    spark: SparkSession, folder: str, suffix: str = ".pdf", literal: str | None = None
+    spark: SparkSession,
+    folder: str,
+    suffix: str = ".pdf",
+    literal: str | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """The same rows as a stream of newly arrived files."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", _glob(suffix))
+    """The same rows as a stream of newly arrived files.
+
+    ``max_files`` bounds one micro-batch, so a large backlog is worked off in
+    steps that each commit their progress.
+    """
+    raw = spark.readStream.format("binaryFile").schema(_BINARY_FILE)
+    raw = raw.option("pathGlobFilter", _glob(suffix))
+    if max_files is not None:
+        raw = raw.option("maxFilesPerTrigger", max_files)
     return _select_files(raw.load(folder), suffix, literal)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -86,6 +87,28 @@ def read_or_empty(
         return spark.createDataFrame([], schema)
 
 
+def bounded_rows(df: DataFrame, max_rows: int) -> pa.Table | None:
+    """All rows if there are at most ``max_rows``; otherwise nothing.
+
+    The limit only keeps an oversized result off the driver; no result is cut.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return rows if rows.num_rows <= max_rows else None
+
+
+def settled(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """A small result computed now, so that the planner knows how small it is.
+
+    Estimates after Python code or windows are far too high, and a join with
+    such a result would shuffle the large side for nothing. Anything above
+    ``max_rows`` stays as it is. The flag tells which.
+    """
+    rows = bounded_rows(df, max_rows)
+    if rows is None:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema), True
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share a small input out over all cores before costly per-row work.
 

@@ -48,8 +48,9 @@ def start_folder_ingest(
     *,
     suffix: str = ".pdf",
     literal: str | None = None,
+    max_files: int | None = None,
     **options,
 ) -> StreamingQuery:
     """``start_ingest`` over the matching files of a folder."""
-    files = stream_folder(spark, folder, suffix, literal)
+    files = stream_folder(spark, folder, suffix, literal, max_files)
     return start_ingest(files, path, checkpoint, embedder, **options)

@@ -1,6 +1,5 @@
-"""Run registered queries beside their SQL and compare whole results."""
+"""Whole results of a Spark query and of SQL in comparable form."""
 
-import math
 import os
 
 import duckdb
@@ -16,20 +15,16 @@ def connect(sf_dir):
 
 
 def _plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 6) + 0.0
-    return value
+    return round(value, 6) + 0.0 if isinstance(value, float) else value
 
 
 def _rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(tuple(_plain(r[i]) for i in order) for r in rows) \
-        if rows and None not in {v for r in rows for v in r} else sorted(
-            (tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
+    return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
 def spark_rows(df):
-    return sorted(df.columns), _rows(df.columns, [tuple(r) for r in df.collect()])
+    return sorted(df.columns), _rows(df.columns, df.collect())
 
 
 def sql_rows(con, sql):
@@ -39,5 +34,4 @@ def sql_rows(con, sql):
 
 
 def sql_types(con, sql):
-    cursor = con.execute(f"DESCRIBE {sql}")
-    return {r[0]: r[1] for r in cursor.fetchall()}
+    return {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
