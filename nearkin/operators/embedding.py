@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as X
-from nearkin.sources.storage import durable, read_or_empty, spread
+from nearkin.sources.storage import durable, read_or_empty, restrict, spread
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -185,13 +185,15 @@ def embed_documents(
         raise ValueError("a cache needs the model's name")
     spark = documents.sparkSession
     keyed = durable(documents.withColumn("text_sha1", X.text_id(text)), "to-embed")
-    misses = cache_misses(keyed, read_cache(spark, cache_path), model, text_col)
+    known = restrict(read_cache(spark, cache_path), keyed, "text_sha1")
+    misses = cache_misses(keyed, known, model, text_col)
     new = _with_embedding(misses, chunks(text), embedder, batch_size)
     new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
     fresh = new.where(F.col("error").isNull())
     put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
     errors = new.where(F.col("error").isNotNull()).select("text_sha1", "error")
-    cached = cache_lookup(keyed, read_cache(spark, cache_path), model)
+    known = restrict(read_cache(spark, cache_path), keyed, "text_sha1")
+    cached = cache_lookup(keyed, known, model)
     joined = cached.join(errors, "text_sha1", "left")
     no_text = F.when(F.col("embedding").isNull(), F.lit(NO_TEXT))
     error = F.coalesce("error", no_text).alias("error")
@@ -216,7 +218,10 @@ def _of_model(cache: DataFrame, model: str) -> DataFrame:
 
 
 def cache_lookup(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """Left join on the text's hash: ``embedding`` is NULL on a miss."""
+    """Left join on the text's hash: ``embedding`` is NULL on a miss.
+
+    For a batch that is small beside the cache, ``restrict`` the cache first.
+    """
     return keyed.join(_of_model(cache, model), "text_sha1", "left")
 
 

@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from nearkin.sources.storage import (
+    MAX_BROADCAST_KEYS,
+    planned_bytes,
+    restrict,
+    settled,
+)
+
+# Spark's own default limit for broadcasting a side by its estimated size.
+_BROADCAST_BYTES = 10 << 20
 
 KEEP, FIRST = "keep", "first"
 
@@ -11,10 +20,17 @@ KEEP, FIRST = "keep", "first"
 def new_only(batch: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not stored yet.
 
-    An anti join without a hint: a small id list is broadcast by its size, a
-    large one is shuffled and a hot key on the batch side is split at run time.
+    A stored id list small enough to broadcast is left to the planner. A larger
+    one is first cut down to the ids of the batch, at the price of reading the
+    batch's keys once more, so that the batch's wide rows need no shuffle. If the
+    batch has too many keys for that, both are shuffled and a hot key on the
+    batch side is split at run time.
     """
-    return batch.join(existing.select(key), key, "left_anti")
+    existing = existing.select(key)
+    if planned_bytes(existing) > _BROADCAST_BYTES:
+        existing = restrict(existing, batch, key)
+        existing, _ = settled(existing.distinct(), MAX_BROADCAST_KEYS)
+    return batch.join(existing, key, "left_anti")
 
 
 def first_of_each(batch: DataFrame, order: str, key: str = "id") -> DataFrame:

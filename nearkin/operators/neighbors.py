@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from nearkin.functions import vectors as V
 from nearkin.functions.vectors import COSINE, L2
-from nearkin.sources.storage import bounded_rows, durable, settled
+from nearkin.sources.storage import bounded_rows, durable, restrict, settled
 
 MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_BYTES = 64 << 20
@@ -305,10 +305,8 @@ def with_metadata(
     job instead. Hits are few beside the map, so as long as their number is
     within bounds they are sent to the map, which is then not shuffled.
     """
-    names = id_map.select(id_col, "filename")
-    hits, few = settled(hits, MAX_BROADCAST_HITS)
-    if few:
-        names = names.join(F.broadcast(hits.select(id_col).distinct()), id_col, "left_semi")
+    hits, _ = settled(hits, MAX_BROADCAST_HITS)
+    names = restrict(id_map.select(id_col, "filename"), hits, id_col)
     joined = hits.join(names, id_col, "left")
     if default is not None:
         missing = F.lit(default)

@@ -13,7 +13,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
@@ -23,6 +23,7 @@ from nearkin.sources.storage import bounded_rows, durable
 _START_PIVOTS = 16
 _ROUNDS = 3
 _ANGLE_SLACK = 1e-6
+_LIST = pa.list_(pa.float64())
 _CELLS = 4_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -30,21 +31,34 @@ MAX_BROADCAST_BYTES = 64 << 20
 def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
     """One row ``(total, n, longest)``: sum of unit vectors, number, largest norm.
 
-    Summed per position with a map-side combine, so a task shuffles one row per
-    dimension whatever it read.
+    Every task adds up its own vectors and hands on a single row, so what is
+    shuffled does not depend on the number of documents.
     """
-    v = V.as_double(F.col(vector_col))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n, longest = None, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch[0], None if total is None else len(total))
+            part = unit_rows(x).sum(axis=0)
+            total = part if total is None else total + part
+            n += len(x)
+            longest = max(longest, float(np.sqrt((x * x).sum(axis=1)).max()))
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([total], _LIST), pa.array([n]), pa.array([longest])],
+                names=["total", "n", "longest"],
+            )
+
+    schema = "total array<double>, n long, longest double"
+    parts = documents.select(vector_col).mapInArrow(add_up, schema)
     per_position = (
-        documents.select(v.alias("v"), V.l2_norm(v).alias("norm"))
-        .select("norm", F.posexplode_outer("v").alias("pos", "x"))
+        parts.select(F.posexplode_outer("total").alias("pos", "x"), "n", "longest")
         .groupBy("pos")
-        .agg(
-            F.sum(F.when(F.col("norm") > 0, F.col("x") / F.col("norm"))).alias("x"),
-            F.count("*").alias("n"),
-            F.max("norm").alias("longest"),
-        )
+        .agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.max("longest").alias("longest"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("x", F.lit(0.0)).alias("x"))))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
     return per_position.agg(
         F.transform(ordered, lambda s: s["x"]).alias("total"),
         F.max("n").alias("n"),
@@ -52,26 +66,23 @@ def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
     )
 
 
-def _sums(documents: DataFrame, vector_col: str) -> Column:
-    """The one row of ``sum_vector`` as a scalar subquery."""
-    return sum_vector(documents, vector_col).select(F.struct("total", "n")).scalar()
-
-
 def average_similarity(documents: DataFrame, vector_col: str = "v") -> DataFrame:
     """Add ``avg_sim``: mean cosine to every other document, NULL if alone.
 
-    Two reads of the vectors and no shuffle of documents. ``u.S`` is taken as
-    ``v.S / |v|``, so no scaled copy of a vector is made.
+    Two reads of the vectors and no shuffle of documents. The first gives one
+    vector, which the second takes along.
     """
-    v = V.as_double(F.col(vector_col))
-    with_sums = documents.withColumn("_s", _sums(documents, vector_col))
-    parts = with_sums.withColumns(
-        {"_vs": V.dot(v, F.col("_s.total")), "_norm": V.l2_norm(v)}
-    )
-    others = F.nullif(F.col("_s.n") - 1, F.lit(0))
-    to_all = F.when(F.col("_norm") > 0, F.col("_vs") / F.col("_norm") - 1.0)
-    average = F.coalesce(to_all, F.lit(0.0)) / others
-    return parts.withColumn("avg_sim", average).drop("_s", "_vs", "_norm")
+    sums = sum_vector(documents, vector_col).first()
+    total, n = np.asarray(sums.total, float), sums.n or 0
+
+    @F.arrow_udf("double")
+    def average(vectors: pa.Array) -> pa.Array:
+        if n < 2 or not len(vectors):
+            return pa.nulls(len(vectors), pa.float64())
+        u = unit_rows(matrix(vectors, len(total)))
+        return pa.array((u @ total - (u * u).sum(axis=1)) / (n - 1))
+
+    return documents.withColumn("avg_sim", average(F.col(vector_col)))
 
 
 def rank_universal(scored: DataFrame) -> DataFrame:
@@ -178,9 +189,6 @@ def _farthest(units: DataFrame, u: str, pivots: np.ndarray) -> pa.Table:
     return partial.groupBy("pivot").agg(best).orderBy("pivot").select("b.*").toArrow()
 
 
-_LIST = pa.list_(pa.float64())
-
-
 def _contenders(units, u, pivots, reach, lowest) -> DataFrame:
     """Vectors that might still belong to a pair wider than the widest known."""
     spark = units.sparkSession

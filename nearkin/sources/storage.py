@@ -9,8 +9,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MAX_BROADCAST_KEYS = 200_000
 _SMALL_PER_CORE = 32 << 20
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_base: str | None = None
@@ -109,6 +111,23 @@ def settled(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
+def restrict(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """Rows of ``big`` whose key occurs in ``small``, if that can be had cheaply.
+
+    As long as the small side has a bounded number of distinct keys they are
+    sent to the big table, so that only the few rows that matter are shuffled by
+    the join that follows. Otherwise ``big`` is returned whole.
+    """
+    keys, few = settled(small.select(on).distinct(), MAX_BROADCAST_KEYS)
+    return big.join(F.broadcast(keys), on, "left_semi") if few else big
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a result's size; an upper guess, never run."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(plan.stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share a small input out over all cores before costly per-row work.
 
@@ -117,6 +136,5 @@ def spread(df: DataFrame) -> DataFrame:
     larger ones come in enough parts as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(plan.stats().sizeInBytes())
-    return df.repartition(cores) if size <= cores * _SMALL_PER_CORE else df
+    small = planned_bytes(df) <= cores * _SMALL_PER_CORE
+    return df.repartition(cores) if small else df
