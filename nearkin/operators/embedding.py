@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as X
-from nearkin.sources.storage import durable, read_or_empty, restrict, spread
+from nearkin.sources.storage import durable, few_keys, read_or_empty, restrict, spread
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
@@ -30,36 +30,41 @@ EMBEDDED = "embedding array<double>, error string"
 _LIST = pa.list_(pa.float64())
 
 
+class _Buckets(dict):
+    """Bucket of each word, remembered for a bounded number of words."""
+
+    LIMIT = 1 << 18
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode()).digest()
+        bucket = int.from_bytes(digest[:4], "big") % self.dim
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = bucket
+        return bucket
+
+
 class HashedWords:
     """The built-in embedder: hashed word counts, scaled to unit length.
 
     Deterministic and free of any service, for tests and offline use.
     """
 
-    _REMEMBERED = 1 << 18
-
     def __init__(self, dim: int = 64):
         self.dim = dim
-        self._buckets: dict[str, int] = {}
 
     @property
     def model(self) -> str:
         return f"hashed-words-{self.dim}"
 
-    def _bucket(self, word: str) -> int:
-        found = self._buckets.get(word)
-        if found is None:
-            digest = hashlib.md5(word.encode()).digest()
-            found = int.from_bytes(digest[:4], "big") % self.dim
-            if len(self._buckets) >= self._REMEMBERED:
-                self._buckets.clear()
-            self._buckets[word] = found
-        return found
-
     def __call__(self, texts: list[str]) -> np.ndarray:
+        bucket = _Buckets(self.dim)
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            buckets = [self._bucket(w) for w in text.split()]
+            buckets = [bucket[w] for w in text.split()]
             row += np.bincount(buckets, minlength=self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms > 0, norms, 1.0)
@@ -185,14 +190,15 @@ def embed_documents(
         raise ValueError("a cache needs the model's name")
     spark = documents.sparkSession
     keyed = durable(documents.withColumn("text_sha1", X.text_id(text)), "to-embed")
-    known = restrict(read_cache(spark, cache_path), keyed, "text_sha1")
+    keys = few_keys(keyed, "text_sha1")
+    known = restrict(read_cache(spark, cache_path), keys, "text_sha1")
     misses = cache_misses(keyed, known, model, text_col)
     new = _with_embedding(misses, chunks(text), embedder, batch_size)
     new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
     fresh = new.where(F.col("error").isNull())
     put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
     errors = new.where(F.col("error").isNotNull()).select("text_sha1", "error")
-    known = restrict(read_cache(spark, cache_path), keyed, "text_sha1")
+    known = restrict(read_cache(spark, cache_path), keys, "text_sha1")
     cached = cache_lookup(keyed, known, model)
     joined = cached.join(errors, "text_sha1", "left")
     no_text = F.when(F.col("embedding").isNull(), F.lit(NO_TEXT))

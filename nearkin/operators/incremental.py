@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from nearkin.sources.storage import (
     MAX_BROADCAST_KEYS,
+    few_keys,
     planned_bytes,
     restrict,
     settled,
@@ -28,7 +29,7 @@ def new_only(batch: DataFrame, existing: DataFrame, key: str = "id") -> DataFram
     """
     existing = existing.select(key)
     if planned_bytes(existing) > _BROADCAST_BYTES:
-        existing = restrict(existing, batch, key)
+        existing = restrict(existing, few_keys(batch, key), key)
         existing, _ = settled(existing.distinct(), MAX_BROADCAST_KEYS)
     return batch.join(existing, key, "left_anti")
 

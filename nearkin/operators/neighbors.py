@@ -305,8 +305,9 @@ def with_metadata(
     job instead. Hits are few beside the map, so as long as their number is
     within bounds they are sent to the map, which is then not shuffled.
     """
-    hits, _ = settled(hits, MAX_BROADCAST_HITS)
-    names = restrict(id_map.select(id_col, "filename"), hits, id_col)
+    hits, few = settled(hits, MAX_BROADCAST_HITS)
+    keys = hits.select(id_col).distinct() if few else None
+    names = restrict(id_map.select(id_col, "filename"), keys, id_col)
     joined = hits.join(names, id_col, "left")
     if default is not None:
         missing = F.lit(default)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as X
+from nearkin.sources.storage import spread
 
 
 def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -13,7 +14,7 @@ def word_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
     # outer, because a plain explode would test the token array for emptiness in
     # a filter of its own and so build it more than once
     split = F.explode_outer(X.tokens(F.col(text_col)))
-    words = documents.select(split.alias("word"))
+    words = spread(documents.select(text_col)).select(split.alias("word"))
     return words.where(F.col("word") != "").groupBy("word").agg(F.count("*").alias("count"))
 
 
@@ -29,7 +30,7 @@ def text_stats(documents: DataFrame, text_col: str = "text") -> DataFrame:
     their length.
     """
     n = X.token_count(F.col(text_col))
-    hashed = documents.select(n.alias("n"), X.text_id(F.col(text_col)).alias("h"))
+    hashed = spread(documents.select(text_col)).select(n.alias("n"), X.text_id(F.col(text_col)).alias("h"))
     return hashed.agg(
         F.avg("n").alias("mean_tokens"),
         F.stddev_pop("n").alias("std_tokens"),

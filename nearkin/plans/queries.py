@@ -14,7 +14,7 @@ from nearkin.operators import embedding as E
 from nearkin.operators import incremental, neighbors, pooling, reduce, similarity, words
 from nearkin.plans import index, ingest, reports, search
 from nearkin.sources import files, jsonl
-from nearkin.sources.storage import scratch_path
+from nearkin.sources.storage import durable, scratch_path, spread
 from nearkin.streaming.ingest import start_ingest
 
 EMBEDDER = E.HashedWords(64)
@@ -66,6 +66,11 @@ def _documents(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", name.alias("filename"), "text")
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    """Document texts, shared out over the cores where the table is small."""
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _corpus(spark, sf_dir) -> DataFrame:
     """Documents that have a vector, as records."""
     e = _read(spark, sf_dir, "embeddings")
@@ -92,10 +97,11 @@ def _page_files(pages: DataFrame) -> DataFrame:
 
 
 def _document_index(spark, sf_dir, metric: str) -> tuple[DataFrame, str]:
-    """Embed the documents, build a vector table and open it."""
+    """Embed and store the documents, build a vector table and open it."""
     embedded = E.embed_documents(_documents(spark, sf_dir), EMBEDDER)
     doc_id = F.col("doc_id")
     records = embedded.withColumns({"id": doc_id.cast("string"), "row_id": doc_id})
+    records = durable(records.select("id", "row_id", "filename", "embedding"), "records")
     path = scratch_path(spark, "index")
     index.build_index(records, path, metric)
     return index.open_index(spark, path)
@@ -126,7 +132,7 @@ def _rounded_hits(hits: DataFrame) -> DataFrame:
 
 def clean_and_hash(spark, sf_dir):
     cleaned = X.clean_text(F.col("text")).alias("clean")
-    d = _read(spark, sf_dir, "documents").select("doc_id", cleaned)
+    d = _texts(spark, sf_dir).select("doc_id", cleaned)
     return d.select("doc_id", "clean", X.text_id(F.col("clean")).alias("text_sha1"))
 
 
@@ -141,12 +147,12 @@ def file_ids(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents")
+    d = _texts(spark, sf_dir)
     return d.select("doc_id", X.token_count(F.col("text")).alias("n_tokens"))
 
 
 def _chunks(spark, sf_dir, size, unit):
-    d = _read(spark, sf_dir, "documents")
+    d = _texts(spark, sf_dir)
     cut = E.chunks_of(F.col("text"), size, unit).alias("chunks")
     return d.select("doc_id", cut).select(
         "doc_id", F.posexplode_outer("chunks").alias("chunk_no", "chunk")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearkin.sources.storage import empty
+
 RECORD = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -30,7 +32,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], "id string")
+        return empty(spark, "id string")
 
 
 def read_records(

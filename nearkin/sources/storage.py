@@ -86,7 +86,15 @@ def read_or_empty(
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
+
+
+def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
+    """No rows of a schema, in a form the planner knows to be empty."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    columns = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+    return spark.range(0).select(*columns)
 
 
 def bounded_rows(df: DataFrame, max_rows: int) -> pa.Table | None:
@@ -111,15 +119,19 @@ def settled(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
-def restrict(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
-    """Rows of ``big`` whose key occurs in ``small``, if that can be had cheaply.
+def few_keys(small: DataFrame, on: str) -> DataFrame | None:
+    """The distinct keys of a table if their number is within bounds."""
+    keys, few = settled(small.select(on).distinct(), MAX_BROADCAST_KEYS)
+    return keys if few else None
+
+
+def restrict(big: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
+    """Rows of ``big`` with one of a few keys, or all of it if they are many.
 
-    As long as the small side has a bounded number of distinct keys they are
-    sent to the big table, so that only the few rows that matter are shuffled by
-    the join that follows. Otherwise ``big`` is returned whole.
+    Sending a bounded number of keys to a big table leaves only the few rows
+    that matter to be shuffled by the join that follows.
     """
-    keys, few = settled(small.select(on).distinct(), MAX_BROADCAST_KEYS)
-    return big.join(F.broadcast(keys), on, "left_semi") if few else big
+    return big if keys is None else big.join(F.broadcast(keys), on, "left_semi")
 
 
 def planned_bytes(df: DataFrame) -> int:
