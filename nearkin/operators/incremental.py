@@ -21,14 +21,14 @@ KEEP, FIRST = "keep", "first"
 def new_only(batch: DataFrame, existing: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not stored yet.
 
-    A stored id list small enough to broadcast is left to the planner. A larger
-    one is first cut down to the ids of the batch, at the price of reading the
-    batch's keys once more, so that the batch's wide rows need no shuffle. If the
-    batch has too many keys for that, both are shuffled and a hot key on the
-    batch side is split at run time.
+    A stored id list small enough to broadcast is left to the planner. One that
+    is larger than that and than the batch is first cut down to the ids of the
+    batch: the batch's keys are read once more, and its wide rows need no
+    shuffle. Otherwise both are shuffled, and a hot key on the batch side is
+    split at run time.
     """
     existing = existing.select(key)
-    if planned_bytes(existing) > _BROADCAST_BYTES:
+    if planned_bytes(existing) > max(_BROADCAST_BYTES, planned_bytes(batch)):
         existing = restrict(existing, few_keys(batch, key), key)
         existing, _ = settled(existing.distinct(), MAX_BROADCAST_KEYS)
     return batch.join(existing, key, "left_anti")

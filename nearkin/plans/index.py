@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.sources.storage import durable
+from nearkin.sources.storage import durable, file_count
 
 _MAX_BROADCAST_FILES = 100_000
 
@@ -30,7 +30,7 @@ def number_rows(stored: DataFrame, id_col: str = "row_id") -> DataFrame:
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")
     offsets = per_file.select("_f", offset)
-    if len(stored.inputFiles()) <= _MAX_BROADCAST_FILES:
+    if file_count(stored) <= _MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
     number = (F.col("_o") + F.col("_i")).alias(id_col)
     return at.join(offsets, "_f").select(number, *stored.columns)

@@ -140,13 +140,19 @@ def planned_bytes(df: DataFrame) -> int:
     return int(plan.stats().sizeInBytes())
 
 
+def file_count(df: DataFrame) -> int:
+    """How many files a result reads; the names stay in the JVM."""
+    return len(df._jdf.inputFiles())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Share a small input out over all cores before costly per-row work.
 
     A small file is often a single row group and so a single task. Only inputs
-    that the planner estimates at a few megabytes per core are shuffled for it;
-    larger ones come in enough parts as they are.
+    of fewer files than cores, which the planner estimates at a few megabytes
+    per core, are shuffled for it; others come in enough parts as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = planned_bytes(df) <= cores * _SMALL_PER_CORE
-    return df.repartition(cores) if small else df
+    if planned_bytes(df) > cores * _SMALL_PER_CORE or file_count(df) >= cores:
+        return df
+    return df.repartition(cores)

@@ -299,3 +299,33 @@ def test_table_paths():
     paths = storage.TablePaths("/base")
     assert paths.index("cosine") != paths.index("l2")
     assert paths.documents.startswith("/base/")
+
+
+def test_a_large_id_list_is_cut_down_to_the_batch(spark, tmp_path, monkeypatch):
+    rows = [("5", "x"), ("new", "y"), ("new", "z")]
+    path = str(tmp_path / "batch")
+    spark.createDataFrame(rows, "id string, content string").write.parquet(path)
+    batch = spark.read.parquet(path)
+    stored = spark.range(100_000).select(F.col("id").cast("string").alias("id"))
+    monkeypatch.setattr(incremental, "_BROADCAST_BYTES", 1)
+    out = incremental.new_only(batch, stored)
+    assert sorted(r.content for r in out.collect()) == ["y", "z"]
+    assert "LocalTableScan" in out._jdf.queryExecution().toString()
+
+
+def test_small_inputs_are_spread_and_others_left(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(100).coalesce(1).write.parquet(one)
+    spark.range(100).repartition(8).write.parquet(many)
+    cores = spark.sparkContext.defaultParallelism
+    assert storage.file_count(spark.read.parquet(many)) == 8
+    assert storage.spread(spark.read.parquet(one)).rdd.getNumPartitions() == cores
+    left = spark.read.parquet(many)
+    assert storage.spread(left) is left
+
+
+def test_empty_and_settled_sizes_are_known(spark):
+    empty = storage.empty(spark, "id string, v array<double>")
+    assert empty.count() == 0 and storage.planned_bytes(empty) < 100
+    small, _ = storage.settled(spark.range(10), 10)
+    assert storage.planned_bytes(small) < 10_000
