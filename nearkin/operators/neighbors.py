@@ -31,8 +31,8 @@ MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 200_000
 BLOCK_BYTES = 64 << 20
 
-# Scores are compared at nine decimals, finer than single precision, so equal
-# vectors tie whatever batch they arrive in and the id decides.
+# Scores are ranked by their first nine decimals, finer than single precision,
+# so what differs only by rounding errors ties and the id decides.
 SCORE_DECIMALS = 9
 
 # Cells of one score block, and rows of one exact re-evaluation.
@@ -114,8 +114,9 @@ class _TopK:
         row, query = np.nonzero((near >= floor - slack) & (near > -np.inf))
         for i in range(0, len(row), _PAIRS):
             r, c = row[i : i + _PAIRS], query[i : i + _PAIRS]
-            near_exact = np.round(_exact(x[r], q[c], self.metric), SCORE_DECIMALS)
-            hit = rows.take(pa.array(r))
+            exact = _exact(x[r], q[c], self.metric)
+            hit = rows.take(pa.array(r)).append_column("_exact", pa.array(exact))
+            near_exact = np.round(exact, SCORE_DECIMALS)
             hit = hit.append_column("_near", pa.array(near_exact))
             self._merge(hit.append_column("_query", pa.array(c + lo)))
 
@@ -147,11 +148,11 @@ def _hits(top: _TopK, query_ids: pa.Array, carry: Sequence[str]) -> pa.Table | N
     if top.best is None:
         return None
     best = top.best
-    names = ["query_id", top.id_col, *carry, "raw_score"]
-    raw = _signed(best["_near"].to_numpy(), top.metric)
+    names = ["query_id", top.id_col, *carry, "raw_score", "_near"]
+    raw = _signed(best["_exact"].to_numpy(), top.metric)
     columns = [query_ids.take(best["_query"].combine_chunks())]
     columns += [best[c] for c in (top.id_col, *carry)]
-    return pa.Table.from_arrays([*columns, pa.array(raw)], names=names)
+    return pa.Table.from_arrays([*columns, pa.array(raw), best["_near"]], names=names)
 
 
 def _partial_schema(
@@ -159,7 +160,8 @@ def _partial_schema(
 ) -> T.StructType:
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType)]
     fields += [T.StructField(c, table.schema[c].dataType) for c in (id_col, *carry)]
-    return T.StructType([*fields, T.StructField("raw_score", T.DoubleType())])
+    fields += [T.StructField(c, T.DoubleType()) for c in ("raw_score", "_near")]
+    return T.StructType(fields)
 
 
 def _block_of(keys: Column, blocks: int) -> Column:
@@ -202,8 +204,7 @@ def knn(
         partial = _block_knn(
             left, queries, k, metric, id_col, carry, schema, block_bytes
         )
-    best_first = F.desc("raw_score") if metric == COSINE else F.asc("raw_score")
-    order = Window.partitionBy("query_id").orderBy(best_first, F.asc(id_col))
+    order = Window.partitionBy("query_id").orderBy(F.desc("_near"), F.asc(id_col))
     return (
         partial.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -264,8 +265,9 @@ def _block_knn(
         if hits is None:
             kept = [q_rows["query_id"], *(v_rows[c] for c in (id_col, *carry))]
             empty = [c.slice(0, 0) for c in kept]
-            names = ["query_id", id_col, *carry, "raw_score"]
-            return pa.Table.from_arrays([*empty, pa.array([], pa.float64())], names)
+            scores = [pa.array([], pa.float64())] * 2
+            names = ["query_id", id_col, *carry, "raw_score", "_near"]
+            return pa.Table.from_arrays([*empty, *scores], names)
         return hits
 
     return (

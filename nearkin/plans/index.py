@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,9 +84,16 @@ def build_index(
     numbered.select(*columns).write.mode("overwrite").parquet(path)
 
 
-def open_index(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The vector table and the metric it was built for."""
+def open_index(
+    spark: SparkSession, path: str, *, keep: bool = False
+) -> tuple[DataFrame, str]:
+    """The vector table and the metric it was built for.
+
+    ``keep`` holds the table on the executors for a series of searches.
+    """
     table = spark.read.parquet(path)
+    if keep:
+        table = table.persist(StorageLevel.MEMORY_AND_DISK)
     row = table.select("metric").first()
     return table, row.metric if row else V.L2
 

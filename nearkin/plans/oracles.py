@@ -54,23 +54,28 @@ def _knn(
     """CTE ``hits`` with the k nearest rows of one CTE for each row of another."""
     extra = f", {carry}" if carry else ""
     direction = "DESC" if metric == "cosine" else "ASC"
-    score = "(raw + 1) / 2" if metric == "cosine" else "1 / (1 + raw)"
+    score = "(raw_score + 1) / 2" if metric == "cosine" else "1 / (1 + raw_score)"
     return f"""
   pairs AS (
     SELECT q.query_id, t.row_id{", t." + carry if carry else ""},
-           round({_closeness("t", "q", metric)}, 9) AS raw
+           {_closeness("t", "q", metric)} AS raw_score
     FROM {table} t, {queries} q),
   ranked AS (
     SELECT *, row_number() OVER (
-      PARTITION BY query_id ORDER BY raw {direction}, row_id) AS rn
+      PARTITION BY query_id ORDER BY round(raw_score, 9) {direction}, row_id) AS rn
     FROM pairs WHERE {keep}),
   hits AS (
     SELECT query_id, rn::int AS rank, row_id{extra},
-           round(raw, 6) + 0.0 AS raw_score, round({score}, 6) AS score
+           raw_score, {score} AS score
     FROM ranked WHERE rn <= {k})
 """
 
 
+# Rounded once, at the very end: rounding twice would make ties of its own.
+_ROUNDED = "round(raw_score, 6) + 0.0 AS raw_score, round(score, 6) AS score"
+_HITS = f"SELECT * REPLACE ({_ROUNDED}) FROM hits"
+
+
 def _hashed(source: str, key: str, size: int | None, name: str) -> str:
     """CTEs ending in ``name(key, v)``: hashed words, averaged over chunks."""
     n = size if size is not None else 10**9
@@ -114,7 +119,7 @@ WITH {_hashed("documents", "doc_id", 2048, "d")},
     FROM d JOIN documents ON key = doc_id),
   asked AS (SELECT key AS query_id, v FROM b),
   {_knn("docs", "asked", k, metric, "filename")}
-SELECT * FROM hits
+{_HITS}
 """
 
 
@@ -335,25 +340,25 @@ WITH {_CENTROIDS},
 SELECT row_id, round(d, 6) AS raw_score, round(1 / (1 + d), 6) AS score FROM d
 """,
     "knn_cosine": f"""
-WITH {_CENTROIDS}, {_knn("scaled", "centroids", 5, "cosine")} SELECT * FROM hits
+WITH {_CENTROIDS}, {_knn("scaled", "centroids", 5, "cosine")} {_HITS}
 """,
     "knn_l2": f"""
-WITH {_CENTROIDS}, {_knn("scaled", "centroids", 5, "l2")} SELECT * FROM hits
+WITH {_CENTROIDS}, {_knn("scaled", "centroids", 5, "l2")} {_HITS}
 """,
     "knn_blocks": f"""
 WITH {_VECTORS}, asked AS (SELECT row_id AS query_id, v FROM scaled),
-  {_knn("scaled", "asked", 5, "l2")} SELECT * FROM hits
+  {_knn("scaled", "asked", 5, "l2")} {_HITS}
 """,
     "knn_overfetch": f"""
 WITH {_CENTROIDS}, {_knn("scaled", "centroids", 10, "cosine", "label")},
   again AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn
     FROM hits WHERE label <> query_id)
-SELECT query_id, rn::int AS rank, row_id, label, raw_score, score FROM again WHERE rn <= 5
+SELECT query_id, rn::int AS rank, row_id, label, {_ROUNDED} FROM again WHERE rn <= 5
 """,
     "hit_metadata_default": f"""
 WITH {_CENTROIDS}, {_knn("scaled", "centroids", 10, "l2")}
-SELECT hits.*, coalesce(url, 'unknown') AS filename
+SELECT hits.* REPLACE ({_ROUNDED}), coalesce(url, 'unknown') AS filename
 FROM hits LEFT JOIN pages ON page_id = row_id
 """,
     "hit_metadata_strict": f"""

@@ -11,6 +11,7 @@ from nearkin.functions import text as X
 from nearkin.functions import vectors as V
 from nearkin.operators.embedding import Embedder, embed_documents
 from nearkin.operators.neighbors import knn, knn_overfetch, with_metadata
+from nearkin.operators.reduce import NEIGHBOUR, role_table
 from nearkin.sources.files import extracted, utf8_text
 
 PREVIEW_CHARS = 1000
@@ -91,3 +92,10 @@ def search_files(
     else:
         hits = knn(table, wanted, k, metric, carry=("filename",), **knn_options)
     return hits.withColumn("filename", F.coalesce("filename", F.lit("unknown")))
+
+
+def hit_roles(hits: DataFrame, query_id: str) -> DataFrame:
+    """Roles for ``similarity_map``: a query file and the files it found."""
+    mine = hits.where(F.col("query_id") == query_id)
+    near = mine.select("filename", F.lit(NEIGHBOUR).alias("role"))
+    return near.union(role_table(hits.sparkSession, query_id, []))

@@ -136,6 +136,22 @@ def test_search_files(spark, tables):
             assert len(hits) == 2
 
 
+def test_search_to_map(spark, tables):
+    asked = spark.createDataFrame([("f9.pdf", bytearray(b"red green"))], "query_id string, content binary")
+    hits = search.search_files(tables["cosine"], asked, EMBEDDER, 2, "cosine")
+    points = reduce.similarity_map(tables["cosine"], search.hit_roles(hits, "f9.pdf"))
+    near = {r.filename for r in points.where("role = 'neighbour'").collect()}
+    assert near == {r.filename for r in hits.collect()}
+    assert points.where("role = 'query'").count() == 0  # not part of the corpus
+
+
+def test_kept_index(spark, tmp_path):
+    index.build_index(records(spark, [[1.0], [2.0]]), str(tmp_path / "i"), "l2")
+    table, _ = index.open_index(spark, str(tmp_path / "i"), keep=True)
+    assert table.is_cached and table.count() == 2
+    table.unpersist()
+
+
 def test_reports(spark):
     rng = np.random.default_rng(2)
     rows = [(i, f"f{i}", f"w{i} all " * 200, rng.normal(size=4).tolist()) for i in range(12)]
