@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,31 @@ def name_matches(filename: Column, suffix: str, literal: str | None = None) -> C
     return keep & filename.contains(literal) if literal else keep
 
 
-def _glob(suffix: str) -> str:
-    """Glob for a suffix in any case, since file globs are case-sensitive."""
-    out = []
-    for ch in suffix:
-        if ch.lower() != ch.upper():
-            out.append(f"[{ch.lower()}{ch.upper()}]")
-        elif ch in "*?[]{}\\":
-            out.append("\\" + ch)
-        else:
-            out.append(ch)
-    return "*" + "".join(out)
+def _escaped(text: str) -> str:
+    return "".join("\\" + ch if ch in "*?[]{}\\" else ch for ch in text)
 
 
+def _glob(suffix: str, literal: str | None) -> str:
+    """Listing glob for the name rules, as far as one glob can say them.
+
+    The suffix is spelled in both cases, since globs are case-sensitive. The
+    literal is left to the row filter where it could overlap with the suffix.
+    """
+    tail = "".join(
+        f"[{ch.lower()}{ch.upper()}]" if ch.lower() != ch.upper() else _escaped(ch)
+        for ch in suffix
+    )
+    if not literal:
+        return "*" + tail
+    low, end = literal.lower(), suffix.lower()
+    overlap = any(end.startswith(low[-k:]) for k in range(1, len(low) + 1)) or low in end
+    return "*" + tail if overlap else f"*{_escaped(literal)}*{tail}"
 
 
 def _select_files(raw: DataFrame, suffix: str, literal: str | None) -> DataFrame:
-    named = raw.select("path", F.col("_metadata.file_name").alias("filename"), "content")
+    # from the path, because the name in the metadata is percent-encoded
+    name = F.substring_index("path", "/", -1).alias("filename")
+    named = raw.select("path", name, "content")
     return named.where(name_matches(F.col("filename"), suffix, literal))
 
 
@@ -52,11 +62,58 @@ def read_folder(
 ) -> DataFrame:
     """Files of one folder, not its sub-folders: ``path, filename, content``.
 
-    The suffix is part of the listing glob, because a filter on the name column
+    The name rules are part of the listing, because a filter on the name column
     would not keep the content of other files from being read.
     """
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffix))
-    return _select_files(raw.load(folder), suffix, literal)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", _glob(suffix, literal))
+    visible = _select_files(raw.load(folder), suffix, literal)
+    hidden = read_hidden(spark, folder, suffix, literal)
+    return visible if hidden is None else visible.unionByName(hidden)
+
+
+def read_hidden(
+    spark: SparkSession, folder: str, suffix: str = ".pdf", literal: str | None = None
+) -> DataFrame | None:
+    """The files whose names start with ``_`` or ``.``, if there are any.
+
+    Spark's file sources pass over such names without a word. Their paths are
+    listed here and the files are opened in the tasks.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(folder)
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = []
+    for status in system.globStatus(hadoop.Path(base, "{_,.}*")) or []:
+        name = status.getPath().getName()
+        seen = name.startswith("_") and "=" in name  # such names are read anyway
+        rules = name.lower().endswith(suffix.lower()) and (literal or "") in name
+        if status.isFile() and rules and not seen:
+            rows.append((status.getPath().toString(), name))
+    if not rows:
+        return None
+    paths = spark.createDataFrame(rows, "path string, filename string")
+    paths = paths.repartition(min(len(rows), spark.sparkContext.defaultParallelism))
+    return paths.select("path", "filename", _opened(F.col("path")).alias("content"))
+
+
+def _opened(path: Column) -> Column:
+    """The bytes of each file, read in the tasks."""
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            contents = []
+            for uri in batch.to_pylist():
+                scheme, _, rest = uri.partition(":")
+                if scheme == "file":
+                    system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    system, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+                with system.open_input_file(name) as f:
+                    contents.append(f.read())
+            yield pa.array(contents, pa.binary())
+
+    return run.asNondeterministic()(path)
 
 
 def stream_folder(
@@ -69,10 +126,11 @@ def stream_folder(
     """The same rows as a stream of newly arrived files.
 
     ``max_files`` bounds one micro-batch, so a large backlog is worked off in
-    steps that each commit their progress.
+    steps that each commit their progress. Names that start with ``_`` or ``.``
+    never arrive in a stream; see ``read_hidden``.
     """
     raw = spark.readStream.format("binaryFile").schema(_BINARY_FILE)
-    raw = raw.option("pathGlobFilter", _glob(suffix))
+    raw = raw.option("pathGlobFilter", _glob(suffix, literal))
     if max_files is not None:
         raw = raw.option("maxFilesPerTrigger", max_files)
     return _select_files(raw.load(folder), suffix, literal)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from nearkin.operators import incremental
 from nearkin.operators.embedding import Embedder
 from nearkin.plans.ingest import ingest_files
-from nearkin.sources.files import stream_folder
+from nearkin.sources.files import read_hidden, stream_folder
 
 
 def start_ingest(
@@ -51,6 +51,13 @@ def start_folder_ingest(
     max_files: int | None = None,
     **options,
 ) -> StreamingQuery:
-    """``start_ingest`` over the matching files of a folder."""
+    """``start_ingest`` over the matching files of a folder.
+
+    Files with names no stream delivers are ingested in batch beforehand.
+    """
+    hidden = read_hidden(spark, folder, suffix, literal)
+    if hidden is not None:
+        rule = options.get("within_batch", incremental.FIRST)
+        ingest_files(hidden, path, embedder, **{**options, "within_batch": rule})
     files = stream_folder(spark, folder, suffix, literal, max_files)
     return start_ingest(files, path, checkpoint, embedder, **options)

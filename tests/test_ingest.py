@@ -61,6 +61,28 @@ def test_other_files_are_not_read(spark, folder):
     assert "d_report.txt" not in listed
 
 
+def test_no_name_is_passed_over(spark, tmp_path):
+    base = str(tmp_path / "in")
+    names_in = ["_a 職務.pdf", ".b職務%20.pdf", "_c=職務.pdf", "d職務[1].PDF", "_metadata職務.pdf"]
+    for i, name in enumerate(names_in):
+        write(base, name, f"text {i}".encode())
+    write(base, "_other.pdf", b"other")
+    write(base, "_e職務.txt", b"other")
+    write(base, "_sub職務.pdf/f職務.pdf", b"below")
+    found = files.read_folder(spark, base, ".pdf", "職務")
+    got = {r.filename: bytes(r.content).decode() for r in found.collect()}
+    assert got == {name: f"text {i}" for i, name in enumerate(names_in)}
+    # a literal that may overlap with the suffix
+    write(base, "report.pdf", b"x")
+    assert names(files.read_folder(spark, base, ".pdf", "port.p")) == ["report.pdf"]
+    path = str(tmp_path / "docs")
+    for _ in range(2):
+        start_folder_ingest(
+            spark, base, path, str(tmp_path / "progress"), EMBEDDER, literal="職務"
+        ).awaitTermination()
+    assert names(ingest.stored_documents(spark, path)) == sorted(names_in)
+
+
 def test_ingest_twice_adds_only_the_new(spark, folder, tmp_path):
     path = str(tmp_path / "docs")
     options = {"literal": "report"}
