@@ -190,8 +190,9 @@ def embed_documents(
         raise ValueError("a cache needs the model's name")
     spark = documents.sparkSession
     keyed = durable(documents.withColumn("text_sha1", X.text_id(text)), "to-embed")
-    keys = few_keys(keyed, "text_sha1")
-    known = restrict(read_cache(spark, cache_path), keys, "text_sha1")
+    known = read_cache(spark, cache_path)
+    keys = few_keys(known, keyed.select("text_sha1"), "text_sha1")
+    known = restrict(known, keys, "text_sha1")
     misses = cache_misses(keyed, known, model, text_col)
     new = _with_embedding(misses, chunks(text), embedder, batch_size)
     new = durable(new.select("text_sha1", "embedding", "error"), "embedded")

@@ -4,16 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from nearkin.sources.storage import (
-    MAX_BROADCAST_KEYS,
-    few_keys,
-    planned_bytes,
-    restrict,
-    settled,
-)
-
-# Spark's own default limit for broadcasting a side by its estimated size.
-_BROADCAST_BYTES = 10 << 20
+from nearkin.sources.storage import MAX_BROADCAST_KEYS, few_keys, restrict, settled
 
 KEEP, FIRST = "keep", "first"
 
@@ -28,9 +19,10 @@ def new_only(batch: DataFrame, existing: DataFrame, key: str = "id") -> DataFram
     split at run time.
     """
     existing = existing.select(key)
-    if planned_bytes(existing) > max(_BROADCAST_BYTES, planned_bytes(batch)):
-        existing = restrict(existing, few_keys(batch, key), key)
-        existing, _ = settled(existing.distinct(), MAX_BROADCAST_KEYS)
+    keys = few_keys(existing, batch, key)
+    if keys is not None:
+        seen = restrict(existing, keys, key).distinct()
+        existing, _ = settled(seen, MAX_BROADCAST_KEYS)
     return batch.join(existing, key, "left_anti")
 
 

@@ -30,6 +30,8 @@ MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 200_000
 BLOCK_BYTES = 64 << 20
+# A task for each pair of blocks, up to this many; then some get several.
+MAX_CELL_TASKS = 50_000
 
 # Scores are ranked by their first nine decimals, finer than single precision,
 # so what differs only by rounding errors ties and the id decides.
@@ -247,10 +249,9 @@ def _block_knn(
     n_v = max(1, ceil(left.count() / per_block))
 
     def cells(side: DataFrame, own: str, key: str, other: str, n: int, m: int):
-        every = F.sequence(F.lit(0), F.lit(m - 1))
-        return side.withColumn(own, _block_of(F.col(key), n)).withColumn(
-            other, F.explode(every)
-        )
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        placed = side.withColumn(own, _block_of(F.col(key), n)).withColumn(other, every)
+        return placed.repartition(min(n * m, MAX_CELL_TASKS), "_qb", "_vb")
 
     q_side = cells(queries, "_qb", "query_id", "_vb", n_q, n_v)
     v_side = cells(left, "_vb", id_col, "_qb", n_v, n_q)

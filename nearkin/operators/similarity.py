@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.operators.neighbors import BLOCK_BYTES, matrix, unit_rows
+from nearkin.operators.neighbors import BLOCK_BYTES, MAX_CELL_TASKS, matrix, unit_rows
 from nearkin.sources.storage import bounded_rows, durable
 
 _START_PIVOTS = 16
@@ -245,4 +245,6 @@ def _min_in_blocks(rest: DataFrame, dim: int, block_bytes: int) -> DataFrame:
         x = matrix(cell["u"], dim)
         return pa.table({"low": [_lowest_product(x, x)]})
 
+    tasks = min(blocks * (blocks + 1) // 2, MAX_CELL_TASKS)
+    cells = cells.repartition(tasks, "i", "j")
     return cells.groupBy("i", "j").applyInArrow(lowest, "low double")

@@ -40,7 +40,11 @@ def read_records(
     path: str,
     required: tuple[str, ...] = ("id", "filename", "text"),
 ) -> DataFrame:
-    """Whole records. A broken line or a missing required key fails the read."""
+    """Whole records. A broken line or a missing required key fails the read.
+
+    A key is checked when its column is used, so a reader of two columns is not
+    held up by a third.
+    """
     raw = spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
 
     def checked(name: str):

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Spark's own default limit for broadcasting a side by its estimated size.
+BROADCAST_BYTES = 10 << 20
 MAX_BROADCAST_KEYS = 200_000
 _SMALL_PER_CORE = 32 << 20
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -119,14 +121,21 @@ def settled(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return df.sparkSession.createDataFrame(rows, df.schema), True
 
 
-def few_keys(small: DataFrame, on: str) -> DataFrame | None:
-    """The distinct keys of a table if their number is within bounds."""
+def few_keys(big: DataFrame, small: DataFrame, on: str) -> DataFrame | None:
+    """The distinct keys of ``small``, if it pays to send them to ``big``.
+
+    It does if the planner would not broadcast the big side anyway, if reading
+    the small side once more costs less than shuffling the big one, and if the
+    keys are few. Otherwise there is no answer.
+    """
+    if planned_bytes(big) <= max(BROADCAST_BYTES, planned_bytes(small)):
+        return None
     keys, few = settled(small.select(on).distinct(), MAX_BROADCAST_KEYS)
     return keys if few else None
 
 
 def restrict(big: DataFrame, keys: DataFrame | None, on: str) -> DataFrame:
-    """Rows of ``big`` with one of a few keys, or all of it if they are many.
+    """Rows of ``big`` with one of a few keys, or all of it without keys.
 
     Sending a bounded number of keys to a big table leaves only the few rows
     that matter to be shuffled by the join that follows.

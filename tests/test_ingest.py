@@ -329,12 +329,30 @@ def test_a_large_id_list_is_cut_down_to_the_batch(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "id string, content string").write.parquet(path)
     batch = spark.read.parquet(path)
     stored = spark.range(100_000).select(F.col("id").cast("string").alias("id"))
-    monkeypatch.setattr(incremental, "_BROADCAST_BYTES", 1)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 1)
     out = incremental.new_only(batch, stored)
     assert sorted(r.content for r in out.collect()) == ["y", "z"]
     assert "LocalTableScan" in out._jdf.queryExecution().toString()
 
 
+def test_a_large_cache_is_cut_down_to_the_batch(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    cache = str(tmp_path / "cache")
+    entries = spark.range(20_000).select(
+        F.sha1(F.col("id").cast("string")).alias("text_sha1"),
+        F.lit("counting").alias("model"),
+        F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"),
+    )
+    E.put_cache(entries, cache)
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 1)
+    docs = spark.createDataFrame([(1, "77"), (2, "new"), (3, "77")], "i int, text string")
+    out = E.embed_documents(docs, Counting(str(seen)), cache_path=cache)
+    got = {r.i: list(r.embedding) for r in out.collect()}
+    assert got == {1: [77.0, 1.0], 2: [3.0, 1.0], 3: [77.0, 1.0]}
+    assert asked(str(seen)) == ["new"]
+
+
 def test_small_inputs_are_spread_and_others_left(spark, tmp_path):
     one, many = str(tmp_path / "one"), str(tmp_path / "many")
     spark.range(100).coalesce(1).write.parquet(one)

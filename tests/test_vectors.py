@@ -255,3 +255,16 @@ def test_embedding_stats(spark):
     n = np.linalg.norm([v for _, v in NON_UNIT], axis=1)
     assert (r.n, r.dim) == (5, 2)
     assert np.allclose([r.mean_norm, r.std_norm], [n.mean(), n.std()])
+
+
+def test_metrics_agree_on_unit_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asked = queries(spark, [(0, rng.normal(size=5).tolist())])
+    order = [
+        [r[2] for r in plain(neighbors.knn(table(spark, rows), asked, 60, m))]
+        for m in V.METRICS
+    ]
+    assert order[0] == order[1]
