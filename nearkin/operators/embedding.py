@@ -148,11 +148,11 @@ def embed_texts(
     """Short texts, one vector each. Blank texts drop out; rows keep their keys."""
     kept = texts.where(X.embed_input(F.col(text_col)) != "")
     whole = F.array(X.embed_input(F.col(text_col)))
-    return _with_embedding(kept, whole, embedder, batch_size)
+    return _with_embedding(spread(kept), whole, embedder, batch_size)
 
 
 def _with_embedding(df, chunks: Column, embedder, batch_size) -> DataFrame:
-    out = spread(df).withColumn("_e", pooled_embedding(chunks, embedder, batch_size))
+    out = df.withColumn("_e", pooled_embedding(chunks, embedder, batch_size))
     return out.select(*df.columns, "_e.embedding", "_e.error")
 
 
@@ -167,13 +167,15 @@ def embed_documents(
     batch_size: int = BATCH_SIZE,
     cache_path: str | None = None,
     model: str | None = None,
+    spread_out: bool = True,
 ) -> DataFrame:
     """Add ``embedding`` and ``error`` to each document.
 
     ``chunk=False`` embeds the text whole, as for a query. With ``cache_path``
     each distinct text is embedded once ever: texts not in the cache are
     embedded and appended to it, then all documents join the cache. Without it
-    every row is embedded where it is read.
+    every row is embedded where it is read, or after a small input was shared out
+    over the cores; ``spread_out=False`` says that it already was.
     """
     text = X.embed_input(F.col(text_col))
 
@@ -183,7 +185,8 @@ def embed_documents(
         return F.when(t != "", F.array(t)).otherwise(F.array().cast("array<string>"))
 
     if cache_path is None:
-        return _with_embedding(documents, chunks(text), embedder, batch_size)
+        rows = spread(documents) if spread_out else documents
+        return _with_embedding(rows, chunks(text), embedder, batch_size)
 
     model = model or getattr(embedder, "model", None)
     if not model:
@@ -194,6 +197,7 @@ def embed_documents(
     keys = few_keys(known, keyed.select("text_sha1"), "text_sha1")
     known = restrict(known, keys, "text_sha1")
     misses = cache_misses(keyed, known, model, text_col)
+    misses = spread(misses, after_shuffle=True)
     new = _with_embedding(misses, chunks(text), embedder, batch_size)
     new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
     fresh = new.where(F.col("error").isNull())

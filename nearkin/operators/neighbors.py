@@ -30,6 +30,8 @@ MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 200_000
 BLOCK_BYTES = 64 << 20
+# Below this a block is not split further just to keep all cores busy.
+MIN_BLOCK_ROWS = 250
 # A task for each pair of blocks, up to this many; then some get several.
 MAX_CELL_TASKS = 50_000
 
@@ -245,8 +247,10 @@ def _block_knn(
     queries = durable(queries, "queries")
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     per_block = max(1, block_bytes // (8 * (size.dim or 1)))
+    rows = left.count()
+    cores = left.sparkSession.sparkContext.defaultParallelism
     n_q = max(1, ceil(size.n / per_block))
-    n_v = max(1, ceil(left.count() / per_block))
+    n_v = max(1, ceil(rows / per_block), min(cores, rows // MIN_BLOCK_ROWS))
 
     def cells(side: DataFrame, own: str, key: str, other: str, n: int, m: int):
         every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

@@ -11,7 +11,7 @@ from nearkin.functions import text as X
 from nearkin.operators import incremental
 from nearkin.operators.embedding import Embedder, embed_documents
 from nearkin.sources.files import extracted, read_folder, utf8_text
-from nearkin.sources.storage import read_or_empty
+from nearkin.sources.storage import read_or_empty, spread
 
 STORED = (
     "id string, filename string, text string, embedding array<double>, "
@@ -48,7 +48,8 @@ def prepare_documents(
     Files already stored leave before they are extracted or embedded, and only
     text that survived cleaning is embedded.
     """
-    hashed = files.select(X.content_id(F.col("content")).alias("id"), "filename", "content")
+    file_id = X.content_id(F.col("content")).alias("id")
+    hashed = spread(files).select(file_id, "filename", "content")
     new = incremental.new_only(hashed, existing)
     new = incremental.within_batch(new, within_batch, "filename")
     read = new.withColumn("_x", extracted(F.col("content"), extractor)).select(
@@ -56,7 +57,9 @@ def prepare_documents(
     )
     empty = F.when(F.col("text") == "", F.lit(EMPTY_TEXT))
     read = read.withColumn("_bad", F.coalesce("error", empty)).drop("error")
-    out = embed_documents(read, embedder, cache_path=cache_path, **embed_options)
+    out = embed_documents(
+        read, embedder, cache_path=cache_path, spread_out=False, **embed_options
+    )
     error = F.coalesce("_bad", "error")
     return out.select(
         "id",

@@ -374,8 +374,8 @@ def knn_blocks(spark, sf_dir):
     """All vectors as queries of all vectors, by the way for large query sets."""
     table = _scaled(spark, sf_dir)
     queries = table.select(F.col("row_id").alias("query_id"), "v")
-    options = {"max_broadcast_queries": 1, "block_bytes": 1 << 16}
-    return _rounded_hits(neighbors.knn(table, queries, 5, V.L2, **options))
+    hits = neighbors.knn(table, queries, 5, V.L2, max_broadcast_queries=0)
+    return _rounded_hits(hits)
 
 
 def knn_overfetch(spark, sf_dir):

@@ -154,14 +154,18 @@ def file_count(df: DataFrame) -> int:
     return len(df._jdf.inputFiles())
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *, after_shuffle: bool = False) -> DataFrame:
     """Share a small input out over all cores before costly per-row work.
 
     A small file is often a single row group and so a single task. Only inputs
     of fewer files than cores, which the planner estimates at a few megabytes
     per core, are shuffled for it; others come in enough parts as they are.
+    After a shuffle the number of files says nothing, as adaptive execution
+    merges small parts.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if planned_bytes(df) > cores * _SMALL_PER_CORE or file_count(df) >= cores:
+    if planned_bytes(df) > cores * _SMALL_PER_CORE:
+        return df
+    if not after_shuffle and file_count(df) >= cores:
         return df
     return df.repartition(cores)
