@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.simhash import op10_simhash_near_dedup
+from nearkin.llm.token_shards import op9_token_shards
+from nearkin.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_decontamination,
+        op6_toxicity,
+        op9_token_shards,
         op10_simhash_near_dedup,
     )
 }
