@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,61 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, a missing one as an empty one, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [b or b"" for b in column.cast(kind).to_pylist()]
+
+
+def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have at most ``max_bytes``, or are one long text."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(sizes):
+        before = ends[lo] - sizes[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+class IdStore:
+    """Sequences of ids by the string they stand for, in flat arrays."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.code: dict[str, int] = {}
+        self._flat, self._used = np.empty(1 << 16, np.uint32), 0
+        self._starts, self._sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def unknown(self, strings: set[str]) -> list[str]:
+        """Those not stored yet; what is stored goes first where it gets too much."""
+        new = [s for s in strings if s not in self.code]
+        if self.code and len(self.code) + len(new) > self.limit:
+            self.clear()
+            new = list(strings)
+        return new
+
+    def add(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.code), self._used + len(flat)
+        if used > len(self._flat):
+            self._flat = np.resize(self._flat, 2 * used)
+        if n + len(strings) > len(self._starts):
+            self._starts = np.resize(self._starts, 2 * (n + len(strings)))
+            self._sizes = np.resize(self._sizes, 2 * (n + len(strings)))
+        self._flat[self._used : used] = flat
+        self._sizes[n : n + len(strings)] = sizes
+        self._starts[n : n + len(strings)] = self._used + np.cumsum(sizes) - sizes
+        self._used = used
+        self.code.update(zip(strings, range(n, n + len(strings)), strict=True))
+
+    def gather(self, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a row of stored strings, and how many each text has of them.
+
+        ``per_text`` tells how many strings belong to each text.
+        """
+        each = self._sizes[codes]
+        ends = np.cumsum(each)
+        at = np.repeat(self._starts[codes] - (ends - each), each)
+        at += np.arange(len(at))
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+        return self._flat[at], np.diff(bounds)

@@ -7,18 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearkin.llm.decontaminate import op1_decontamination
+from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
+from nearkin.llm.pieces import op5_piece_suffix_arrays
+from nearkin.llm.pivots import op4_pivot_permutations
 from nearkin.llm.simhash import op10_simhash_near_dedup
 from nearkin.llm.token_shards import op9_token_shards
 from nearkin.llm.toxicity import op6_toxicity
+from nearkin.llm.url_lists import OP2_SQL, op2_url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination,
+        op2_url_lists,
+        op3_log_templates,
+        op4_pivot_permutations,
+        op5_piece_suffix_arrays,
         op6_toxicity,
         op9_token_shards,
         op10_simhash_near_dedup,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    op2_url_lists.__name__: OP2_SQL,
+    op3_log_templates.__name__: OP3_SQL,
+}
