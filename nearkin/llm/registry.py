@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearkin.llm.context_trees import op8_context_tree_weighting
 from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
 from nearkin.llm.pieces import op5_piece_suffix_arrays
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_pivot_permutations,
         op5_piece_suffix_arrays,
         op6_toxicity,
+        op8_context_tree_weighting,
         op9_token_shards,
         op10_simhash_near_dedup,
     )
