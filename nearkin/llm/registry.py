@@ -11,6 +11,7 @@ from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
 from nearkin.llm.pieces import op5_piece_suffix_arrays
 from nearkin.llm.pivots import op4_pivot_permutations
+from nearkin.llm.repeats import op7_suffix_array_family
 from nearkin.llm.simhash import op10_simhash_near_dedup
 from nearkin.llm.token_shards import op9_token_shards
 from nearkin.llm.toxicity import op6_toxicity
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_pivot_permutations,
         op5_piece_suffix_arrays,
         op6_toxicity,
+        op7_suffix_array_family,
         op8_context_tree_weighting,
         op9_token_shards,
         op10_simhash_near_dedup,
