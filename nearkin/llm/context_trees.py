@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearkin.llm.common import fold_of, read
 from nearkin.sources.storage import durable
@@ -248,7 +249,7 @@ def _probabilities(strings: pa.Table, tops: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(tree.keys.astype(np.int64)), "lp": lp})
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _kt(n0: pa.Array, n1: pa.Array) -> pa.Array:
     return pa.array(log_kt(n0.to_numpy(), n1.to_numpy()))
 
