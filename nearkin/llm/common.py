@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -52,25 +54,30 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
         lo = hi
 
 
+def task_cache() -> dict:
+    """What a worker process keeps from one task to the next.
+
+    Code of this package travels with each task, so its own globals don't last.
+    """
+    return sys.modules.setdefault("_nearkin_tasks", ModuleType("_nearkin_tasks")).__dict__
+
+
 class IdStore:
-    """Sequences of ids by the string they stand for, in flat arrays."""
+    """Sequences of ids by the string they stand for, in flat arrays.
+
+    The first ``limit`` strings stay; later ones go at the next ``trim``.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
         self.code: dict[str, int] = {}
+        self._late: list[str] = []
         self._flat, self._used = np.empty(1 << 16, np.uint32), 0
         self._starts, self._sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def unknown(self, strings: set[str]) -> list[str]:
-        """Those not stored yet; what is stored goes first where it gets too much."""
-        new = [s for s in strings if s not in self.code]
-        if self.code and len(self.code) + len(new) > self.limit:
-            self.clear()
-            new = list(strings)
-        return new
+        """Those not stored yet."""
+        return [s for s in strings if s not in self.code]
 
     def add(self, strings: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
         n, used = len(self.code), self._used + len(flat)
@@ -84,6 +91,7 @@ class IdStore:
         self._starts[n : n + len(strings)] = self._used + np.cumsum(sizes) - sizes
         self._used = used
         self.code.update(zip(strings, range(n, n + len(strings)), strict=True))
+        self._late.extend(strings[max(0, self.limit - n) :])
 
     def gather(self, codes: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a row of stored strings, and how many each text has of them.
@@ -96,3 +104,11 @@ class IdStore:
         at += np.arange(len(at))
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         return self._flat[at], np.diff(bounds)
+
+    def trim(self) -> None:
+        """Forgets the strings beyond the limit."""
+        if self._late:
+            self._used = int(self._starts[self.code[self._late[0]]])
+            for s in self._late:
+                del self.code[s]
+            self._late = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import IdStore, batches_of, read, text_slices
+from nearkin.llm.common import IdStore, batches_of, read, task_cache, text_slices
 
 BLANK = "▁"
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -35,8 +35,8 @@ _NONE = np.int64(1 << 40)
 _INDEX_CHARS = 1_000_000
 #: Bytes of text that are encoded at a time.
 _SLICE_BYTES = 8 << 20
-#: Stretches whose ids are remembered within a task.
-_MEMO = 500_000
+#: Stretches whose ids a worker remembers.
+_MEMO = 300_000
 
 
 @dataclass
@@ -293,8 +293,10 @@ class PieceModel:
                 block.append(s)
                 size += len(s) + 1
         per_text = np.array([len(stretches) for stretches in cut], np.int64)
-        found = map(store.code.__getitem__, chain.from_iterable(cut))
-        return store.gather(np.fromiter(found, np.int64, per_text.sum()), per_text)
+        codes = map(store.code.__getitem__, chain.from_iterable(cut))
+        found = store.gather(np.fromiter(codes, np.int64, per_text.sum()), per_text)
+        store.trim()
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: the blank in front goes, broken bytes are replaced."""
@@ -332,7 +334,7 @@ def encode_pieces(
     schema = docs.withColumn(ids_col, F.array(F.lit(0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, store = sent.value, IdStore(_MEMO)
+        model, store = sent.value, task_cache().setdefault(path, IdStore(_MEMO))
         for whole in batches_of(batches):
             for batch in text_slices(whole, text_col, _SLICE_BYTES):
                 texts = [t or "" for t in batch[text_col].to_pylist()]
@@ -364,7 +366,8 @@ def decode_pieces(
     return encoded.mapInArrow(run, schema)
 
 
-def _model_path() -> str:
+def model_path() -> str:
+    """The installed public merge model with byte fallback."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -372,7 +375,7 @@ def _model_path() -> str:
 
 def op5_piece_suffix_arrays(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encodes every text, decodes the ids, and tells both by count, crc and equality."""
-    path = path or _model_path()
+    path = path or model_path()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = encode_pieces(docs, path).withColumnRenamed("text", "was")
     back = decode_pieces(encoded, path)
