@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log, log1p
 
@@ -218,19 +218,27 @@ def _learn_lexicon(train: DataFrame) -> Lexicon:
     return Lexicon(weights)
 
 
-def with_features(docs: DataFrame, lexicon: Lexicon, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and ``features``, an array in the order of ``FEATURES``."""
-    kept = docs.select(*keep, F.col(text_col).alias("_t"))
+def with_features(
+    docs: DataFrame,
+    lexicon: Lexicon,
+    keep: list[str],
+    text_of: Callable[[pa.RecordBatch], pa.Array],
+    sent: list[str],
+) -> DataFrame:
+    """The columns ``keep`` and ``features``, an array in the order of ``FEATURES``.
+
+    Tasks get the columns ``sent``, in which ``text_of`` finds the texts.
+    """
     schema = docs.select(*keep).withColumn("features", F.array(F.lit(0.0))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
-            rows = [lexicon.features(t or "") for t in batch["_t"].to_pylist()]
+            rows = [lexicon.features(t or "") for t in text_of(batch).to_pylist()]
             found = pa.array(rows, pa.list_(pa.float64()))
             columns = [*(batch[c] for c in keep), found]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "features"])
 
-    return kept.mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def _training_rows(
@@ -266,7 +274,9 @@ def fit_toxicity(
     )
     lexicon = _learn_lexicon(train)
     held_back = F.pmod(F.xxhash64(F.coalesce("t", F.lit(""))), F.lit(5)) == 0
-    rows = with_features(train.withColumn("held_back", held_back), lexicon, "t", ["y", "held_back"])
+    keep = ["y", "held_back"]
+    rows = train.withColumn("held_back", held_back)
+    rows = with_features(rows, lexicon, keep, lambda batch: batch["t"], [*keep, "t"])
     rows = rows.select("held_back", F.col("y").cast("double").alias("label"), "features")
     rows = durable(rows, "features").coalesce(4)
     counts = {
@@ -303,27 +313,33 @@ def score_toxicity(
     calibrated probability is a step function; a thousandth of the trees' own
     output orders texts on the same step.
     """
-    rows = with_features(docs, model.lexicon, text_col, [id_col])
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    rows = with_features(rows, model.lexicon, ["_id"], lambda batch: batch["_t"], ["_id", "_t"])
+    return _scored(rows, model, "_id").withColumnRenamed("_id", id_col)
+
+
+def _scored(rows: DataFrame, model: ToxicityModel, key: str) -> DataFrame:
     if model.trees is None:
-        scored = rows.select(id_col, F.lit(float(model.share)).alias("score"))
+        scored = rows.select(key, F.lit(float(model.share)).alias("score"))
     else:
         raw = model.trees.transform(rows.withColumn("features", array_to_vector("features")))
-        raw = raw.select(id_col, _raw().alias("p"))
+        raw = raw.select(key, _raw().alias("p"))
         if model.calibration is None:
             scored = raw.withColumnRenamed("p", "score")
         else:
             mixed = 0.999 * F.col("calibrated") + 0.001 * F.col("p")
-            scored = model.calibration.transform(raw).select(id_col, mixed.alias("score"))
+            scored = model.calibration.transform(raw).select(key, mixed.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def drop_toxic(
-    docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
     """The rows that the model doesn't call toxic, all columns, in place."""
-    plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
-    scored = score_toxicity(plain, model, id_col="_row", text_col="_text")
-    return scored.where("predicted = 0").select("_row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    at = docs.columns.index(text_col)
+    rows = with_features(
+        rows, model.lexicon, ["_row"], lambda batch: batch["_row"].field(at), ["_row"]
+    )
+    return _scored(rows, model, "_row").where("predicted = 0").select("_row.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
