@@ -18,6 +18,9 @@ that they can be split.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,48 +38,54 @@ _BLANKS = r"[ \t\r\f]+"
 
 def masked_line(line: Column) -> Column:
     """The line with single blanks between tokens and those with digits masked."""
-    plain = F.trim(F.regexp_replace(line, _BLANKS, " "))
+    # most lines need neither expression, and finding that out is cheap
+    uneven = reduce(or_, (line.contains(x) for x in ("  ", "\t", "\r", "\f")))
+    plain = F.trim(F.when(uneven, F.regexp_replace(line, _BLANKS, " ")).otherwise(line))
     masked = F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
-    return F.when(plain.rlike("[0-9]"), masked).otherwise(plain)
+    digits = reduce(or_, (plain.contains(str(x)) for x in range(10)))
+    return F.when(digits, masked).otherwise(plain)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row for each line with enough tokens, with its place in the tree."""
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each line, with its place in the tree; empty ones have one token."""
     text = F.col(text_col)
     broken = docs.select(
         F.col(id_col).alias("doc"),
         F.xxhash64(text).alias("dh"),
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     )
-    m = broken.withColumn("m", masked_line(F.col("line"))).where("m != ''")
-    blanks = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit("")))
-    lead = F.substring_index("m", " ", LEADING_TOKENS)
-    return m.select(
+    m = masked_line(F.col("line"))
+    blanks = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit("")))
+    return broken.select(
         "doc",
         "dh",
         "pos",
         (blanks + 1).alias("n"),
-        F.xxhash64(lead).alias("lh"),
-        F.xxhash64("m").alias("th"),
-        "m",
-    ).where(F.col("n") >= MIN_TOKENS)
+        F.xxhash64(F.substring_index(m, " ", LEADING_TOKENS)).alias("lh"),
+        F.xxhash64(m).alias("th"),
+    )
 
 
-def _leaf_instances(lines: DataFrame, narrow: DataFrame) -> DataFrame:
+def _leaf_instances(docs: DataFrame, id_col: str, text_col: str, narrow: DataFrame) -> DataFrame:
     """``(n, lh, th)`` of the different lines that are instances of their leaf's template."""
     one = F.min(F.struct("doc", "dh", "pos")).alias("one")
     different = durable(narrow.where(F.col("n") > LEADING_TOKENS).groupBy("n", "lh", "th").agg(one), "lines")
     leaves = different.groupBy("n", "lh").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = durable(
-        different.join(leaves, ["n", "lh"]).select(
-            F.col("one.doc").alias("d"), F.col("one.dh").alias("h"), F.col("one.pos").alias("p")
-        ),
-        "wanted",
+    line = F.struct("n", "lh", "th", F.col("one.pos").alias("pos"))
+    # no more lines than the document has
+    wanted = different.join(leaves, ["n", "lh"]).groupBy("one.doc", "one.dh").agg(
+        F.collect_list(line).alias("lines")
     )
+    wanted = durable(wanted, "wanted")
     few = wanted.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("dh") == F.col("h")) & (F.col("pos") == F.col("p"))
-    fetched = lines.join(F.broadcast(wanted) if few else wanted, same, "left_semi")
-    fetched = fetched.select("n", "lh", "th", "m").dropDuplicates(["n", "lh", "th"])
+    text = F.col(text_col)
+    same = F.col(id_col).eqNullSafe(F.col("doc")) & (F.xxhash64(text) == F.col("dh"))
+    met = docs.join(F.broadcast(wanted) if few else wanted, same)
+    broken = F.split(text, "\n")
+    fetched = met.select(broken.alias("broken"), F.explode("lines").alias("l")).select(
+        "l.n", "l.lh", "l.th", masked_line(F.get("broken", F.col("l.pos"))).alias("m")
+    )
+    fetched = fetched.dropDuplicates(["n", "lh", "th"])
     tokens = F.split("m", " ")
     rest = F.slice(tokens, LEADING_TOKENS + 1, F.size(tokens))
     rows = durable(fetched.select("n", "lh", "th", rest.alias("rest")), "leaf_lines")
@@ -103,9 +112,9 @@ def dropped_lines(
 
     A document is an id with a text's hash, so rows alike in both are one.
     """
-    lines = _lines(docs.select(id_col, text_col), id_col, text_col)
-    narrow = durable(lines.drop("m"), "places")
-    instances = _leaf_instances(lines, narrow).withColumn("leaf", F.lit(True))
+    docs = docs.select(id_col, text_col)
+    narrow = durable(_places(docs, id_col, text_col), "places").where(F.col("n") >= MIN_TOKENS)
+    instances = _leaf_instances(docs, id_col, text_col, narrow).withColumn("leaf", F.lit(True))
     # an instance stands for its leaf's template, any other line for itself
     placed = narrow.join(instances, ["n", "lh", "th"], "left").select(
         "doc", "dh", "pos", "n", "lh", F.when(F.col("leaf"), None).otherwise(F.col("th")).alias("t")
@@ -153,11 +162,12 @@ def dedup_lines(
     lines = F.split(text, "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    newlines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     new = F.when(F.col("_gone").isNull(), text).otherwise(kept)
     columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return joined.select(
         *columns,
-        F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(newlines + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
