@@ -14,8 +14,9 @@ nowhere else occurs nowhere else itself, which clears most of a corpus by a coun
 of hashes. The others enter the index: neighbouring stretches with one anchor as
 one entry, and entries of the same bytes as one with a count, so that large groups
 of copies stay small. Where an anchor has more different entries than a shard should
-hold, its stretches become entries one by one; those differ only if their text
-does, so counting copies settles them.
+hold, entries are cut into sixteen stretches each, which share 185 bytes that tell
+them apart further, and if that is not enough into single stretches. Two of these
+differ only if their text does, so counting copies settles them.
 """
 
 from __future__ import annotations
@@ -36,13 +37,15 @@ LENGTH = 200
 ANCHOR_BYTES = 64
 #: Anchors with more different entries have their stretches counted one by one.
 HOT_ENTRIES = 256
-SHARD_ENTRIES = 4_000
+SHARD_ENTRIES = 3_000
 BATCH_ENTRIES = 512
+#: Stretches of a cut of hot entries.
+FINE = 16
 
 _PIECE = 2 << 20
 _PLACE_BITS = 24  # places within a piece, below the hash that is compared
 _BASE = 0x9E3779B97F4A7C15
-_ANCHOR = "doc long, dh int, first int, run int, h1 long, h2 long"
+_ANCHOR = "doc long, dh int, first int, run int, lead int, k1 long, k2 long"
 _OPEN, _SETTLED, _PATTERN = 0, 1, 2
 
 
@@ -52,42 +55,42 @@ _OPEN, _SETTLED, _PATTERN = 0, 1, 2
 class SuffixFamily:
     """Levels of suffix arrays over batches of texts, for matches of ``length`` bytes.
 
-    A suffix is kept as its first ``length`` bytes and the number of its owner,
-    in the order of the bytes.
+    An array has the first ``length`` bytes of its suffixes in order, and the number
+    of the owner of each. Bytes of equal width compare as they are.
     """
 
     def __init__(self, length: int = LENGTH):
         self.length = length
-        self.levels: list[tuple[int, list[bytes]]] = []
-        self.matched: set[int] = set()
+        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self._matched: list[np.ndarray] = [np.empty(0, np.int64)]
 
-    def add(self, suffixes: list[tuple[bytes, int]]) -> None:
+    @property
+    def matched(self) -> np.ndarray:
+        """Owners of the suffixes that occur more than once, in order."""
+        return np.unique(np.concatenate(self._matched))
+
+    def add(self, suffixes: np.ndarray, owners: np.ndarray) -> None:
         """A new batch: its own array, scans against all levels, merges."""
-        n, new = self.length, [s + owner.to_bytes(8, "big") for s, owner in suffixes]
-        new.sort()
-        self._scan(new)
-        for _, level in self.levels:
-            both = level + new
-            both.sort()  # two sorted runs: one linear merge
-            self._scan(both)
+        new, own = self._merged(suffixes, owners)
+        for _, level, level_own in self.levels:
+            self._merged(np.concatenate([level, new]), np.concatenate([level_own, own]))
         rank = 0
-        # one suffix of each text stands for all that were matched to it
-        new = [x for i, x in enumerate(new) if not i or new[i - 1][:n] != x[:n]]
         while self.levels and self.levels[-1][0] == rank:
-            _, level = self.levels.pop()
-            new = level + new
-            new.sort()
-            new = [x for i, x in enumerate(new) if not i or new[i - 1][:n] != x[:n]]
+            _, level, level_own = self.levels.pop()
+            new, own = self._merged(
+                np.concatenate([level, new]), np.concatenate([level_own, own])
+            )
             rank += 1
-        self.levels.append((rank, new))
+        self.levels.append((rank, new, own))
 
-    def _scan(self, array: list[bytes]) -> None:
-        n = self.length
-        heads = [x[:n] for x in array]
-        for i, (a, b) in enumerate(zip(heads, heads[1:], strict=False)):
-            if a == b:
-                self.matched.add(int.from_bytes(array[i][n:], "big"))
-                self.matched.add(int.from_bytes(array[i + 1][n:], "big"))
+    def _merged(self, suffixes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes in order, each text once; notes owners of equal ones."""
+        order = np.argsort(suffixes, kind="stable")
+        suffixes, owners = suffixes[order], owners[order]
+        same = suffixes[1:] == suffixes[:-1]
+        self._matched += [owners[1:][same], owners[:-1][same]]
+        first = np.concatenate([[True], ~same]) if len(suffixes) else np.empty(0, bool)
+        return suffixes[first], owners[first]
 
 
 # -- anchors ------------------------------------------------------------------------
@@ -114,10 +117,11 @@ class Anchors:
         self._byte = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
     def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-        """``(text, first, run, h1, h2)`` in parts: runs of stretches with one anchor.
+        """``(text, first, run, lead, k1, k2)`` in parts: runs of stretches with one anchor.
 
-        ``first`` is where a run's first stretch starts and ``run`` how many there
-        are; ``h1`` hashes the anchor's bytes, ``h2`` all bytes of the run.
+        ``first`` is where a run's first stretch starts, ``run`` how many there are
+        and ``lead`` how far the anchor is from there; ``k1`` hashes the anchor's
+        bytes, ``k2`` all bytes of the run.
         """
         held, owners, offsets, size = [], [], [], 0
         for i, text in enumerate(texts):
@@ -160,7 +164,8 @@ class Anchors:
         h2 = _mix(whole + run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         text = np.array(owners, np.int64)[part]
         offset = first - starts[part] + np.array(offsets, np.int64)[part]
-        return text, offset, run, h[anchor].view(np.int64), h2.view(np.int64)
+        lead = anchor - first
+        return text, offset, run, lead, h[anchor].view(np.int64), h2.view(np.int64)
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -180,7 +185,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         finder = Anchors()
         for batch in batches_of(batches):
             ids, hashes = batch["doc"], batch["dh"]
-            for text, first, n, h1, h2 in finder.of(as_bytes(batch["t"])):
+            for text, first, n, lead, k1, k2 in finder.of(as_bytes(batch["t"])):
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -188,49 +193,42 @@ def _anchors(docs: DataFrame) -> DataFrame:
                         hashes.take(at),
                         pa.array(first.astype(np.int32)),
                         pa.array(n.astype(np.int32)),
-                        pa.array(h1),
-                        pa.array(h2),
+                        pa.array(lead.astype(np.int32)),
+                        pa.array(k1),
+                        pa.array(k2),
                     ],
-                    names=["doc", "dh", "first", "run", "h1", "h2"],
+                    names=["doc", "dh", "first", "run", "lead", "k1", "k2"],
                 )
 
     return docs.mapInArrow(run, _ANCHOR)
 
 
-def _marks(docs: DataFrame) -> DataFrame:
-    """Runs whose anchor occurs elsewhere, ``(doc, dh, first, run, h1, h2, kind, hot)``.
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """Rows of which something occurs elsewhere, with ``kind`` and ``hot``.
 
-    Settled runs have copies. Open ones are to be matched, with patterns: one
-    copy of each settled run that shares an anchor with an open one.
+    Stretches of two rows can only be equal if ``k1`` is; rows equal in ``k1`` and
+    ``k2`` are copies. Settled rows have copies. Open ones are to be matched, with
+    patterns: one copy of each settled row that shares ``k1`` with an open one,
+    which weighs two. ``hot`` rows have very many different ones with their ``k1``.
     """
-    anchors = _anchors(docs)
-    again = anchors.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
-    near = durable(anchors.join(durable(again, "anchors"), "h1"), "near")
-    entries = near.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    entries = durable(entries, "entries")
-    per_anchor = entries.groupBy("h1").agg(
+    entries = durable(rows.groupBy("k1", "k2").agg(F.sum("weight").alias("n")), "entries")
+    per_key = entries.groupBy("k1").agg(
         F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("open")
     )
-    about = entries.join(durable(per_anchor, "per_anchor"), "h1").where("m > 1 OR n > 1")
-    about = durable(about, "about")
-    marks = near.join(about, ["h1", "h2"]).select(
-        "doc",
-        "dh",
-        "first",
-        "run",
-        "h1",
-        "h2",
+    about = entries.join(durable(per_key, "per_key"), "k1").where("m > 1 OR n > 1")
+    found = rows.join(durable(about, "about"), ["k1", "k2"]).select(
+        *rows.columns,
         F.when(F.col("n") == 1, _OPEN).otherwise(_SETTLED).alias("kind"),
         (F.col("m") > HOT_ENTRIES).alias("hot"),
         (F.col("open") > 0).alias("wanted"),
     )
-    marks = durable(marks, "marks")
-    copies = marks.where((F.col("kind") == _SETTLED) & F.col("wanted"))
-    one = F.min(F.struct("doc", "dh", "first", "run", "hot")).alias("s")
-    patterns = copies.groupBy("h1", "h2").agg(one).select("s.*", "h1", "h2")
-    patterns = patterns.withColumn("kind", F.lit(_PATTERN))
-    columns = ["doc", "dh", "first", "run", "h1", "kind", "hot"]
-    return durable(marks.select(columns).union(patterns.select(columns)), "runs")
+    found = durable(found, "found")
+    copies = found.where((F.col("kind") == _SETTLED) & F.col("wanted"))
+    one = F.min(F.struct(*(c for c in found.columns if c not in ("k1", "k2")))).alias("s")
+    patterns = copies.groupBy("k1", "k2").agg(one).select("s.*", "k1", "k2")
+    patterns = patterns.withColumns({"kind": F.lit(_PATTERN), "weight": F.lit(2)})
+    columns = [*rows.columns, "kind", "hot"]
+    return durable(found.select(columns).union(patterns.select(columns)), "sorted_out")
 
 
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
@@ -240,17 +238,32 @@ def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 _SAME = "doc <=> _doc AND dh = _dh"
+_ENTRY = (
+    "fine boolean, doc long, dh int, first int, run int, k1 long, k2 long, weight int, bytes binary"
+)
+
+
+def _fine(text: bytes, r: dict) -> Iterator[tuple[int, int, int, int]]:
+    """``(first, run, k1, k2)`` of up to sixteen stretches each, cut by the anchor."""
+    anchor, at, end = r["first"] + r["lead"], r["first"], r["first"] + r["run"]
+    while at < end:
+        block = (anchor - at) // FINE
+        stop = min(end, anchor - block * FINE + 1)
+        # what every stretch of the block holds, whichever of them are in this run
+        low, high = anchor - block * FINE, anchor - block * FINE - FINE + 1 + LENGTH
+        shared = blake2b(text[low:high], digest_size=8, salt=block.to_bytes(8, "big", signed=True))
+        own = blake2b(text[at : stop - 1 + LENGTH], digest_size=8)
+        own.update((anchor - at).to_bytes(8, "big", signed=True))
+        k1, k2 = (int.from_bytes(x.digest(), "big", signed=True) for x in (shared, own))
+        yield at, stop - at, k1, k2
+        at = stop
 
 
 def _entries(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """Texts of the runs to be matched, and of each stretch of the hot ones.
-
-    ``(shard_key, doc, dh, first, run, weight, bytes)``; a hot stretch has a digest in
-    place of its bytes and no ``shard_key``. A pattern weighs two and has no ``run``.
-    """
-    held = _by_document(runs.where(F.col("kind") != _SETTLED), "first", "run", "h1", "kind", "hot")
+    """Bytes of the runs to be matched; hot runs are cut into ``fine`` ones."""
+    wanted = runs.where(F.col("kind") != _SETTLED)
+    held = _by_document(wanted, "first", "run", "lead", "k1", "k2", "hot", "weight")
     met = docs.join(held, F.expr(_SAME)).select("doc", "dh", "t", "runs")
-    schema = "shard_key long, doc long, dh int, first int, run int, weight int, bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches):
@@ -260,26 +273,23 @@ def _entries(docs: DataFrame, runs: DataFrame) -> DataFrame:
                 ids, hashes, as_bytes(batch["t"]), batch["runs"].to_pylist(), strict=True
             ):
                 for r in held:
-                    first, n, weight = r["first"], r["run"], 1 + (r["kind"] == _PATTERN)
-                    if not r["hot"]:
+                    parts = [(r["first"], r["run"], r["k1"], r["k2"])]
+                    for first, n, k1, k2 in _fine(text, r) if r["hot"] else parts:
                         data = text[first : first + n - 1 + LENGTH]
-                        rows.append((r["h1"], doc, dh, first, n, weight, data))
-                        continue
-                    for at in range(first, first + n):
-                        digest = blake2b(text[at : at + LENGTH], digest_size=16).digest()
-                        rows.append((None, doc, dh, at, 1, weight, digest))
+                        rows.append((r["hot"], doc, dh, first, n, k1, k2, r["weight"], data))
                 if len(rows) >= 20_000:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(run, _ENTRY)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    names = ["shard_key", "doc", "dh", "first", "run", "weight", "bytes"]
+    long, int_ = pa.int64(), pa.int32()
+    kinds = (pa.bool_(), long, int_, int_, int_, long, long, int_, pa.binary())
+    names = ["fine", "doc", "dh", "first", "run", "k1", "k2", "weight", "bytes"]
     columns = zip(*rows, strict=True)
     arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=names)
@@ -288,38 +298,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _match_shard(key: tuple, shard: pa.Table) -> pa.Table:
     """Runs of matched stretches among the entries of a shard."""
     family = SuffixFamily()
-    first, run = shard["first"].to_pylist(), shard["run"].to_pylist()
+    first, run, weight = (shard[c].to_numpy() for c in ("first", "run", "weight"))
     data = shard["bytes"].to_pylist()
-    # an owner is a row and a stretch of it
     for lo in range(0, shard.num_rows, BATCH_ENTRIES):
-        family.add(
-            [
-                (data[i][k : k + LENGTH], i << 20 | k)
-                for i in range(lo, min(lo + BATCH_ENTRIES, shard.num_rows))
-                for k in range(run[i])
-            ]
-        )
-    weight = shard["weight"].to_pylist()
-    rows, starts, lengths = [], [], []
-    last = None
-    for owner in sorted(family.matched):
-        i, k = owner >> 20, owner & ((1 << 20) - 1)
-        if weight[i] > 1:
-            continue
-        if last == owner - 1:
-            lengths[-1] += 1
-        else:
-            rows.append(i)
-            starts.append(first[i] + k)
-            lengths.append(1)
-        last = owner
-    at = pa.array(rows, pa.int64())
+        hi = min(lo + BATCH_ENTRIES, shard.num_rows)
+        x = np.frombuffer(b"".join(data[lo:hi]), np.uint8)
+        sizes = np.array([len(b) for b in data[lo:hi]], np.int64)
+        n = run[lo:hi].astype(np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + place
+        stretches = np.lib.stride_tricks.sliding_window_view(x, LENGTH)[at]
+        # an owner is a row and a stretch of it
+        owners = (np.repeat(np.arange(lo, hi), n) << 20) | place
+        family.add(stretches.view(f"S{LENGTH}").ravel(), owners)
+    owner = family.matched
+    owner = owner[weight[owner >> 20] == 1]
+    begin = np.flatnonzero(np.diff(owner, prepend=-2) != 1)
+    length = np.diff(np.concatenate([begin, [len(owner)]]))
+    row = owner[begin] >> 20
+    start = first[row] + (owner[begin] & ((1 << 20) - 1))
+    at = pa.array(row, pa.int64())
     return pa.table(
         {
             "doc": shard["doc"].take(at),
             "dh": shard["dh"].take(at),
-            "first": pa.array(starts, pa.int32()),
-            "run": pa.array(lengths, pa.int32()),
+            "first": pa.array(start, pa.int32()),
+            "run": pa.array(length, pa.int32()),
         }
     )
 
@@ -329,22 +333,47 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     ``docs`` has ``doc, dh, t``, an id, a hash of the text and its bytes.
     """
-    runs = _marks(docs)
+    anchors = durable(_anchors(docs), "anchors")
+    again = anchors.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
+    near = durable(anchors.join(durable(again, "again"), "k1"), "near")
+    runs = _sorted_out(near.withColumn("weight", F.lit(1)))
     entries = durable(_entries(docs, runs), "entries")
-    cool = entries.where("shard_key IS NOT NULL")
-    shards = max(1, ceil(cool.count() / SHARD_ENTRIES))
-    shard = F.pmod(F.xxhash64("shard_key"), F.lit(shards)).cast("int")
+    fine = _sorted_out(entries.where("fine"))
+    single = fine.where((F.col("kind") != _SETTLED) & F.col("hot"))
+    open_ = fine.where((F.col("kind") != _SETTLED) & ~F.col("hot"))
+    columns = ["doc", "dh", "first", "run"]
+    held = [*columns, "k1", "weight", "bytes"]
+    indexed = durable(entries.where("NOT fine").select(held).union(open_.select(held)), "indexed")
+    shards = max(1, ceil(indexed.count() / SHARD_ENTRIES))
+    shard = F.pmod(F.xxhash64("k1"), F.lit(shards)).cast("int")
     matched = (
-        cool.withColumn("shard", shard)
+        indexed.withColumn("shard", shard)
         .groupBy("shard")
         .applyInArrow(_match_shard, "doc long, dh int, first int, run int")
     )
-    hot = entries.where("shard_key IS NULL")
-    common = hot.groupBy("bytes").agg(F.sum("weight").alias("n")).where("n > 1").select("bytes")
-    counted = hot.where("weight = 1").join(durable(common, "common"), "bytes")
-    columns = ["doc", "dh", "first", "run"]
-    settled = runs.where(F.col("kind") == _SETTLED)
-    return settled.select(columns).union(matched).union(counted.select(columns))
+    settled = [x.where((F.col("kind") == _SETTLED) & (F.col("weight") == 1)) for x in (runs, fine)]
+    result = matched.union(_repeated_singles(single))
+    for rows in settled:
+        result = result.union(rows.select(columns))
+    return result
+
+
+def _repeated_singles(rows: DataFrame) -> DataFrame:
+    """Stretches of hot rows one by one, those that have copies."""
+    places = F.explode(F.sequence(F.lit(0), F.col("run") - 1)).alias("k")
+    each = rows.select("doc", "dh", "first", "weight", "bytes", places)
+    each = each.select(
+        "doc",
+        "dh",
+        (F.col("first") + F.col("k")).alias("first"),
+        F.lit(1).alias("run"),
+        "weight",
+        F.unhex(F.md5(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)))).alias("digest"),
+    )
+    each = durable(each, "singles")
+    common = each.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest")
+    found = each.where("weight = 1").join(durable(common, "common"), "digest")
+    return found.select("doc", "dh", "first", "run")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from nearkin.llm import repeats
@@ -45,7 +46,7 @@ def sample():
     return texts
 
 
-@pytest.mark.parametrize("hot", [256, 2])
+@pytest.mark.parametrize("hot", [256, 8, 1])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT_ENTRIES", hot)
     texts = sample()
@@ -58,19 +59,15 @@ def test_empty(spark):
 
 def test_family_merges_and_matches():
     rng = random.Random(1)
-    family, seen, n = SuffixFamily(8), Counter(), 0
-    owners = {}
+    family, texts = SuffixFamily(8), []
     for _ in range(37):
-        batch = []
-        for _ in range(rng.randint(1, 9)):
-            s = bytes(rng.choice(b"\x00ab") for _ in range(8))
-            batch.append((s, n))
-            owners[n] = s
-            seen[s] += 1
-            n += 1
-        family.add(batch)
-    assert family.matched == {i for i, s in owners.items() if seen[s] > 1}
-    ranks = [rank for rank, _ in family.levels]
+        batch = [bytes(rng.choice(b"\x00ab") for _ in range(8)) for _ in range(rng.randint(1, 9))]
+        owners = np.arange(len(texts), len(texts) + len(batch))
+        texts += batch
+        family.add(np.frombuffer(b"".join(batch), "S8"), owners)
+    seen = Counter(texts)
+    assert family.matched.tolist() == [i for i, s in enumerate(texts) if seen[s] > 1]
+    ranks = [rank for rank, _, _ in family.levels]
     assert ranks == sorted(set(ranks), reverse=True)
 
 
@@ -80,8 +77,8 @@ def test_anchors_do_not_depend_on_pieces():
 
     def starts(piece):
         found = {}
-        for text, first, run, h1, _ in Anchors(piece=piece).of(texts):
-            for t, f, r, h in zip(text.tolist(), first.tolist(), run.tolist(), h1.tolist(), strict=True):
+        for text, first, run, _, k1, _ in Anchors(piece=piece).of(texts):
+            for t, f, r, h in zip(text.tolist(), first.tolist(), run.tolist(), k1.tolist(), strict=True):
                 found |= {(t, k): h for k in range(f, f + r)}
         return found
 
