@@ -2,12 +2,11 @@
 
 The work is a block matrix product inside Arrow batches, and every task keeps
 only its k best rows per query, so what is shuffled is ``tasks * queries * k``
-small rows and never the pairs. Two ways to bring both sides together:
-
-* few queries (count and bytes checked): they are broadcast, and the vector
-  table is read in place, without a shuffle;
-* more: both sides are cut into blocks of bounded size that meet on an equi key
-  ``(query block, vector block)``.
+small rows and never the pairs. Queries go to the tasks in blocks of bounded
+size, one block as a rule; the vector table is read in place, once for each
+block, and never shuffled. Large tables are read in part beforehand, which gives
+each query a distance that later rows have to beat, so that most tasks have
+little to hand on.
 """
 
 from __future__ import annotations
@@ -18,30 +17,29 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearkin.functions import vectors as V
 from nearkin.functions.vectors import COSINE, L2
-from nearkin.sources.storage import bounded_rows, durable, restrict, settled
+from nearkin.sources.storage import durable, planned_bytes, restrict, settled
 
-MAX_BROADCAST_QUERIES = 10_000
-MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_HITS = 200_000
-BLOCK_BYTES = 64 << 20
-# Below this a block is not split further just to keep all cores busy.
-MIN_BLOCK_ROWS = 250
-# A task for each pair of blocks, up to this many; then some get several.
-MAX_CELL_TASKS = 50_000
-
-# Scores are ranked by their first nine decimals, finer than single precision,
-# so what differs only by rounding errors ties and the id decides.
-SCORE_DECIMALS = 9
-
-# Cells of one score block, and rows of one exact re-evaluation.
+# A block of queries that is sent to the tasks.
+BLOCK_BYTES = 32 << 20
+# Larger tables are worth a look at some of their rows beforehand.
+SEED_ABOVE_BYTES = 16 << 30
+SEED_ROWS = 50_000
+
+# Scores that differ by less may be equal but for rounding errors; they tie, and
+# the id decides. Squared distances are good to that many significant digits,
+# products of unit vectors to that many decimals.
+DIGITS = 12
+
+# Cells of one score block, and bytes of one exact re-evaluation.
 _CELLS = 4_000_000
-_PAIRS = 65_536
+_EXACT_BYTES = 32 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
@@ -81,28 +79,69 @@ def _exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return (x * q).sum(1) if metric == COSINE else -((x - q) ** 2).sum(1)
 
 
+def _rank(exact: np.ndarray, metric: str) -> np.ndarray:
+    """Closeness without the digits that rounding errors reach."""
+    if metric == COSINE:
+        return np.round(exact, DIGITS)
+    size = np.abs(exact)
+    unit = 10.0 ** np.floor(np.log10(np.where(size > 0, size, 1.0)))
+    return np.where(size > 0, np.round(exact / unit, DIGITS - 1) * unit, 0.0)
+
+
 def _rounding_slack(x: np.ndarray, q: np.ndarray, metric: str) -> float:
-    """Bound on the error of ``_closeness`` plus the rounding of scores."""
+    """Bound on the errors of ``_closeness`` and of what ``_rank`` leaves out."""
     if not len(x):
         return 0.0
     xn = np.nanmax((x * x).sum(1)) ** 0.5
     qn = np.nanmax((q * q).sum(1)) ** 0.5
     size = xn * qn if metric == COSINE else (xn + qn) ** 2
-    return 8 * (x.shape[1] + 4) * np.finfo(float).eps * size + 10.0**-SCORE_DECIMALS
+    return (8 * (x.shape[1] + 4) * np.finfo(float).eps + 10.0 ** (1 - DIGITS)) * max(size, 1e-300)
+
+
+def _few_copies(x: np.ndarray, ids: pa.ChunkedArray, k: int) -> np.ndarray | None:
+    """The rows left if each vector has at most k copies, those of the lowest ids.
+
+    Of equal vectors no more can be among the k nearest to anything.
+    """
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    weights = np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        mixed = (bits ^ (bits >> np.uint64(29))) * weights
+        key = (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64)
+    if len(x) <= k or len(np.unique(key)) == len(x):
+        return None
+    table = pa.table({"key": key, "id": ids, "at": np.arange(len(x))})
+    order = table.sort_by([("key", "ascending"), ("id", "ascending")])["at"].to_numpy()
+    sorted_key = key[order]
+    first = np.searchsorted(sorted_key, sorted_key, side="left")
+    extra = np.arange(len(x)) - first >= k
+    # equal hashes alone are no proof
+    extra &= (x[order] == x[order[first]]).all(axis=1)
+    return np.sort(order[~extra]) if extra.any() else None
 
 
 class _TopK:
     """The k nearest rows per query among the blocks seen so far."""
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str, id_col: str):
+    def __init__(
+        self,
+        queries: np.ndarray,
+        k: int,
+        metric: str,
+        id_col: str,
+        floor: np.ndarray | None = None,
+    ):
         self.q = queries
         self.k = k
         self.metric = metric
         self.id_col = id_col
         self.best: pa.Table | None = None
-        self.floor = np.full(len(queries), -np.inf)
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor.copy()
 
     def add(self, rows: pa.Table, x: np.ndarray) -> None:
+        few = _few_copies(x, rows[self.id_col], self.k)
+        if few is not None:
+            rows, x = rows.take(pa.array(few)), x[few]
         step = max(1, _CELLS // max(1, len(x)))
         for start in range(0, len(self.q), step):
             self._add_queries(rows, x, start, min(start + step, len(self.q)))
@@ -116,32 +155,39 @@ class _TopK:
             kth = np.partition(near, len(x) - self.k, axis=0)[len(x) - self.k]
             floor = np.maximum(floor, kth)
         row, query = np.nonzero((near >= floor - slack) & (near > -np.inf))
-        for i in range(0, len(row), _PAIRS):
-            r, c = row[i : i + _PAIRS], query[i : i + _PAIRS]
+        step = max(1, _EXACT_BYTES // (8 * max(1, x.shape[1])))
+        for i in range(0, len(row), step):
+            r, c = row[i : i + step], query[i : i + step]
             exact = _exact(x[r], q[c], self.metric)
             hit = rows.take(pa.array(r)).append_column("_exact", pa.array(exact))
-            near_exact = np.round(exact, SCORE_DECIMALS)
-            hit = hit.append_column("_near", pa.array(near_exact))
+            hit = hit.append_column("_near", pa.array(_rank(exact, self.metric)))
             self._merge(hit.append_column("_query", pa.array(c + lo)))
 
     def _merge(self, found: pa.Table) -> None:
-        table = found if self.best is None else pa.concat_tables([self.best, found])
+        rest = None
+        if self.best is not None:
+            touched = np.zeros(len(self.q), bool)
+            touched[found["_query"].to_numpy()] = True
+            again = touched[self.best["_query"].to_numpy()]
+            rest = self.best.filter(pa.array(~again))
+            found = pa.concat_tables([self.best.filter(pa.array(again)), found])
         order = pc.sort_indices(
-            table,
+            found,
             sort_keys=[
                 ("_query", "ascending"),
                 ("_near", "descending"),
                 (self.id_col, "ascending"),
             ],
         )
-        query = table["_query"].to_numpy()[order]
+        query = found["_query"].to_numpy()[order]
         first = np.searchsorted(query, query, side="left")
         place = np.arange(len(query)) - first
         kept = place < self.k
-        self.best = table.take(order.filter(pa.array(kept)))
-        near = self.best["_near"].to_numpy()
+        best = found.take(order.filter(pa.array(kept)))
+        near = best["_near"].to_numpy()
         last = place[kept] == self.k - 1
-        self.floor[query[kept][last]] = near[last]
+        self.floor[query[kept][last]] = np.maximum(self.floor[query[kept][last]], near[last])
+        self.best = best if rest is None else pa.concat_tables([rest, best])
 
 
 def _signed(near: np.ndarray, metric: str) -> np.ndarray:
@@ -168,10 +214,6 @@ def _partial_schema(
     return T.StructType(fields)
 
 
-def _block_of(keys: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(keys), F.lit(blocks)).cast("int")
-
-
 def knn(
     table: DataFrame,
     queries: DataFrame,
@@ -181,33 +223,31 @@ def knn(
     id_col: str = "row_id",
     vector_col: str = "v",
     carry: Sequence[str] = (),
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
+    seed_above_bytes: int = SEED_ABOVE_BYTES,
 ) -> DataFrame:
     """The min(k, N) nearest rows of ``table`` for each row of ``queries``.
 
-    ``queries`` has ``query_id`` and ``v``. Row ids must be unique. Under
-    ``cosine`` both sides are scaled to unit length and higher is nearer; under
-    ``l2`` the raw score is the squared distance and lower is nearer. Ties go to
-    the lower id. ``carry`` columns ride along from the table, which saves a
-    join back to it. A vector with a NaN component is never near anything.
+    ``queries`` has ``query_id``, unique, and ``v``; a repeated ``query_id`` is an
+    error. Row ids must be unique. Under ``cosine`` both sides are scaled to unit
+    length and higher is nearer; under ``l2`` the raw score is the squared distance
+    and lower is nearer. Rows are ranked by their exact scores; those that differ
+    by rounding errors only (see ``DIGITS``) tie, and ties go to the lower id.
+    ``carry`` columns ride along from the table, which saves a join back to it. A
+    vector with a NaN component is never near anything.
 
     Returns ``query_id, rank, <id_col>, <carry...>, raw_score, score``.
     """
     V.check_metric(metric)
     if k < 1:
         raise ValueError("k must be at least 1")
-    queries = queries.select("query_id", "v")
     left = table.select(id_col, *carry, F.col(vector_col).alias("_v"))
     schema = _partial_schema(table, queries, id_col, carry)
-    small = bounded_rows(queries, max_broadcast_queries)
-    if small is not None and small.nbytes <= max_broadcast_bytes:
-        partial = _broadcast_knn(left, small, k, metric, id_col, carry, schema)
-    else:
-        partial = _block_knn(
-            left, queries, k, metric, id_col, carry, schema, block_bytes
-        )
+    seed = planned_bytes(left) > seed_above_bytes
+    partial = None
+    for block in _query_blocks(queries, block_bytes):
+        found = _nearest(left, block, k, metric, id_col, carry, schema, seed)
+        partial = found if partial is None else partial.union(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("_near"), F.asc(id_col))
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -217,19 +257,48 @@ def knn(
     )
 
 
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
+    """The queries in parts of about ``block_bytes``, equal ids in the same part.
+
+    They are written first, so whatever makes them runs once, and measured before
+    any of them comes to the driver.
+    """
+    written = durable(queries.select("query_id", "v"), "queries")
+    size = written.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("values")).first()
+    blocks = max(1, ceil(8 * (size.values or 0) / block_bytes))
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    for i in range(blocks):
+        block = written if blocks == 1 else written.where(own == i)
+        rows = block.toArrow()
+        if pc.count_distinct(rows["query_id"], mode="all").as_py() < rows.num_rows:
+            raise ValueError("a query_id is given more than once")
+        yield rows
+
+
 def _prepare(x: np.ndarray, metric: str) -> np.ndarray:
     return unit_rows(x) if metric == COSINE else x
 
 
-def _broadcast_knn(left, small, k, metric, id_col, carry, schema) -> DataFrame:
+def _nearest(left, block, k, metric, id_col, carry, schema, seed) -> DataFrame:
+    """What each task finds for a block of queries."""
     spark = left.sparkSession
-    q = _prepare(matrix(small["v"]), metric)
-    query_ids = small["query_id"].combine_chunks()
-    shared = spark.sparkContext.broadcast((query_ids, q))
+    q = _prepare(matrix(block["v"]), metric)
+    query_ids = block["query_id"].combine_chunks()
+    floor = None
+    if seed:
+        found = _nearest(left.limit(SEED_ROWS), block, k, metric, id_col, carry, schema, False)
+        # k rows for each query at most
+        known = found.select("query_id", "_near").toArrow().group_by("query_id")
+        known = known.aggregate([("_near", "min"), ("_near", "count")])
+        known = known.filter(pc.equal(known["_near_count"], k))
+        floor = np.full(len(q), -np.inf)
+        at = pc.index_in(known["query_id"], query_ids).to_numpy()
+        floor[at] = known["_near_min"].to_numpy()
+    shared = spark.sparkContext.broadcast((query_ids, q, floor))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = shared.value
-        top = _TopK(wanted, k, metric, id_col)
+        ids, wanted, low = shared.value
+        top = _TopK(wanted, k, metric, id_col, low)
         for batch in batches:
             if len(wanted) and batch.num_rows:
                 x = _prepare(matrix(batch["_v"], wanted.shape[1]), metric)
@@ -241,47 +310,6 @@ def _broadcast_knn(left, small, k, metric, id_col, carry, schema) -> DataFrame:
     return left.mapInArrow(nearest, schema)
 
 
-def _block_knn(
-    left, queries, k, metric, id_col, carry, schema, block_bytes
-) -> DataFrame:
-    queries = durable(queries, "queries")
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    per_block = max(1, block_bytes // (8 * (size.dim or 1)))
-    rows = left.count()
-    cores = left.sparkSession.sparkContext.defaultParallelism
-    n_q = max(1, ceil(size.n / per_block))
-    n_v = max(1, ceil(rows / per_block), min(cores, rows // MIN_BLOCK_ROWS))
-
-    def cells(side: DataFrame, own: str, key: str, other: str, n: int, m: int):
-        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        placed = side.withColumn(own, _block_of(F.col(key), n)).withColumn(other, every)
-        return placed.repartition(min(n * m, MAX_CELL_TASKS), "_qb", "_vb")
-
-    q_side = cells(queries, "_qb", "query_id", "_vb", n_q, n_v)
-    v_side = cells(left, "_vb", id_col, "_qb", n_v, n_q)
-
-    def nearest(q_rows: pa.Table, v_rows: pa.Table) -> pa.Table:
-        wanted = matrix(q_rows["v"])
-        top = _TopK(_prepare(wanted, metric), k, metric, id_col)
-        if len(wanted) and v_rows.num_rows:
-            x = _prepare(matrix(v_rows["_v"], wanted.shape[1]), metric)
-            top.add(v_rows.select([id_col, *carry]), x)
-        hits = _hits(top, q_rows["query_id"].combine_chunks(), carry)
-        if hits is None:
-            kept = [q_rows["query_id"], *(v_rows[c] for c in (id_col, *carry))]
-            empty = [c.slice(0, 0) for c in kept]
-            scores = [pa.array([], pa.float64())] * 2
-            names = ["query_id", id_col, *carry, "raw_score", "_near"]
-            return pa.Table.from_arrays([*empty, *scores], names)
-        return hits
-
-    return (
-        q_side.groupBy("_qb", "_vb")
-        .cogroup(v_side.groupBy("_qb", "_vb"))
-        .applyInArrow(nearest, schema)
-    )
-
-
 def knn_overfetch(
     table: DataFrame,
     queries: DataFrame,

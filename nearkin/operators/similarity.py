@@ -13,11 +13,12 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.operators.neighbors import BLOCK_BYTES, MAX_CELL_TASKS, matrix, unit_rows
+from nearkin.operators.neighbors import matrix, unit_rows
 from nearkin.sources.storage import bounded_rows, durable
 
 _START_PIVOTS = 16
@@ -26,6 +27,9 @@ _ANGLE_SLACK = 1e-6
 _LIST = pa.list_(pa.float64())
 _CELLS = 4_000_000
 MAX_BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 64 << 20
+# Averages that differ by less are equal but for rounding errors.
+DIGITS = 12
 
 
 def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
@@ -80,37 +84,50 @@ def average_similarity(documents: DataFrame, vector_col: str = "v") -> DataFrame
         if n < 2 or not len(vectors):
             return pa.nulls(len(vectors), pa.float64())
         u = unit_rows(matrix(vectors, len(total)))
-        return pa.array((u @ total - (u * u).sum(axis=1)) / (n - 1))
+        # row by row, so that equal vectors have equal averages wherever they lie
+        return pa.array(((u * total).sum(axis=1) - (u * u).sum(axis=1)) / (n - 1))
 
     return documents.withColumn("avg_sim", average(F.col(vector_col)))
 
 
 def rank_universal(scored: DataFrame) -> DataFrame:
     """Most universal first; ties by filename, then text, all descending."""
-    return scored.orderBy(F.desc("avg_sim"), F.desc("filename"), F.desc("text"))
+    similar = F.desc(F.round("avg_sim", DIGITS))
+    return scored.orderBy(similar, F.desc("filename"), F.desc("text"))
 
 
 def top_universal(scored: DataFrame, n: int, id_col: str = "row_id") -> DataFrame:
     """The n documents closest to everything; ties go to the higher id."""
-    return scored.orderBy(F.desc("avg_sim"), F.desc(id_col)).limit(n)
+    return scored.orderBy(F.desc(F.round("avg_sim", DIGITS)), F.desc(id_col)).limit(n)
 
 
 def similarity_stats(
     documents: DataFrame,
     vector_col: str = "v",
     *,
+    minimum: bool = True,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Mean, minimum and maximum cosine over the full matrix, diagonal included."""
-    v = V.as_double(F.col(vector_col))
-    units = documents.select(V.normalize(v).alias("u"))
-    low = min_cosine(
-        units, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes
-    )
-    total, n = F.col("total"), F.col("n")
-    return sum_vector(documents, vector_col).select(
-        (V.dot(total, total) / (n * n)).alias("mean_sim"),
+    """Mean, minimum and maximum cosine over the full matrix, diagonal included.
+
+    Mean and maximum take one read of the vectors. The exact minimum is the costly
+    part and can be left out, which leaves it NULL.
+    """
+    low = None
+    if minimum:
+        v = V.as_double(F.col(vector_col))
+        units = documents.select(V.normalize(v).alias("u"))
+        low = min_cosine(
+            units, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes
+        )
+    return _stats(sum_vector(documents, vector_col), low)
+
+
+def _stats(sums: DataFrame, low: float | None) -> DataFrame:
+    total, n = F.col("total"), F.col("n").cast("double")
+    return sums.select(
+        (V.dot(total, total) / n / n).alias("mean_sim"),
         F.lit(low).cast("double").alias("min_sim"),
         F.when(F.col("longest") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("max_sim"),
     )
@@ -133,7 +150,16 @@ def min_cosine(
     blocks, a minimum per block leaving the task. On vectors without structure
     little is dropped and the last step stays quadratic, as exactness demands.
     """
-    start = units.select(F.col(u).alias("u")).limit(_START_PIVOTS).toArrow()
+    units = units.select(F.col(u).alias("u")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _min_cosine(units, max_broadcast_bytes, block_bytes)
+    finally:
+        units.unpersist()
+
+
+def _min_cosine(units: DataFrame, max_broadcast_bytes: int, block_bytes: int) -> float | None:
+    u = "u"
+    start = units.limit(_START_PIVOTS).toArrow()
     if not start.num_rows:
         return None
     pivots = unit_rows(matrix(start["u"]))
@@ -231,20 +257,23 @@ def _min_against(rest: DataFrame, others: np.ndarray) -> DataFrame:
 
 
 def _min_in_blocks(rest: DataFrame, dim: int, block_bytes: int) -> DataFrame:
-    """Cut into blocks, send each block to every cell it shares with another."""
+    """Cut into blocks; any two blocks meet in a cell, and each with itself in one."""
     blocks = max(1, ceil(rest.count() * 8 * dim / block_bytes))
     own = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
     spread = rest.withColumn("b", own).withColumn(
         "o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     )
     cells = spread.select(
-        F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "u"
+        F.least("b", "o").alias("i"),
+        F.greatest("b", "o").alias("j"),
+        (F.col("b") > F.col("o")).alias("right"),
+        "u",
     )
 
-    def lowest(cell: pa.Table) -> pa.Table:
-        x = matrix(cell["u"], dim)
-        return pa.table({"low": [_lowest_product(x, x)]})
+    def lowest(key: tuple, cell: pa.Table) -> pa.Table:
+        x, right = matrix(cell["u"], dim), cell["right"].to_numpy()
+        left, other = (x, x) if key[0] == key[1] else (x[~right], x[right])
+        low = [_lowest_product(left, other)] if len(left) and len(other) else []
+        return pa.table({"low": pa.array(low, pa.float64())})
 
-    tasks = min(blocks * (blocks + 1) // 2, MAX_CELL_TASKS)
-    cells = cells.repartition(tasks, "i", "j")
     return cells.groupBy("i", "j").applyInArrow(lowest, "low double")

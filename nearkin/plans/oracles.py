@@ -53,7 +53,11 @@ def _knn(
 ) -> str:
     """CTE ``hits`` with the k nearest rows of one CTE for each row of another."""
     extra = f", {carry}" if carry else ""
-    direction = "DESC" if metric == "cosine" else "ASC"
+    order = "round(raw_score, 12) DESC"
+    if metric == "l2":
+        # twelve significant digits
+        unit = "pow(10, floor(log10(raw_score)))"
+        order = f"CASE WHEN raw_score > 0 THEN round(raw_score / {unit}, 11) * {unit} ELSE 0 END"
     score = "(raw_score + 1) / 2" if metric == "cosine" else "1 / (1 + raw_score)"
     return f"""
   pairs AS (
@@ -62,7 +66,7 @@ def _knn(
     FROM {table} t, {queries} q),
   ranked AS (
     SELECT *, row_number() OVER (
-      PARTITION BY query_id ORDER BY round(raw_score, 9) {direction}, row_id) AS rn
+      PARTITION BY query_id ORDER BY {order}, row_id) AS rn
     FROM pairs WHERE {keep}),
   hits AS (
     SELECT query_id, rn::int AS rank, row_id{extra},
@@ -189,7 +193,7 @@ _ROLES = f"""
   {_average_similarity("corpus", ", a.filename, a.text")},
   asked AS (
     SELECT filename AS query_id, v FROM corpus WHERE row_id = (
-      SELECT row_id FROM averages ORDER BY avg_sim DESC, filename DESC, text DESC LIMIT 1)),
+      SELECT row_id FROM averages ORDER BY round(avg_sim, 12) DESC, filename DESC, text DESC LIMIT 1)),
   {_knn("corpus", "asked", 6, "cosine", "filename")},
   roles AS (
     SELECT row_id, filename,
@@ -348,6 +352,23 @@ WITH {_CENTROIDS}, {_knn("scaled", "centroids", 5, "l2")} {_HITS}
     "knn_blocks": f"""
 WITH {_VECTORS}, asked AS (SELECT row_id AS query_id, v FROM scaled),
   {_knn("scaled", "asked", 5, "l2")} {_HITS}
+""",
+    "knn_l2_small_scale": f"""
+WITH {_CENTROIDS},
+  small AS (SELECT row_id, list_transform(v, lambda x: x * 1e-6) AS v FROM scaled),
+  asked AS (SELECT query_id, list_transform(v, lambda x: x * 1e-6) AS v FROM centroids),
+  {_knn("small", "asked", 5, "l2")}
+SELECT query_id, rank, row_id, round(raw_score * 1e12, 6) + 0.0 AS raw_score FROM hits
+""",
+    "knn_near_copies": f"""
+WITH {_VECTORS},
+  asked AS (SELECT 0::bigint AS query_id, v FROM vectors WHERE row_id = 0),
+  turned AS (
+    SELECT t.row_id, list_transform(range(1, len(t.v) + 1),
+      lambda i: a.v[i] + t.v[i] * 1e-4 / (t.row_id + 1)) AS v
+    FROM vectors t, asked a),
+  {_knn("turned", "asked", 10, "cosine")}
+SELECT query_id, rank, row_id FROM hits
 """,
     "knn_overfetch": f"""
 WITH {_CENTROIDS}, {_knn("scaled", "centroids", 10, "cosine", "label")},
@@ -376,11 +397,11 @@ SELECT row_id, round(avg_sim, 6) + 0.0 AS avg_sim FROM averages
 WITH {_CORPUS}, {_average_similarity("corpus", ", a.filename, a.text")}
 SELECT filename, round(avg_sim, 6) + 0.0 AS avg_sim, substr(text, 1, 200) || '...' AS preview
 FROM (
-  SELECT * FROM averages ORDER BY avg_sim DESC, filename DESC, text DESC LIMIT 10)
+  SELECT * FROM averages ORDER BY round(avg_sim, 12) DESC, filename DESC, text DESC LIMIT 10)
 """,
     "common_words": f"""
 WITH {_CORPUS}, {_average_similarity("corpus", ", a.text")},
-  top AS (SELECT * FROM averages ORDER BY avg_sim DESC, row_id DESC LIMIT 5),
+  top AS (SELECT * FROM averages ORDER BY round(avg_sim, 12) DESC, row_id DESC LIMIT 5),
   w AS ({_WORDS} FROM top)
 SELECT word, count(*) AS count FROM w WHERE word <> '' GROUP BY word
 ORDER BY count DESC, word LIMIT 20

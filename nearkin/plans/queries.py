@@ -371,13 +371,32 @@ def knn_l2(spark, sf_dir):
 
 
 def knn_blocks(spark, sf_dir):
-    """All vectors as queries of all vectors, by the way for large query sets."""
+    """All vectors as queries of all vectors, the queries in several blocks."""
     table = _scaled(spark, sf_dir)
     queries = table.select(F.col("row_id").alias("query_id"), "v")
-    hits = neighbors.knn(table, queries, 5, V.L2, max_broadcast_queries=0)
+    hits = neighbors.knn(table, queries, 5, V.L2, block_bytes=256 << 10)
     return _rounded_hits(hits)
 
 
+def knn_l2_small_scale(spark, sf_dir):
+    """Vectors a millionth as long: distances differ in late decimals only."""
+    shrink = F.transform("v", lambda x: x * 1e-6)
+    table = _scaled(spark, sf_dir).withColumn("v", shrink)
+    asked = _centroids(spark, sf_dir).withColumn("v", shrink)
+    hits = neighbors.knn(table, asked, 5, V.L2)
+    return hits.select("query_id", "rank", "row_id", F.round(F.col("raw_score") * 1e12, 6).alias("raw_score"))
+
+
+def knn_near_copies(spark, sf_dir):
+    """All vectors turned a little, by less the higher the id, around one of them."""
+    table = _vectors(spark, sf_dir)
+    one = table.where("row_id = 0").select(F.col("v").alias("c"))
+    turned = F.zip_with("c", "v", lambda c, x: c + x * 1e-4 / (F.col("row_id") + 1))
+    near = table.join(F.broadcast(one)).withColumn("v", turned).select("row_id", "v")
+    asked = one.select(F.lit(0).cast("long").alias("query_id"), F.col("c").alias("v"))
+    return neighbors.knn(near, asked, 10, V.COSINE).select("query_id", "rank", "row_id")
+
+
 def knn_overfetch(spark, sf_dir):
     """Fetch twice as many and leave out hits that carry the query's own label."""
     keep = lambda hits: hits.where(F.col("label") != F.col("query_id"))
@@ -521,6 +540,8 @@ QUERIES: dict[str, Query] = {
         knn_cosine,
         knn_l2,
         knn_blocks,
+        knn_l2_small_scale,
+        knn_near_copies,
         knn_overfetch,
         hit_metadata_default,
         hit_metadata_strict,

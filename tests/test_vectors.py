@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def same(got, want):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-8)
 
 
-BLOCKS = {"max_broadcast_queries": 1, "block_bytes": 256}
+BLOCKS = {"block_bytes": 40, "seed_above_bytes": 0}
 
 
 @pytest.mark.parametrize("options", [{}, BLOCKS], ids=["broadcast", "blocks"])
@@ -87,6 +88,47 @@ def test_knn_in_small_batches_keeps_ties_by_id(spark):
     assert [r[2] for r in got] == [0, 1, 2, 3]
 
 
+def test_near_rows_are_told_apart(spark):
+    """Distances far below the ninth decimal, and near-copies by angle."""
+    rows = [(i, [1.0 + (10 - i) * 1e-5, 0.0]) for i in range(10)]
+    got = plain(neighbors.knn(table(spark, rows), queries(spark, [(0, [1.0, 0.0])]), 3, "l2"))
+    assert [r[2] for r in got] == [9, 8, 7]
+    turned = [(i, [float(np.cos((10 - i) * 1e-5)), float(np.sin((10 - i) * 1e-5))]) for i in range(10)]
+    got = plain(neighbors.knn(table(spark, turned), queries(spark, [(0, [1.0, 0.0])]), 3, "cosine"))
+    assert [r[2] for r in got] == [9, 8, 7]
+    tiny = [(i, [1e-9 * (1 + i), 0.0]) for i in range(10)]
+    got = plain(neighbors.knn(table(spark, tiny), queries(spark, [(0, [5.2e-9, 0.0])]), 3, "l2"))
+    assert [r[2] for r in got] == [4, 5, 3]
+
+
+def test_equal_up_to_rounding_ties_by_id(spark):
+    rows = [(i, [x * (i + 1) / 3 for x in (0.1, 0.2, 0.3)]) for i in range(9, -1, -1)]
+    got = plain(neighbors.knn(table(spark, rows), queries(spark, [(0, [0.1, 0.2, 0.3])]), 4, "cosine"))
+    assert [r[2] for r in got] == [0, 1, 2, 3]
+
+
+def test_copies_are_cut_before_they_are_compared():
+    x = np.repeat(np.array([[1.0, 2.0], [3.0, 4.0]]), [500, 2], axis=0)
+    ids = pa.chunked_array([np.arange(502)[::-1]])
+    few = neighbors._few_copies(x, ids, 3)
+    assert sorted(ids.take(pa.array(few)).to_pylist()) == [0, 1, 2, 3, 4]
+    assert neighbors._few_copies(x[[0, 501]], pa.chunked_array([[1, 2]]), 1) is None
+
+
+def test_a_query_id_given_twice_fails(spark):
+    asked = queries(spark, [(1, [1.0, 0.0]), (1, [0.0, 1.0])])
+    for options in ({}, BLOCKS):
+        with pytest.raises(ValueError, match="more than once"):
+            neighbors.knn(table(spark, NON_UNIT), asked, 3, **options)
+
+
+def test_the_table_is_not_shuffled_for_many_blocks(spark):
+    asked = queries(spark, [(i, [1.0, float(i)]) for i in range(50)])
+    hits = neighbors.knn(table(spark, NON_UNIT), asked, 2, **BLOCKS)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan and "Join" not in plan and plan.count("MapInArrow") > 5
+
+
 def test_k_beyond_the_table(spark):
     hits = neighbors.knn(table(spark, NON_UNIT[:1]), queries(spark, [(0, [1.0, 0.0])]), 20)
     assert hits.count() == 1
@@ -214,6 +256,25 @@ def test_universal_ties_go_by_name_then_text(spark):
     assert [r.row_id for r in similarity.top_universal(scored, 2).collect()] == [3, 2]
 
 
+def test_copies_have_one_average_wherever_they_lie(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(7, 33))
+    rows = [(i, base[i % 7].tolist()) for i in range(210)]
+    scored = similarity.average_similarity(table(spark, rows).repartition(9)).collect()
+    for b in range(7):
+        assert len({r.avg_sim for r in scored if r.row_id % 7 == b}) == 1
+
+
+def test_very_many_vectors_do_not_overflow(spark):
+    sums = spark.createDataFrame([([3e9, 0.0], 4_000_000_000, 1.0)], "total array<double>, n long, longest double")
+    assert similarity._stats(sums, None).first().mean_sim == pytest.approx(0.5625)
+
+
+def test_the_minimum_can_be_left_out(spark):
+    got = similarity.similarity_stats(table(spark, NON_UNIT), minimum=False).first()
+    assert got.min_sim is None and got.max_sim == 1.0
+
+
 @pytest.mark.parametrize(
     "options",
     [{}, {"max_broadcast_bytes": 1, "block_bytes": 512}],
