@@ -35,11 +35,13 @@ from nearkin.sources.storage import durable
 DEPTH = 5
 #: Contexts of so many bytes are the roots of what one task works out.
 SUBTREE_DEPTH = 3
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 SUBTREE_STRINGS = 400_000
 
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
-_PIECE = 4 << 20
+_PIECE = 1 << 20
+# Texts of a block that are held as Python objects at a time.
+_TEXTS = 1_000
 _LOG_HALF = log(0.5)
 
 _LISTED = "block int, key long, word binary, n long"
@@ -101,7 +103,7 @@ def _pieces(texts: list[bytes], size: int = _PIECE) -> Iterator[tuple[np.ndarray
             parts.append(part)
             owners.append(i)
             held += len(part)
-            if held >= size or len(parts) >= 60_000:
+            if held >= size:
                 yield _strings(parts, owners)
                 parts, owners, held = [], [], 0
     if parts:
@@ -128,14 +130,21 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return key, np.bincount(inverse, weights=weights, minlength=len(key)).astype(np.int64)
 
 
+def _parts(block: pa.Table) -> Iterator[tuple[bool, list[bytes]]]:
+    """Lower-case texts of a block, a part at a time, those to learn from apart."""
+    for lo in range(0, block.num_rows, _TEXTS):
+        part = block.slice(lo, _TEXTS)
+        for learn in (True, False):
+            some = part.filter(pc.equal(part["train"], learn))["t"].to_pylist()
+            if some:
+                yield learn, [(t or b"").lower() for t in some]
+
+
 def _list_block(key: tuple, block: pa.Table) -> pa.Table:
     """Different strings and words of a block with their counts in training texts."""
-    texts = [(t or b"").lower() for t in block["t"].to_pylist()]
-    train = block["train"].to_pylist()
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     words: Counter[bytes] = Counter()
-    for learn in (True, False):
-        some = [t for t, is_train in zip(texts, train, strict=True) if is_train == learn]
+    for learn, some in _parts(block):
         for strings, _ in _pieces(some):
             strings.sort()
             first = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
@@ -365,36 +374,35 @@ def score_texts(
         count = dict(zip(table["word"].to_pylist(), table["lp"].to_pylist(), strict=True))
         table = found.filter(pc.invert(is_word)).sort_by("key")
         keys, lps = table["key"].to_numpy(), table["lp"].to_numpy()
-        t = [(x or b"").lower() for x in texts["t"].to_pylist()]
-        total = np.zeros(len(t))
-        for first in range(0, len(t), 1 << 16):
-            some = t[first : first + (1 << 16)]
-            for strings_, owner in _pieces(some):
+        end = log10((sums.n + 0.5) / unit)
+        total, sizes, n_tokens, n_known, base = [], [], [], [], []
+        for lo in range(0, texts.num_rows, _TEXTS):
+            t = [(x or b"").lower() for x in texts["t"].slice(lo, _TEXTS).to_pylist()]
+            sums_ = np.zeros(len(t))
+            for strings_, owner in _pieces(t):
                 packed = (strings_ << np.uint64(16)) | owner.astype(np.uint64)
                 packed.sort()
                 own, place = packed & np.uint64(65535), (packed >> np.uint64(16)).astype(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
                 each = lps[np.searchsorted(keys, place[starts])]
                 each = np.repeat(each, np.diff(np.concatenate([starts, [len(place)]])))
-                total[first : first + len(some)] += np.bincount(
-                    own.astype(np.int64), weights=each, minlength=len(some)
-                )
-        n_tokens, n_known, base = [], [], []
-        end = log10((sums.n + 0.5) / unit)
-        for x in t:
-            c = np.fromiter(map(count.__getitem__, x.split()), float)
-            n_tokens.append(len(c) + 1)
-            n_known.append(int((c > 0).sum()) + (sums.n > 0))
-            base.append(float(np.log10((c + 0.5) / unit).sum()) + end)
+                sums_ += np.bincount(own.astype(np.int64), weights=each, minlength=len(t))
+            total.append(sums_)
+            for x in t:
+                c = np.fromiter(map(count.__getitem__, x.split()), float)
+                sizes.append(len(x))
+                n_tokens.append(len(c) + 1)
+                n_known.append(int((c > 0).sum()) + (sums.n > 0))
+                base.append(float(np.log10((c + 0.5) / unit).sum()) + end)
         return pa.table(
             {
                 id_col: texts["id"],
                 "n_tokens": pa.array(n_tokens, pa.int64()),
                 "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([n_train] * len(t), pa.int64()),
+                "train_tokens": pa.array([n_train] * len(base), pa.int64()),
                 "base_score": pa.array(base, pa.float64()),
-                "score": total,
-                "n_bytes": pa.array([len(x) for x in t], pa.int64()),
+                "score": np.concatenate([*total, np.empty(0)]),
+                "n_bytes": pa.array(sizes, pa.int64()),
             }
         )
 
