@@ -13,10 +13,12 @@ shard behind, and any file system Spark can reach will do.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from itertools import accumulate, chain
 from typing import Protocol
 
 import numpy as np
@@ -27,15 +29,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import batches_of, read
+from nearkin.llm.common import IdStore, batches_of, read, task_cache, text_slices
 from nearkin.sources.storage import scratch_path
 
 END_ID = 2
 #: A shard is closed once it holds so many ids.
-SHARD_IDS = 2 << 20
+SHARD_IDS = 1 << 20
 _GAMMA = 2.0
 _MAX_LEVELS = 48
-_MEMO = 600_000
+_MEMO = 250_000
+_SLICE_BYTES = 4 << 20
+# Words that go to the library at a time.
+_WORDS = 5_000
 
 _SHARD = (
     "part int, shard int, first_key long, last_key long, start_in_part long, n_ids long,"
@@ -119,72 +124,69 @@ class Encoder(Protocol):
 
 
 class WordEncoder:
-    """A tokenizer file whose pre-tokenizer parts at white space.
+    """A byte-level tokenizer file whose pre-tokenizer parts at white space and
+    between letters and stops, and which puts capitals in lower case.
 
-    Each distinct word between ASCII white space is encoded once by the library
-    and its ids are put in place of it, which gives the ids of the whole text,
-    as no token reaches over white space.
+    Each distinct word is encoded once by the library and its ids are put in place
+    of it, which gives the ids of the whole text, as no token reaches over such a
+    border. Words of Latin small letters are one pre-token, so they go to the
+    library's model at once; all others pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            self._json = f.read()
-        self._load()
-
-    def _load(self) -> None:
-        self._tokenizer = tokenizers.Tokenizer.from_str(self._json)
-        self.vocab_size = self._tokenizer.get_vocab_size(with_added_tokens=True)
-        self._memo: dict[str, np.ndarray] = {}
-
-    def __getstate__(self) -> str:
-        return self._json
-
-    def __setstate__(self, state: str) -> None:
-        self._json = state
-        self._load()
-
-    def _ids_of(self, words: list[str]) -> list[np.ndarray]:
-        memo = self._memo
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > _MEMO:
-            memo.clear()
-            new = words
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for word, e in zip(
-                some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True
-            ):
-                memo[word] = np.array(e.ids, np.uint32)
-        return [memo[w] for w in words]
+            self._tokenizer = tokenizers.Tokenizer.from_str(f.read())
+        self.vocab_size = max(self._tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        bytes_as_text = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        accented = [chr(c) for c in range(0xDF, 0x100) if chr(c).isalpha()]
+        self._spelling = str.maketrans(
+            {c: bytes_as_text.pre_tokenize_str(c)[0][0] for c in accented}
+        )
+        self._latin = re.compile(f"[a-z{''.join(accented)}]+")
+        self._store = IdStore(_MEMO)
+
+    def _add(self, words: list[str]) -> None:
+        model, latin = self._tokenizer.model, self._latin
+        ids: list[list[int]] = []
+        others = [w for w in words if not latin.fullmatch(w)]
+        for i in range(0, len(others), _WORDS):
+            some = others[i : i + _WORDS]
+            found = self._tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            ids.extend(e.ids for e in found)
+        plain = set(words).difference(others)
+        for w in plain:
+            spelled = w if w.isascii() else w.translate(self._spelling)
+            ids.append([t.id for t in model.tokenize(spelled)])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        self._store.add([*others, *plain], flat, sizes)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
-        n_words = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = pc.ascii_lower(texts.fill_null(""))
+        texts = pc.replace_substring_regex(texts, r"([a-z])([.,])", r"\1 \2")
+        parts = pc.ascii_split_whitespace(texts)
+        per_text = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        ids = self._ids_of(coded.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        codes = coded.indices.to_numpy()
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        first = (np.cumsum(sizes) - sizes)[codes]
-        at = np.repeat(first - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
-        return flat[at], np.diff(bounds)
-
-
-_ENCODERS: dict[str, WordEncoder] = {}
+        words = coded.dictionary.to_pylist()
+        self._add(self._store.unknown(set(words)))
+        code = np.array([self._store.code[w] for w in words], np.int64)
+        found = self._store.gather(code[coded.indices.to_numpy()], per_text)
+        self._store.trim()
+        return found
 
 
 def public_encoder(name: str = "word_bpe_49k.json") -> Callable[[], WordEncoder]:
     """A way to get an encoder of the installed public tokenizers inside a task."""
 
     def get() -> WordEncoder:
-        if name not in _ENCODERS:
-            import public_tokenizers
+        import public_tokenizers
 
-            _ENCODERS[name] = WordEncoder(public_tokenizers.path(name))
-        return _ENCODERS[name]
+        # one thread: Spark already runs a task for each core
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        kept = task_cache()
+        if name not in kept:
+            kept[name] = WordEncoder(public_tokenizers.path(name))
+        return kept[name]
 
     return get
 
@@ -266,7 +268,7 @@ def write_shards(
         width = 2 if max(coder.vocab_size - 1, end_id) < 1 << 16 else 4
         shard, start, held, size = 0, 0, [], 0
         last_key, turn = None, 0
-        for batch in batches_of(batches):
+        for batch in (s for b in batches_of(batches) for s in text_slices(b, "t", _SLICE_BYTES)):
             keys = batch["key"].to_numpy()
             fresh = np.concatenate([[keys[0] != last_key], keys[1:] != keys[:-1]])
             place = np.arange(len(keys))
