@@ -15,26 +15,28 @@ are cut in front of blanks and a stretch is encoded once for all its copies.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
-from nearkin.llm.common import IdStore, batches_of, read, task_cache, text_slices
+from nearkin.llm.common import IdStore, as_bytes, batches_of, read, task_cache, text_slices
 
 BLANK = "▁"
-_STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _NONE = np.int64(1 << 40)
 #: Characters of new stretches that are indexed at a time.
-_INDEX_CHARS = 1_000_000
+_INDEX_CHARS = 400_000
 #: Bytes of text that are encoded at a time.
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
+#: Texts that are decoded at a time.
+_DECODED = 1_000
 #: Stretches whose ids a worker remembers.
 _MEMO = 300_000
 
@@ -61,6 +63,7 @@ class PieceModel:
     searched: np.ndarray
     codes: np.ndarray
     lengths: np.ndarray
+    cuts: np.ndarray
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -130,6 +133,7 @@ class PieceModel:
             np.array([reached[p] for p in names], np.int64),
             table,
             np.array([len(p) for p in names], np.int64),
+            _cuts(by_score),
         )
 
     # -- matching ------------------------------------------------------------
@@ -156,7 +160,8 @@ class PieceModel:
         times = high - low
         which = np.repeat(np.arange(len(times)), times)
         at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        return suffixes[at], self.lengths[which], self.searched[which]
+        which = which.astype(np.int32)
+        return suffixes.astype(np.int32)[at], self.lengths.astype(np.int32)[which], self.searched.astype(np.int32)[which]
 
     def _bound(self, padded: np.ndarray, suffixes: np.ndarray, *, before: bool) -> np.ndarray:
         """For each piece, how many suffixes are below all (or all but) its occurrences."""
@@ -214,8 +219,8 @@ class PieceModel:
         offset = np.arange(len(text)) - np.repeat(starts, sizes + 1)
         edge_at, edge_len, edge_symbol = self.edges(text)
         odd = self._odd_characters(text)
-        edge_at = np.concatenate([edge_at, odd])
-        edge_len = np.concatenate([edge_len, np.ones(len(odd), np.int64)])
+        edge_at = np.concatenate([edge_at, odd.astype(np.int32)])
+        edge_len = np.concatenate([edge_len, np.ones(len(odd), np.int32)])
         edge_symbol = np.concatenate([edge_symbol, self._odd_symbols(text[odd])])
         place = offset[edge_at]
         short = sizes.max(initial=0) < 1 << 16
@@ -245,7 +250,7 @@ class PieceModel:
 
     def _odd_symbols(self, codes: np.ndarray) -> np.ndarray:
         n = len(self.pieces)
-        return np.array([self.char_ids.get(chr(c - 1), n) for c in codes.tolist()], np.int64)
+        return np.array([self.char_ids.get(chr(c - 1), n) for c in codes.tolist()], np.int32)
 
     def _read_back(self, text, starts, sizes, last, length) -> tuple[np.ndarray, np.ndarray]:
         """Follows the edges taken from the end of each stretch to its start."""
@@ -280,27 +285,69 @@ class PieceModel:
 
     # -- texts -----------------------------------------------------------------
 
-    def encode(self, texts: list[str], store: IdStore) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], store: IdStore) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has; ``store`` is kept up."""
-        cut = [_STRETCH.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        blank = BLANK.encode()
+        spaced = [b" " + t.replace(blank, b" ") if t else t for t in texts]
+        x = np.frombuffer(b"".join(spaced), np.uint8)
+        begin = self.cuts[(x[:-1].astype(np.int64) << 8) | x[1:]]
+        begin = np.concatenate([np.ones(min(1, len(x)), bool), begin])
+        sizes = np.array([len(t) for t in spaced], np.int64)
+        first = np.cumsum(sizes) - sizes
+        begin[first[sizes > 0]] = True
+        starts = np.flatnonzero(begin)
+        offsets = np.concatenate([starts, [len(x)]]).astype(np.int32)
+        stretches = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(x)]
+        ).dictionary_encode()
+        known = stretches.dictionary.to_pylist()
         block, size = [], 0
-        for s in [*store.unknown(set(chain.from_iterable(cut))), None]:
+        for s in [*store.unknown(set(known)), None]:
             if s is None or (block and size + len(s) > _INDEX_CHARS):
                 if block:
-                    store.add(block, *self.encode_stretches(block))
+                    plain = [b.decode().replace(" ", BLANK) for b in block]
+                    store.add(block, *self.encode_stretches(plain))
                 block, size = [], 0
             if s is not None:
                 block.append(s)
                 size += len(s) + 1
-        per_text = np.array([len(stretches) for stretches in cut], np.int64)
-        codes = map(store.code.__getitem__, chain.from_iterable(cut))
-        found = store.gather(np.fromiter(codes, np.int64, per_text.sum()), per_text)
+        code = np.array([store.code[s] for s in known], np.int64)
+        per_text = np.diff(np.searchsorted(starts, np.concatenate([first, [len(x)]])))
+        found = store.gather(code[stretches.indices.to_numpy()], per_text)
         store.trim()
         return found
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: the blank in front goes, broken bytes are replaced."""
-        return b"".join([self.text_of[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """Texts of ids in a row: the blank in front goes, broken bytes are replaced."""
+        length = np.array([len(t) for t in self.text_of], np.int64)
+        table = np.frombuffer(b"".join(self.text_of), np.uint8)
+        each = length[ids]
+        ends = np.cumsum(each)
+        at = np.repeat((np.cumsum(length) - length)[ids] - (ends - each), each)
+        at += np.arange(len(at))
+        data = table[at].tobytes()
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [
+            data[a:b].decode("utf-8", "replace").removeprefix(" ")
+            for a, b in zip(bounds, bounds[1:], strict=False)
+        ]
+
+
+def _cuts(pieces: list[str]) -> np.ndarray:
+    """For two neighbouring bytes, whether a text can be cut between them.
+
+    Bytes of characters beyond ASCII are not told apart, which leaves some of
+    their places uncut.
+    """
+    together = np.zeros((256, 256), bool)
+    together[128:, 128:] = True
+    for piece in pieces:
+        spelled = piece.replace(BLANK, " ")
+        for a, b in zip(spelled, spelled[1:], strict=False):
+            rows = slice(128, 256) if a > "\x7f" else ord(a)
+            columns = slice(128, 256) if b > "\x7f" else ord(b)
+            together[rows, columns] = True
+    return ~together.ravel()
 
 
 def _merge(piece, symbols, pairs, rank, size) -> tuple[int, int] | None:
@@ -320,32 +367,74 @@ def _merge(piece, symbols, pairs, rank, size) -> tuple[int, int] | None:
     return cut
 
 
+_OUTPUTS = {
+    "ids": pa.list_(pa.int32()),
+    "n_tokens": pa.int64(),
+    "ids_crc32": pa.int64(),
+    "decoded": pa.string(),
+    "round_trip": pa.bool_(),
+}
+
+
+def _output(name: str, texts: list[bytes], ids: np.ndarray, ends: np.ndarray, model) -> pa.Array:
+    if name == "ids":
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    if name == "n_tokens":
+        return pa.array(np.diff(ends))
+    if name == "ids_crc32":
+        flat = ids.astype("<u4")
+        parts = zip(ends.tolist(), ends[1:].tolist(), strict=False)
+        return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in parts], pa.int64())
+    decoded = model.decode(ids, np.diff(ends))
+    if name == "decoded":
+        return pa.array(decoded, pa.string())
+    return pa.array([d.encode() == t for d, t in zip(decoded, texts, strict=True)], pa.bool_())
+
+
 def encode_pieces(
-    docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids"
+    docs: DataFrame,
+    path: str,
+    *,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    outputs: tuple[str, ...] = ("ids",),
 ) -> DataFrame:
-    """All columns of ``docs`` and ``ids_col``, the ids of the text by the model at ``path``.
+    """The columns ``keep`` of ``docs`` (all) and ``outputs`` of the text by the model at ``path``.
 
-    No marks of beginning or end are added. Null and empty texts have no ids;
-    characters the model doesn't know become the ids of their bytes. A column
-    ``ids_col`` of ``docs`` is replaced.
+    ``ids`` are the token ids, ``n_tokens`` their number, ``ids_crc32`` the crc of them
+    as little-endian 32-bit integers, ``decoded`` their text and ``round_trip`` whether
+    that is the text given, all worked out in one pass. No marks of beginning or end
+    are added. Null and empty texts have no ids; characters the model doesn't know
+    become the ids of their bytes. Columns of ``docs`` with such names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(PieceModel.load(path))
-    docs = docs.drop(ids_col)
-    schema = docs.withColumn(ids_col, F.array(F.lit(0))).schema
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
+    kinds = [_OUTPUTS[name] for name in outputs]
+    schema = T.StructType([docs.schema[c] for c in kept])
+    for name, kind in zip(outputs, kinds, strict=True):
+        schema.add(name, from_arrow_type(kind))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(text_col).alias("text"))
+    if text_col in kept:  # sent once
+        rows = docs.select(F.struct(*kept).alias("row"))
+    at = kept.index(text_col) if text_col in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, store = sent.value, task_cache().setdefault(path, IdStore(_MEMO))
         for whole in batches_of(batches):
-            for batch in text_slices(whole, text_col, _SLICE_BYTES):
-                texts = [t or "" for t in batch[text_col].to_pylist()]
-                ids, sizes = model.encode(texts, store)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(ids.astype(np.int32))
+            row = whole["row"]
+            texts = whole["text"] if at is None else row.field(at)
+            columns = dict(zip([str(i) for i in range(len(kept))], row.flatten(), strict=True))
+            table = pa.RecordBatch.from_pydict({**columns, "text": texts})
+            for batch in text_slices(table, "text", _SLICE_BYTES):
+                data = as_bytes(batch["text"])
+                ids, sizes = model.encode(data, store)
+                ids, ends = ids.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+                found = [_output(name, data, ids, ends, model) for name in outputs]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:-1], *found], names=[*kept, *outputs]
                 )
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def decode_pieces(
@@ -358,10 +447,15 @@ def decode_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches_of(batches):
-            texts = [None if x is None else model.decode(x) for x in batch[ids_col].to_pylist()]
-            column = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=schema.names)
+        for whole in batches_of(batches):
+            for lo in range(0, whole.num_rows, _DECODED):
+                batch = whole.slice(lo, _DECODED)
+                column = batch[ids_col]
+                sizes = pc.fill_null(pc.list_value_length(column), 0)
+                sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+                texts = model.decode(column.flatten().to_numpy(zero_copy_only=False), sizes)
+                texts = pa.array(texts, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
@@ -377,16 +471,5 @@ def op5_piece_suffix_arrays(spark: SparkSession, sf_dir: str, path: str | None =
     """Encodes every text, decodes the ids, and tells both by count, crc and equality."""
     path = path or model_path()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_pieces(docs, path).withColumnRenamed("text", "was")
-    back = decode_pieces(encoded, path)
-
-    @F.arrow_udf("long")
-    def crc(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids.to_pylist()])
-
-    return back.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        crc("ids").alias("ids_crc32"),
-        (F.coalesce("was", F.lit("")) == F.col("text")).alias("round_trip"),
-    )
+    outputs = ("n_tokens", "ids_crc32", "round_trip")
+    return encode_pieces(docs, path or model_path(), keep=["doc_id"], outputs=outputs)
