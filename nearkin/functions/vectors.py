@@ -72,14 +72,14 @@ def require_vector(v: Column, record_id: Column, dim: int | None = None) -> Colu
     ``dim`` a vector of another length is an error too.
     """
     missing = F.raise_error(
-        F.concat(F.lit("Record "), record_id.cast("string"), F.lit(" has no embedding"))
+        F.concat(F.lit("no vector given for id "), record_id.cast("string"))
     )
     checked = F.coalesce(v, missing)
     if dim is None:
         return checked
     wrong = F.raise_error(
         F.concat(
-            F.lit("Record "),
+            F.lit("vector of id "),
             record_id.cast("string"),
             F.lit(f" does not have {dim} dimensions"),
         )

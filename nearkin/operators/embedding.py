@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import text as X
-from nearkin.sources.storage import durable, few_keys, read_or_empty, restrict, spread
+from nearkin.sources.storage import (
+    MAX_BROADCAST_KEYS,
+    durable,
+    empty,
+    read_or_empty,
+    spread,
+)
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 MAX_TOKENS = 2048
 BATCH_SIZE = 256
-NO_TEXT = "No valid text for embedding after filtering."
+NO_TEXT = "nothing to embed: the text is blank"
 
 CACHE_SCHEMA = "text_sha1 string, model string, embedding array<double>"
 EMBEDDED = "embedding array<double>, error string"
@@ -30,42 +37,43 @@ EMBEDDED = "embedding array<double>, error string"
 _LIST = pa.list_(pa.float64())
 
 
-class _Buckets(dict):
-    """Bucket of each word, remembered for a bounded number of words."""
-
-    LIMIT = 1 << 18
-
-    def __init__(self, dim: int):
-        self.dim = dim
-
-    def __missing__(self, word: str) -> int:
-        digest = hashlib.md5(word.encode()).digest()
-        bucket = int.from_bytes(digest[:4], "big") % self.dim
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = bucket
-        return bucket
-
-
 class HashedWords:
     """The built-in embedder: hashed word counts, scaled to unit length.
 
     Deterministic and free of any service, for tests and offline use.
     """
 
+    MEMO = 1 << 18
+
     def __init__(self, dim: int = 64):
         self.dim = dim
+        self._bucket: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return {"dim": self.dim, "_bucket": {}}
 
     @property
     def model(self) -> str:
         return f"hashed-words-{self.dim}"
 
+    def _buckets(self, words: list[str]) -> np.ndarray:
+        """Bucket of each distinct word; a bounded number of them is remembered."""
+        if len(self._bucket) > self.MEMO:
+            self._bucket.clear()
+        for word in words:
+            if word not in self._bucket:
+                digest = hashlib.md5(word.encode()).digest()
+                self._bucket[word] = int.from_bytes(digest[:4], "big") % self.dim
+        return np.array([self._bucket[w] for w in words], np.int64)
+
     def __call__(self, texts: list[str]) -> np.ndarray:
-        bucket = _Buckets(self.dim)
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            buckets = [bucket[w] for w in text.split()]
-            row += np.bincount(buckets, minlength=self.dim)
+        split = [t.split() for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(words) for words in split])
+        flat = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        bucket = self._buckets(flat.dictionary.to_pylist())
+        cell = row * self.dim + bucket[flat.indices.to_numpy()]
+        out = np.bincount(cell, minlength=len(texts) * self.dim).astype(float)
+        out = out.reshape(len(texts), self.dim)
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return out / np.where(norms > 0, norms, 1.0)
 
@@ -85,18 +93,36 @@ def chunks_of(
     raise ValueError(f"unit must be 'word' or 'char', not {unit!r}")
 
 
-def _pool(embedder: Embedder, documents: list[list[str]], size: int) -> list[np.ndarray]:
-    """The mean chunk vector of each document."""
+def _vectors(embedder: Embedder, texts: list[str]) -> list:
+    """A vector for each text, or the exception that kept it from one.
+
+    Where a batch fails its halves are tried, down to the texts that fail alone.
+    """
+    try:
+        found = embedder(texts)
+        if len(found) != len(texts):
+            raise ValueError("the embedder returned another number of vectors")
+        return list(found)
+    except Exception as e:
+        if len(texts) == 1:
+            return [e]
+        half = len(texts) // 2
+        return _vectors(embedder, texts[:half]) + _vectors(embedder, texts[half:])
+
+
+def _pool(
+    embedder: Embedder, documents: list[list[str]], size: int
+) -> list[np.ndarray | Exception]:
+    """The mean chunk vector of each document, or what went wrong with a chunk."""
     flat = [c for chunks in documents for c in chunks]
     vectors: list = []
     for i in range(0, len(flat), size):
-        part = embedder(flat[i : i + size])
-        if len(part) != len(flat[i : i + size]):
-            raise ValueError("the embedder returned another number of vectors")
-        vectors.extend(part)
+        vectors.extend(_vectors(embedder, flat[i : i + size]))
     out, at = [], 0
     for chunks in documents:
-        out.append(np.mean(np.asarray(vectors[at : at + len(chunks)], float), axis=0))
+        mine = vectors[at : at + len(chunks)]
+        failed = next((v for v in mine if isinstance(v, Exception)), None)
+        out.append(failed or np.mean(np.asarray(mine, float), axis=0))
         at += len(chunks)
     return out
 
@@ -106,16 +132,10 @@ def pooled_embedding(
 ) -> Column:
     """``struct<embedding, error>``: mean vector of each row's chunks.
 
-    If a batch fails its documents are tried one by one, so that one bad
-    document does not take others with it.
+    A chunk that fails takes its own document with it and no other; what was
+    embedded beside it is kept.
     """
 
-    def one(document: list[str]) -> tuple[np.ndarray | None, str | None]:
-        try:
-            return _pool(embedder, [document], batch_size)[0], None
-        except Exception as e:
-            return None, f"embedding failed: {type(e).__name__}: {e}"
-
     @F.arrow_udf(EMBEDDED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -123,13 +143,12 @@ def pooled_embedding(
             full = [i for i, d in enumerate(documents) if d]
             vectors: list = [None] * len(documents)
             errors: list = [None if d else NO_TEXT for d in documents]
-            try:
-                pooled = _pool(embedder, [documents[i] for i in full], batch_size)
-                for i, v in zip(full, pooled):
+            pooled = _pool(embedder, [documents[i] for i in full], batch_size)
+            for i, v in zip(full, pooled, strict=True):
+                if isinstance(v, Exception):
+                    errors[i] = f"embedding failed: {type(v).__name__}: {v}"
+                else:
                     vectors[i] = v
-            except Exception:
-                for i in full:
-                    vectors[i], errors[i] = one(documents[i])
             yield pa.StructArray.from_arrays(
                 [pa.array(vectors, _LIST), pa.array(errors, pa.string())],
                 names=["embedding", "error"],
@@ -173,9 +192,11 @@ def embed_documents(
 
     ``chunk=False`` embeds the text whole, as for a query. With ``cache_path``
     each distinct text is embedded once ever: texts not in the cache are
-    embedded and appended to it, then all documents join the cache. Without it
-    every row is embedded where it is read, or after a small input was shared out
-    over the cores; ``spread_out=False`` says that it already was.
+    embedded and appended to it, then all documents join their entries; blank texts
+    go around that. ``documents`` is read several times then, so write it first if
+    it is costly. Without a cache every row is embedded where it is read, or after
+    a small input was shared out over the cores; ``spread_out=False`` says that it
+    already was.
     """
     text = X.embed_input(F.col(text_col))
 
@@ -191,24 +212,53 @@ def embed_documents(
     model = model or getattr(embedder, "model", None)
     if not model:
         raise ValueError("a cache needs the model's name")
-    spark = documents.sparkSession
-    keyed = durable(documents.withColumn("text_sha1", X.text_id(text)), "to-embed")
-    known = read_cache(spark, cache_path)
-    keys = few_keys(known, keyed.select("text_sha1"), "text_sha1")
-    known = restrict(known, keys, "text_sha1")
-    misses = cache_misses(keyed, known, model, text_col)
-    misses = spread(misses, after_shuffle=True)
-    new = _with_embedding(misses, chunks(text), embedder, batch_size)
-    new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
-    fresh = new.where(F.col("error").isNull())
-    put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
-    errors = new.where(F.col("error").isNotNull()).select("text_sha1", "error")
-    known = restrict(read_cache(spark, cache_path), keys, "text_sha1")
-    cached = cache_lookup(keyed, known, model)
-    joined = cached.join(errors, "text_sha1", "left")
-    no_text = F.when(F.col("embedding").isNull(), F.lit(NO_TEXT))
-    error = F.coalesce("error", no_text).alias("error")
-    return joined.select(*documents.columns, "embedding", error)
+    with_text = F.coalesce(text, F.lit("")) != ""
+    keyed = documents.where(with_text).withColumn("text_sha1", X.text_id(text))
+    entries = _cached_entries(keyed, embedder, chunks(text), text_col, cache_path, model, batch_size)
+    found = keyed.join(entries, "text_sha1", "left")
+    blank = documents.where(~with_text).select(
+        *documents.columns, F.lit(None).cast("array<double>"), F.lit(NO_TEXT)
+    )
+    return found.select(*documents.columns, "embedding", "error").union(blank)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Written keys, to be sent out if they are few."""
+    few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    return F.broadcast(keys) if few else keys
+
+
+def _cached_entries(
+    keyed: DataFrame,
+    embedder: Embedder,
+    chunks: Column,
+    text_col: str,
+    cache_path: str,
+    model: str,
+    batch_size: int,
+) -> DataFrame:
+    """``text_sha1, embedding, error`` for each text of ``keyed``, once.
+
+    Hashes alone tell what the cache lacks. Only texts that it lacks are carried
+    along, each once, to be embedded and appended. The result is written, so the
+    join to it has no aggregate below and a hot text can be split.
+    """
+    spark = keyed.sparkSession
+    keys = _few(durable(keyed.select("text_sha1").distinct(), "keys"))
+    stored = cache_hits(read_cache(spark, cache_path), keys, model)
+    missing = durable(keys.join(_few(stored.select("text_sha1")), "text_sha1", "left_anti"), "missing")
+    errors = empty(spark, "text_sha1 string, embedding array<double>, error string")
+    fresh = stored.limit(0)
+    if missing.limit(1).count():
+        wanted = keyed.select("text_sha1", text_col).join(_few(missing), "text_sha1", "left_semi")
+        once = wanted.groupBy("text_sha1").agg(F.min(text_col).alias(text_col))
+        new = _with_embedding(spread(once, after_shuffle=True), chunks, embedder, batch_size)
+        new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
+        fresh = new.where(F.col("error").isNull()).select("text_sha1", "embedding")
+        put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
+        errors = new.where(F.col("error").isNotNull())
+    good = stored.union(fresh).withColumn("error", F.lit(None).cast("string"))
+    return durable(good.union(errors), "entries")
 
 
 def read_cache(spark, path: str) -> DataFrame:
@@ -217,33 +267,22 @@ def read_cache(spark, path: str) -> DataFrame:
 
 
 def put_cache(rows: DataFrame, path: str) -> None:
-    """Append embeddings to the cache."""
-    rows.select("text_sha1", "model", "embedding").write.mode("append").parquet(path)
+    """Append embeddings to the cache, which is laid out by model."""
+    columns = rows.select("text_sha1", "model", "embedding")
+    columns.write.mode("append").partitionBy("model").parquet(path)
 
 
-def _of_model(cache: DataFrame, model: str) -> DataFrame:
-    """One entry per text: writers that raced may have stored a text twice."""
-    mine = cache.where(F.col("model") == model)
-    first = F.min("embedding").alias("embedding")
-    return mine.groupBy("text_sha1").agg(first)
+def cache_hits(cache: DataFrame, keys: DataFrame, model: str) -> DataFrame:
+    """``text_sha1, embedding`` of a model's entries for ``keys``, one for each, written.
 
-
-def cache_lookup(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """Left join on the text's hash: ``embedding`` is NULL on a miss.
-
-    For a batch that is small beside the cache, ``restrict`` the cache first.
+    Writers that raced may have stored a text twice, so one entry is taken.
     """
-    return keyed.join(_of_model(cache, model), "text_sha1", "left")
+    mine = cache.where(F.col("model") == model).join(keys, "text_sha1", "left_semi")
+    first = F.first("embedding").alias("embedding")
+    return durable(mine.groupBy("text_sha1").agg(first), "hits")
 
 
-def cache_misses(
-    keyed: DataFrame, cache: DataFrame, model: str, text_col: str = "text"
-) -> DataFrame:
-    """Each uncached text once: ``text_sha1`` and the text.
-
-    Copies are collapsed in the map-side combine, before anything is joined, so
-    a text with a huge number of copies is one row per task.
-    """
-    once = keyed.groupBy("text_sha1").agg(F.min(text_col).alias(text_col))
-    known = cache.where(F.col("model") == model).select("text_sha1")
-    return once.join(known, "text_sha1", "left_anti")
+def cache_lookup(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Left join on the text's hash: ``embedding`` is NULL on a miss."""
+    keys = durable(keyed.select("text_sha1").distinct(), "keys")
+    return keyed.join(cache_hits(cache, _few(keys), model), "text_sha1", "left")

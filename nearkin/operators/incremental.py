@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from nearkin.sources.storage import MAX_BROADCAST_KEYS, few_keys, restrict, settled
+
+from nearkin.sources.storage import MAX_BROADCAST_KEYS, durable, few_keys, restrict, settled
 
 KEEP, FIRST = "keep", "first"
 
@@ -43,3 +46,51 @@ def within_batch(batch: DataFrame, rule: str, order: str, key: str = "id") -> Da
     if rule == FIRST:
         return first_of_each(batch, order, key)
     raise ValueError(f"rule must be {KEEP!r} or {FIRST!r}, not {rule!r}")
+
+
+def select_in_place(
+    rows: DataFrame, keys: DataFrame, others: DataFrame, on: list[str], most: int
+) -> DataFrame:
+    """The rows with one of ``keys``, without moving any row.
+
+    ``others`` are the keys of all other rows. The fewer of the two are sent to the
+    rows; where both are more than ``most``, the keys go in parts of that size,
+    each with a read of the rows of its own.
+    """
+    wanted, rest = keys.count(), others.count()
+    if not rest:
+        return rows
+    if rest < wanted and rest <= most:
+        return rows.join(F.broadcast(others), on, "left_anti")
+    parts = max(1, ceil(wanted / most))
+    own = F.pmod(F.xxhash64(*on), F.lit(parts))
+    result = None
+    for i in range(parts):
+        part = keys if parts == 1 else keys.where(own == i)
+        found = rows.join(F.broadcast(part), on, "left_semi")
+        result = found if result is None else result.union(found)
+    return result
+
+
+def new_files(
+    files: DataFrame, existing: DataFrame, rule: str, most: int = MAX_BROADCAST_KEYS
+) -> tuple[DataFrame, bool]:
+    """The rows ``id, filename, content`` to ingest, and if some are the same twice.
+
+    What is new, and which of equal files is first, is settled on ids and names
+    alone; contents stay where they are. Only rows alike in id and name can't be
+    told apart that way, and are left to whoever collapses the result.
+    """
+    if rule not in (KEEP, FIRST):
+        raise ValueError(f"rule must be {KEEP!r} or {FIRST!r}, not {rule!r}")
+    names = files.select("id", "filename").groupBy("id", "filename").agg(F.count("*").alias("n"))
+    names = durable(names, "files")
+    fresh = new_only(names, existing)
+    twice = False
+    if rule == FIRST:
+        fresh = fresh.groupBy("id").agg(F.min("filename").alias("filename"))
+        twice = names.where("n > 1").limit(1).count() > 0
+    on = ["id", "filename"]
+    keys = durable(fresh.select(on), "new-files")
+    others = durable(names.select(on).join(keys, on, "left_anti"), "other-files")
+    return select_in_place(files, keys, others, on, most), twice

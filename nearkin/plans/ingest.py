@@ -11,7 +11,7 @@ from nearkin.functions import text as X
 from nearkin.operators import incremental
 from nearkin.operators.embedding import Embedder, embed_documents
 from nearkin.sources.files import extracted, read_folder, utf8_text
-from nearkin.sources.storage import read_or_empty, spread
+from nearkin.sources.storage import durable, read_or_empty, spread
 
 STORED = (
     "id string, filename string, text string, embedding array<double>, "
@@ -28,9 +28,11 @@ def stored_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files that gave no document, and why."""
+    """Files that gave no document, and why; one row for each, however often tried."""
     rows = read_or_empty(spark, path, STORED).where(F.col("status") == REJECTED)
-    return rows.select("id", "filename", "error", "ingested_at")
+    last = F.max_by(F.struct("error", "ingested_at"), "ingested_at").alias("last")
+    # a file is tried again by each run, the last try counts
+    return rows.groupBy("id", "filename").agg(last).select("id", "filename", "last.*")
 
 
 def prepare_documents(
@@ -46,19 +48,23 @@ def prepare_documents(
     """``filename, content`` rows to stored rows, both good and rejected.
 
     Files already stored leave before they are extracted or embedded, and only
-    text that survived cleaning is embedded.
+    text that survived cleaning is embedded. Contents are never shuffled: they are
+    read once for their hashes, and again for those that are new.
     """
     file_id = X.content_id(F.col("content")).alias("id")
-    hashed = spread(files).select(file_id, "filename", "content")
-    new = incremental.new_only(hashed, existing)
-    new = incremental.within_batch(new, within_batch, "filename")
+    hashed = files.select(file_id, "filename", "content")
+    new, twice = incremental.new_files(hashed, existing, within_batch)
     read = new.withColumn("_x", extracted(F.col("content"), extractor)).select(
         "id", "filename", X.clean_text(F.col("_x.text")).alias("text"), "_x.error"
     )
     empty = F.when(F.col("text") == "", F.lit(EMPTY_TEXT))
     read = read.withColumn("_bad", F.coalesce("error", empty)).drop("error")
+    if twice:
+        read = read.dropDuplicates(["id"])
+    # from here on texts, which may move; with a cache they are read several times
+    read = durable(read, "texts") if cache_path is not None else spread(read)
     out = embed_documents(
-        read, embedder, cache_path=cache_path, spread_out=False, **embed_options
+        read, embedder, cache_path=cache_path, spread_out=cache_path is not None, **embed_options
     )
     error = F.coalesce("_bad", "error")
     return out.select(

@@ -23,7 +23,8 @@ def start_ingest(
     """Ingest all files that have arrived, then stop.
 
     ``files`` is a stream of ``filename, content``. A batch that is replayed
-    after a failure finds its documents stored and adds nothing. Within a batch
+    after a failure finds its documents stored and adds none; files without text are
+    tried again, and the last try is what ``rejected_files`` tells. Within a batch
     one of several equal files is kept, as otherwise the result would depend on
     where batches end.
     """

@@ -63,13 +63,13 @@ def test_other_files_are_not_read(spark, folder):
 
 def test_no_name_is_passed_over(spark, tmp_path):
     base = str(tmp_path / "in")
-    names_in = ["_a 職務.pdf", ".b職務%20.pdf", "_c=職務.pdf", "d職務[1].PDF", "_metadata職務.pdf"]
+    names_in = ["_a 資料.pdf", ".b資料%20.pdf", "_c=資料.pdf", "d資料[1].PDF", "_metadata資料.pdf"]
     for i, name in enumerate(names_in):
         write(base, name, f"text {i}".encode())
     write(base, "_other.pdf", b"other")
-    write(base, "_e職務.txt", b"other")
-    write(base, "_sub職務.pdf/f職務.pdf", b"below")
-    found = files.read_folder(spark, base, ".pdf", "職務")
+    write(base, "_e資料.txt", b"other")
+    write(base, "_sub資料.pdf/f資料.pdf", b"below")
+    found = files.read_folder(spark, base, ".pdf", "資料")
     got = {r.filename: bytes(r.content).decode() for r in found.collect()}
     assert got == {name: f"text {i}" for i, name in enumerate(names_in)}
     # a literal that may overlap with the suffix
@@ -78,7 +78,7 @@ def test_no_name_is_passed_over(spark, tmp_path):
     path = str(tmp_path / "docs")
     for _ in range(2):
         start_folder_ingest(
-            spark, base, path, str(tmp_path / "progress"), EMBEDDER, literal="職務"
+            spark, base, path, str(tmp_path / "progress"), EMBEDDER, literal="資料"
         ).awaitTermination()
     assert names(ingest.stored_documents(spark, path)) == sorted(names_in)
 
@@ -132,6 +132,80 @@ def test_first_of_equal_files(spark, folder, tmp_path):
     assert names(ingest.stored_documents(spark, path)) == ["B_report.PDF", "a_report.pdf"]
 
 
+def _exchanged(df):
+    """Names of all columns that any exchange of a plan hands on."""
+    df._jdf.queryExecution().executedPlan()
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    parts = [p.strip() for p in text.split("\n\n") if p.strip()]
+    return [p for p in parts if p[0] == "(" and "Exchange" in p.splitlines()[0]]
+
+
+@pytest.mark.parametrize("rule", [incremental.KEEP, incremental.FIRST])
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_contents_are_never_shuffled(spark, tmp_path, rule, most, monkeypatch):
+    rows = [(f"f{i % 9}", f"text {i % 7}".encode()) for i in range(40)]
+    rows += rows[:2]
+    path = str(tmp_path / "files")
+    spark.createDataFrame(rows, "filename string, content binary").repartition(3).write.parquet(path)
+    batch = spark.read.parquet(path).select(F.sha1("content").alias("id"), "filename", "content")
+    known = spark.createDataFrame([(hashlib.sha1(b"text 3").hexdigest(),), (None,)], "id string")
+    monkeypatch.setattr(storage, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out, twice = incremental.new_files(batch, known, rule, most)
+        got = {(r.filename, bytes(r.content)) for r in out.collect()}
+        for part in _exchanged(out):
+            assert "content" not in part or "Broadcast" in part.splitlines()[0], part
+        whole = ingest.prepare_documents(batch.drop("id"), known, EMBEDDER, within_batch=rule)
+        for part in _exchanged(whole):
+            assert "content" not in part, part
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    new = {r for r in rows if r[1] != b"text 3"}
+    if rule == incremental.FIRST:
+        new = {(min(n for n, x in new if x == c), c) for _, c in new}
+        assert twice
+    assert got == new
+
+
+def test_rejected_files_are_told_once(spark, folder, tmp_path):
+    path = str(tmp_path / "docs")
+    for _ in range(3):
+        ingest.ingest_folder(spark, folder, path, EMBEDDER, literal="report")
+    rejected = ingest.rejected_files(spark, path).collect()
+    assert len(rejected) == len({(r.id, r.filename) for r in rejected}) > 0
+
+
+def test_a_hot_text_and_blank_ones(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    rows = [(i, "hot" if i % 3 else ["", None, " \n", "own %d" % i][i % 4]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "i int, text string").repartition(6)
+    out = E.embed_documents(docs, Counting(str(seen)), cache_path=str(tmp_path / "cache"))
+    got = {r.i: r for r in out.collect()}
+    assert len(got) == 600
+    for i, t in rows:
+        blank = not (t or "").strip()
+        assert (got[i].embedding is None) == blank and (got[i].error == E.NO_TEXT) == blank
+    assert asked(str(seen)).count("hot") == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_only_failing_chunks_are_tried_again():
+    calls = []
+
+    def embedder(texts):
+        calls.append(list(texts))
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[1.0] for _ in texts]
+
+    found = E._pool(embedder, [["a"], ["b", "bad"], ["c"], ["d"]], 10)
+    assert [isinstance(v, Exception) for v in found] == [False, True, False, False]
+    assert sum("a" in c for c in calls) <= 2 and len(calls) <= 7
+
+
 def test_stream_ingest_over_a_growing_folder(spark, folder, tmp_path):
     path, progress = str(tmp_path / "docs"), str(tmp_path / "progress")
 
@@ -299,6 +373,26 @@ def test_records_are_appended_as_utf8(spark, tmp_path):
     assert jsonl.read_records(spark, path).count() == 2
 
 
+def test_times_are_utc_whatever_the_session_zone(spark, tmp_path):
+    path, zone = str(tmp_path / "out"), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        docs = spark.sql(
+            "SELECT 'a' AS id, 'f' AS filename, 't' AS text, array(1.0D) AS embedding, explode(array("
+            "timestamp'2024-03-10T02:30:00Z', timestamp'2024-11-03T06:30:00.000123Z',"
+            "timestamp'1969-12-31T23:59:59.5Z')) AS ingested_at"
+        )
+        jsonl.append_records(docs, path)
+        got = sorted(r.ingested_at for r in jsonl.read_records(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [
+        "1969-12-31T23:59:59.500000+00:00",
+        "2024-03-10T02:30:00.000000+00:00",
+        "2024-11-03T06:30:00.000123+00:00",
+    ]
+
+
 # -- storage ----------------------------------------------------------------
 
 

@@ -221,10 +221,10 @@ def test_expressions_match_numpy(spark):
 
 def test_required_vectors_name_the_record(spark):
     df = spark.createDataFrame([("r7", None)], "id string, v array<double>")
-    with pytest.raises(PySparkException, match="Record r7 has no embedding"):
+    with pytest.raises(PySparkException, match="no vector given for id r7"):
         df.select(V.require_vector(F.col("v"), F.col("id"))).collect()
     df = spark.createDataFrame([("r8", [1.0])], "id string, v array<double>")
-    with pytest.raises(PySparkException, match="Record r8 does not have 2 dimensions"):
+    with pytest.raises(PySparkException, match="vector of id r8 does not have 2 dimensions"):
         df.select(V.require_vector(F.col("v"), F.col("id"), 2)).collect()
 
 
