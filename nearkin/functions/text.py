@@ -56,13 +56,25 @@ def token_count(text: Column) -> Column:
     return F.when(strip(text) == "", F.lit(0)).otherwise(F.size(tokens(text)))
 
 
+# Ranges of scripts that are written without spaces (Thai, Lao,
+# Myanmar, Khmer, kana, Han and their compatibility forms).
+_UNSPACED = (
+    r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d"
+    r"\x{20000}-\x{3ffff}"
+)
+MAX_WORD_CHARS = 64
+_WORD = f"(?:[{_UNSPACED}]|[^ {_UNSPACED}]{{1,{MAX_WORD_CHARS}}}+)"
+
+
 def chunk_words(cleaned: Column, size: int) -> Column:
     """Cut cleaned text into runs of at most ``size`` words.
 
-    One pass of a regular expression that never backtracks. Slices of a token
-    array would need the array once per chunk, and it is costly to build.
+    A character of a script without spaces is a word, and a longer run than
+    ``MAX_WORD_CHARS`` is several, cut between code points, so no chunk is without
+    bound. One pass of a regular expression that never backtracks. Slices of a
+    token array would need the array once per chunk, and it is costly to build.
     """
-    run = f"[^ ]++(?: [^ ]++){{0,{int(size) - 1}}}+"
+    run = f"{_WORD}(?: ?{_WORD}){{0,{int(size) - 1}}}+"
     return F.regexp_extract_all(cleaned, F.lit(run), F.lit(0))
 
 

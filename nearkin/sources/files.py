@@ -18,6 +18,10 @@ _BINARY_FILE = (
 )
 
 
+# Schemes that Arrow knows by another name than Hadoop does.
+_OTHER_NAMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasbs": "abfss"}
+
+
 def has_suffix(filename: Column, suffix: str) -> Column:
     """Case-insensitive suffix test."""
     return F.lower(filename).endswith(suffix.lower())
@@ -105,6 +109,7 @@ def _opened(path: Column) -> Column:
             contents = []
             for uri in batch.to_pylist():
                 scheme, _, rest = uri.partition(":")
+                scheme = _OTHER_NAMES.get(scheme, scheme)
                 if scheme == "file":
                     system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
                 else:

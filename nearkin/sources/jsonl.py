@@ -20,7 +20,8 @@ RECORD = T.StructType(
 )
 
 # Fixed value: ISO-8601 with microseconds and a numeric offset.
-_ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
+_ISO_CLOCK = "T%02d:%02d:%02d.%06d+00:00"
+_DAY = 86_400_000_000
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +61,12 @@ def append_records(documents: DataFrame, path: str) -> None:
     """Append records as UTF-8 JSON lines; timestamps become ISO strings in UTC."""
     out = documents
     if isinstance(out.schema["ingested_at"].dataType, T.TimestampType):
-        zone = out.sparkSession.conf.get("spark.sql.session.timeZone")
-        utc = F.to_utc_timestamp("ingested_at", zone)
-        local_text = F.date_format(utc, _ISO_FORMAT.replace("xxx", ""))
-        out = out.withColumn("ingested_at", F.concat(local_text, F.lit("+00:00")))
+        # from the count of microseconds, as the session's zone may skip an hour
+        micros = F.unix_micros("ingested_at")
+        day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(micros / _DAY).cast("int"))
+        rest = F.pmod(micros, F.lit(_DAY))
+        seconds = F.floor(rest / 1_000_000)
+        parts = (seconds / 3600, seconds / 60 % 60, seconds % 60, rest % 1_000_000)
+        clock = F.format_string(_ISO_CLOCK, *(F.floor(x).cast("long") for x in parts))
+        out = out.withColumn("ingested_at", F.concat(day.cast("string"), clock))
     out.select(*RECORD.fieldNames()).write.mode("append").json(path)

@@ -128,3 +128,15 @@ def test_text_stats(spark):
     r = words.text_stats(df).first()
     assert (r.mean_tokens, r.unique_texts, r.total_texts) == (2.0, 3, 4)
     assert abs(r.std_tokens - 2**0.5) < 1e-12
+
+
+def test_chunks_are_bounded_in_any_script(spark):
+    rows = [("日本語" * 6667, 10), ("x" * 1000, 1), ("ภาษา" * 3000, 5), ("a b c " * 3000, 5)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    cut = df.select("t", "n", E.chunks_of(F.col("t"), 2048).alias("c")).collect()
+    for r in cut:
+        assert len(r.c) >= r.n
+        assert "".join(r.c).replace(" ", "") == r.t.replace(" ", "")
+    assert max(len(c) for c in cut[0].c) <= 2048
+    long = df.select(E.chunks_of(F.col("t"), 2).alias("c")).collect()[1].c
+    assert max(map(len, long)) <= 128
