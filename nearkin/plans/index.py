@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.sources.storage import durable, file_count
+from nearkin.sources.storage import durable, read_or_empty
 
-_MAX_BROADCAST_FILES = 100_000
+
+_ABOUT = "metric string"
 
 
 def dimension(documents: DataFrame, vector_col: str = "embedding") -> int | None:
@@ -22,19 +26,29 @@ def number_rows(stored: DataFrame, id_col: str = "row_id") -> DataFrame:
     """Dense numbers 0..N-1 in the order of a Parquet table's files and rows.
 
     Each row's place in its file is known to the reader, so only the row counts
-    per file are summed up: no sort and no shuffle of the rows themselves.
+    per file are summed up: no sort and no shuffle of the rows themselves. Files
+    go by the number of the task that wrote them, and then by name. A file is
+    few numbers here, which the driver puts in order and the tasks are sent.
     """
-    at = stored.select(
-        "*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i")
+    path = F.col("_metadata.file_path")
+    task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    files = stored.select(path.alias("_f"), task.alias("_t")).groupBy("_f", "_t").count()
+    told = files.select(
+        F.xxhash64("_f").alias("f"),
+        F.coalesce(F.expr("try_cast(_t AS bigint)"), F.lit(-1)).alias("t"),
+        F.col("_f").alias("name"),
+        "count",
     )
-    per_file = stored.select(F.col("_metadata.file_path").alias("_f")).groupBy("_f").count()
-    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_o")
-    offsets = per_file.select("_f", offset)
-    if file_count(stored) <= _MAX_BROADCAST_FILES:
-        offsets = F.broadcast(offsets)
+    rows = told.select("f", "t", "name", "count").toArrow()
+    rows = rows.sort_by([("t", "ascending"), ("name", "ascending")]).select(["f", "count"])
+    count = rows["count"].to_numpy()
+    if pc.count_distinct(rows["f"]).as_py() < rows.num_rows:
+        raise ValueError("two files have the same hash of their path")
+    before = pa.table({"_h": rows["f"], "_o": np.cumsum(count) - count})
+    offsets = stored.sparkSession.createDataFrame(before, "_h long, _o long")
+    at = stored.select("*", F.xxhash64(path).alias("_h"), F.col("_metadata.row_index").alias("_i"))
     number = (F.col("_o") + F.col("_i")).alias(id_col)
-    return at.join(offsets, "_f").select(number, *stored.columns)
+    return at.join(F.broadcast(offsets), "_h").select(number, *stored.columns)
 
 
 def vector_rows(
@@ -82,6 +96,13 @@ def build_index(
         numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
     columns = ["row_id", "uuid", "filename", "v", "norm", "metric"]
     numbered.select(*columns).write.mode("overwrite").parquet(path)
+    # beside the table, as a table without rows could not tell
+    about = documents.sparkSession.createDataFrame([(metric,)], _ABOUT).coalesce(1)
+    about.write.mode("overwrite").parquet(_about_path(path))
+
+
+def _about_path(path: str) -> str:
+    return f"{path.rstrip('/')}.about"
 
 
 def open_index(
@@ -94,7 +115,8 @@ def open_index(
     table = spark.read.parquet(path)
     if keep:
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    row = table.select("metric").first()
+    row = read_or_empty(spark, _about_path(path), _ABOUT).first()
+    row = row or table.select("metric").first()
     return table, row.metric if row else V.L2
 
 

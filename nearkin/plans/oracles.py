@@ -34,14 +34,6 @@ _CENTROIDS = f"""{_VECTORS},
     SELECT label AS query_id, list(m ORDER BY pos) AS v FROM means GROUP BY label)
 """
 
-_CORPUS = """
-  corpus AS (
-    SELECT vec_id AS row_id, sha1(text) AS id, source || '/' || doc_id AS filename,
-           text, embedding::double[] AS v
-    FROM embeddings JOIN documents ON vec_id = doc_id)
-"""
-
-
 def _closeness(t: str, q: str, metric: str) -> str:
     if metric == "cosine":
         return f"list_cosine_similarity({t}.v, {q}.v)"
@@ -127,12 +119,36 @@ WITH {_hashed("documents", "doc_id", 2048, "d")},
 """
 
 
+_CORPUS = f"""{_hashed("documents", "doc_id", 2048, "h")},
+  corpus AS (
+    SELECT doc_id AS row_id, sha1(text) AS id, source || '/' || doc_id AS filename, text, v
+    FROM documents JOIN h ON key = doc_id)
+"""
+
+
 def _average_similarity(source: str, extra: str) -> str:
     """CTE ``averages``: mean cosine to the others, from all pairs."""
     return f"""
+  pair_averages AS (
+    SELECT a.row_id, avg(list_cosine_similarity(a.v, b.v)) AS avg_sim
+    FROM {source} a JOIN {source} b ON a.row_id <> b.row_id GROUP BY ALL),
   averages AS (
-    SELECT a.row_id{extra}, avg(list_cosine_similarity(a.v, b.v)) AS avg_sim
-    FROM {source} a JOIN {source} b ON a.row_id <> b.row_id GROUP BY ALL)
+    SELECT a.row_id{extra}, avg_sim FROM pair_averages JOIN {source} a USING (row_id))
+"""
+
+
+def _search_page(metric: str) -> str:
+    scale = "sqrt(list_inner_product(v, v))" if metric == "cosine" else "1"
+    asked = f"""{_CORPUS}, {_hashed("benchmark", "item_id", None, "b")},
+  scaled_corpus AS (
+    SELECT row_id, filename, list_transform(v, lambda x: x / {scale}) AS v FROM corpus),
+  asked AS (SELECT key AS query_id, v FROM b WHERE key = 7)"""
+    return f"""
+{_pca(asked, "scaled_corpus")},
+  {_knn("scaled_corpus", "asked", 5, metric, "filename")}
+SELECT p.row_id, CASE WHEN c.filename IN (SELECT filename FROM hits) THEN 'neighbour'
+       ELSE 'background' END AS role, pc1, pc2, rank, h.filename, round(score, 3) AS score
+FROM points p JOIN corpus c USING (row_id) LEFT JOIN hits h ON h.row_id = p.row_id
 """
 
 
@@ -329,6 +345,9 @@ FROM scaled
     "id_map": """
 SELECT vec_id AS row_id, sha1('vec-' || vec_id) AS uuid, 'vec-' || vec_id AS filename
 FROM embeddings
+""",
+    "numbered_parts": """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id FROM documents
 """,
     "dense_row_numbers": "SELECT doc_id AS row_id, doc_id FROM documents",
     "vector_norms": f"""
@@ -444,4 +463,19 @@ FROM n
   {_ROLES}
 SELECT row_id, role, pc1, pc2 FROM points JOIN roles USING (row_id)
 """,
+    "similarity_map_absent_neighbours": f"""
+{_pca(_CORPUS, 'corpus')},
+  {_ROLES}
+SELECT row_id, role, pc1, pc2 FROM points JOIN roles USING (row_id)
+""",
+    "similarity_map_absent_query": f"""
+{_pca(_CORPUS, 'corpus')},
+  {_ROLES}
+SELECT row_id,
+       CASE WHEN filename IN (SELECT filename FROM hits) THEN 'neighbour'
+            ELSE 'background' END AS role, pc1, pc2
+FROM points JOIN roles USING (row_id)
+""",
+    "search_page_l2": _search_page("l2"),
+    "search_page_cosine": _search_page("cosine"),
 }

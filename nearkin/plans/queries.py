@@ -14,7 +14,7 @@ from nearkin.operators import embedding as E
 from nearkin.operators import incremental, neighbors, pooling, reduce, similarity, words
 from nearkin.plans import index, ingest, reports, search
 from nearkin.sources import files, jsonl
-from nearkin.sources.storage import durable, scratch_path, spread
+from nearkin.sources.storage import durable, scratch_path, settled, spread
 from nearkin.streaming.ingest import start_ingest
 
 EMBEDDER = E.HashedWords(64)
@@ -72,17 +72,16 @@ def _texts(spark, sf_dir) -> DataFrame:
 
 
 def _corpus(spark, sf_dir) -> DataFrame:
-    """Documents that have a vector, as records."""
-    e = _read(spark, sf_dir, "embeddings")
-    d = _documents(spark, sf_dir)
-    v = V.as_double(F.col("embedding")).alias("embedding")
-    return e.join(d, e.vec_id == d.doc_id).select(
-        F.col("vec_id").alias("row_id"),
+    """All documents with their own embeddings, as records."""
+    embedded = E.embed_documents(_documents(spark, sf_dir), EMBEDDER)
+    records = embedded.select(
+        F.col("doc_id").alias("row_id"),
         X.text_id(F.col("text")).alias("id"),
         "filename",
         "text",
-        v,
+        "embedding",
     )
+    return durable(records, "corpus")
 
 
 def _labelled_texts(spark, sf_dir) -> DataFrame:
@@ -487,13 +486,17 @@ def _roles(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """The most universal document as query, its nearest ones as neighbours."""
     corpus = _corpus(spark, sf_dir).withColumnRenamed("embedding", "v")
     scored = similarity.average_similarity(corpus)
-    top = similarity.rank_universal(scored).limit(1)
+    top, _ = settled(similarity.rank_universal(scored).limit(1).select("filename", "v"), 1)
     asked = top.select(F.col("filename").alias("query_id"), "v")
     near = neighbors.knn(corpus, asked, 6, V.COSINE, carry=("filename",))
     query = asked.select(F.col("query_id").alias("filename"), F.lit(reduce.QUERY).alias("role"))
     return corpus, query.union(near.select("filename", F.lit(reduce.NEIGHBOUR).alias("role")))
 
 
+def _points(points: DataFrame) -> DataFrame:
+    return points.select("row_id", "role", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")])
+
+
 def role_labels(spark, sf_dir):
     corpus, roles = _roles(spark, sf_dir)
     return reduce.label_roles(corpus, roles).select("row_id", "filename", "role")
@@ -501,8 +504,52 @@ def role_labels(spark, sf_dir):
 
 def similarity_map(spark, sf_dir):
     corpus, roles = _roles(spark, sf_dir)
-    points = reduce.similarity_map(corpus, roles, require_query=True, warn_missing=True)
-    return points.select("row_id", "role", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")])
+    return _points(reduce.similarity_map(corpus, roles, require_query=True, warn_missing=True))
+
+
+def similarity_map_absent_neighbours(spark, sf_dir):
+    """Neighbours without a point are passed over in silence."""
+    corpus, roles = _roles(spark, sf_dir)
+    absent = reduce.role_table(spark, None, ["no/such-file"])
+    return _points(reduce.similarity_map(corpus, roles.union(absent), require_query=True))
+
+
+def similarity_map_absent_query(spark, sf_dir):
+    """A query that is no document leaves a map of its neighbours."""
+    corpus, roles = _roles(spark, sf_dir)
+    near = roles.where(F.col("role") == reduce.NEIGHBOUR)
+    absent = reduce.role_table(spark, "no/such-file", [])
+    return _points(reduce.similarity_map(corpus, near.union(absent)))
+
+
+def _search_page(spark, sf_dir, metric: str, overfetch: bool) -> DataFrame:
+    """One uploaded file: its hits, as listed, with their places on the map."""
+    table, metric = _document_index(spark, sf_dir, metric)
+    files_ = _benchmark_files(spark, sf_dir)
+    one = files_.where(F.col("query_id") == 7)
+    hits = search.search_files(table, one, EMBEDDER, 5, metric, overfetch=overfetch)
+    hits, _ = settled(hits, 100)
+    roles = search.hit_roles(hits.withColumn("query_id", F.lit("upload")), "upload")
+    points = _points(reduce.similarity_map(table, roles))
+    listed = neighbors.hit_list(hits).join(hits.select("rank", "row_id"), "rank")
+    shown = points.join(F.broadcast(listed.drop("query_id")), "row_id", "left")
+    return shown.select("row_id", "role", "pc1", "pc2", "rank", "filename", "score")
+
+
+def search_page_l2(spark, sf_dir):
+    return _search_page(spark, sf_dir, V.L2, overfetch=False)
+
+
+def search_page_cosine(spark, sf_dir):
+    return _search_page(spark, sf_dir, V.COSINE, overfetch=True)
+
+
+def numbered_parts(spark, sf_dir):
+    """Numbers over a table of several files follow the order of its rows."""
+    path = scratch_path(spark, "parts")
+    d = _read(spark, sf_dir, "documents").select("doc_id")
+    d.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return index.number_rows(spark.read.parquet(path))
 
 
 QUERIES: dict[str, Query] = {
@@ -559,5 +606,10 @@ QUERIES: dict[str, Query] = {
         pca_2d,
         role_labels,
         similarity_map,
+        similarity_map_absent_neighbours,
+        similarity_map_absent_query,
+        search_page_l2,
+        search_page_cosine,
+        numbered_parts,
     )
 }

@@ -3,6 +3,8 @@ import os
 import warnings
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -57,9 +59,9 @@ def test_other_row_ids(spark, tmp_path):
 
 def test_bad_records_stop_the_build(spark, tmp_path):
     path = str(tmp_path / "index")
-    with pytest.raises(PySparkException, match="Record id1 has no embedding"):
+    with pytest.raises(PySparkException, match="no vector given for id id1"):
         index.build_index(records(spark, [[1.0, 2.0], None]), path, "l2")
-    with pytest.raises(PySparkException, match="Record id1 does not have 2 dim"):
+    with pytest.raises(PySparkException, match="vector of id id1 does not have 2 dim"):
         index.build_index(records(spark, [[1.0, 2.0], [1.0, 2.0, 3.0]]).coalesce(1), path, "l2")
 
 
@@ -113,7 +115,7 @@ def test_search_texts(spark, tables):
 
 def test_blank_query_text_is_an_error(spark, tables):
     asked = spark.createDataFrame([(1, "  ")], "query_id int, text string")
-    with pytest.raises(PySparkException, match="query 1: No valid text"):
+    with pytest.raises(PySparkException, match="query 1: nothing to embed"):
         search.search_texts(tables["l2"], asked, EMBEDDER, 2).collect()
 
 
@@ -213,3 +215,20 @@ def test_similarity_map_flags(spark, points):
         assert reduce.similarity_map(points, absent).count() == 4
     none = reduce.role_table(spark, None, ["n1"])
     assert reduce.similarity_map(points, none).where("role = 'query'").count() == 0
+
+
+def test_numbers_follow_the_tasks_beyond_five_digits(spark, tmp_path):
+    for n, rows in ((99_998, [1, 2]), (99_999, [3]), (100_000, [4, 5]), (100_001, [6])):
+        pq.write_table(pa.table({"x": rows}), tmp_path / f"part-{n:05d}-abc.parquet")
+    got = index.number_rows(spark.read.parquet(str(tmp_path)))
+    assert sorted((r.row_id, r.x) for r in got.collect()) == [(i, i + 1) for i in range(6)]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_empty_table_keeps_its_metric(spark, tmp_path):
+    none = spark.createDataFrame([], "id string, filename string, embedding array<double>")
+    for metric in ("cosine", "l2"):
+        path = str(tmp_path / metric)
+        index.build_index(none, path, metric)
+        table, found = index.open_index(spark, path)
+        assert found == metric and table.count() == 0
