@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Spark's own default limit for broadcasting a side by its estimated size.
 BROADCAST_BYTES = 10 << 20
 MAX_BROADCAST_KEYS = 200_000
+MAX_DRIVER_BYTES = 64 << 20
 _SMALL_PER_CORE = 32 << 20
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _local_base: str | None = None
@@ -49,23 +52,39 @@ class TablePaths:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session.
 
-    Only a local session may do without the setting; on a cluster a folder of
-    one machine would lose data with that machine.
+    Only a session within one process may do without the setting; on a cluster a
+    folder of one machine would lose data with that machine.
     """
     global _local_base
     base = spark.conf.get(_CHECKPOINT_DIR, None)
     if base:
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors share")
     if _local_base is None:
         _local_base = tempfile.mkdtemp(prefix="nearkin-")
+        atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
     return _local_base
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/nearkin/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table."""
-    return f"{shared_folder(spark)}/nearkin/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
+
+    For a caller to use once all results that read them are written.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def durable(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -99,12 +118,33 @@ def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.range(0).select(*columns)
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> pa.Table | None:
-    """All rows if there are at most ``max_rows``; otherwise nothing.
+def _measured(df: DataFrame) -> Column:
+    """About how many bytes a row takes."""
+    total = F.lit(8 * len(df.columns))
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            total = total + 8 * F.greatest(F.size(f.name), F.lit(0))
+    return total
+
+
+def bounded_rows(
+    df: DataFrame, max_rows: int, max_bytes: int = MAX_DRIVER_BYTES
+) -> pa.Table | None:
+    """All rows if there are at most ``max_rows`` of ``max_bytes`` in all; otherwise nothing.
 
     The limit only keeps an oversized result off the driver; no result is cut.
+    Rows that may be wide are written and measured before any are fetched.
     """
-    rows = df.limit(max_rows + 1).toArrow()
+    some = df.limit(max_rows + 1)
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)
+    if any(isinstance(f.dataType, wide) for f in df.schema):
+        some = durable(some, "measured")
+        size = some.agg(F.count("*").alias("n"), F.sum(_measured(some)).alias("bytes")).first()
+        if size.n > max_rows or (size.bytes or 0) > max_bytes:
+            return None
+    rows = some.toArrow()
     return rows if rows.num_rows <= max_rows else None
 
 

@@ -411,6 +411,21 @@ def test_settled_results_have_a_known_size(spark):
     assert not few and same is df
 
 
+def test_wide_results_stay_off_the_driver(spark):
+    df = spark.range(10).withColumn("s", F.repeat(F.lit("x"), 1000))
+    assert storage.bounded_rows(df, 100, 5_000) is None
+    assert storage.bounded_rows(df, 100, 50_000).num_rows == 10
+    assert storage.bounded_rows(df, 9) is None
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    storage.durable(spark.range(3), "mine")
+    root = storage.scratch_root(spark)
+    assert os.path.isdir(root.removeprefix("file://"))
+    storage.clear_scratch(spark)
+    assert not os.path.isdir(root.removeprefix("file://"))
+
+
 def test_table_paths():
     paths = storage.TablePaths("/base")
     assert paths.index("cosine") != paths.index("l2")
