@@ -199,6 +199,7 @@ def _pack(
 ) -> dict[str, object]:
     keys = np.concatenate([h[0] for h in held])
     turns = np.concatenate([h[1] for h in held])
+    named = keys[turns >= 0]
     lengths = np.concatenate([h[3] for h in held])
     ids = np.concatenate([h[2] for h in held])
     offsets = np.cumsum(lengths) - lengths
@@ -210,8 +211,8 @@ def _pack(
     return {
         "part": part,
         "shard": shard,
-        "first_key": int(keys[0]),
-        "last_key": int(keys[-1]),
+        "first_key": int(named[0]) if len(named) else None,
+        "last_key": int(named[-1]) if len(named) else None,
         "start_in_part": start,
         "n_ids": len(ids),
         "width": width,
@@ -255,11 +256,10 @@ def write_shards(
     Each text's ids are followed by ``end_id``; a null or empty text has that
     only. Ids need two bytes where the vocabulary allows. Rows with equal ids
     follow each other in the order of their texts' hashes and are told apart by
-    their turn; rows with a null id can't be looked up and are refused.
+    their turn. Rows with a null id come first; they are read back like others, but
+    no key asks for them.
     """
-    key = F.col(id_col).cast("long")
-    key = F.when(key.isNull(), F.raise_error(F.lit("a document has no id"))).otherwise(key)
-    rows = docs.select(key.alias("key"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("t"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("t"))
     schema = _arrow_schema()
 
@@ -267,16 +267,20 @@ def write_shards(
         coder, part = encoder(), TaskContext.get().partitionId()
         width = 2 if max(coder.vocab_size - 1, end_id) < 1 << 16 else 4
         shard, start, held, size = 0, 0, [], 0
-        last_key, turn = None, 0
+        last, turn = (None, None), 0
         for batch in (s for b in batches_of(batches) for s in text_slices(b, "t", _SLICE_BYTES)):
-            keys = batch["key"].to_numpy()
-            fresh = np.concatenate([[keys[0] != last_key], keys[1:] != keys[:-1]])
+            nameless = batch["key"].is_null().to_numpy(zero_copy_only=False)
+            keys = batch["key"].fill_null(0).to_numpy()
+            fresh = (keys[1:] != keys[:-1]) | (nameless[1:] != nameless[:-1])
+            fresh = np.concatenate([[(keys[0], nameless[0]) != last], fresh])
             place = np.arange(len(keys))
             since = np.maximum.accumulate(np.where(fresh, place, 0))
             turns = place - since
             if not fresh[0]:
                 turns[since == 0] += turn + 1
-            last_key, turn = keys[-1], int(turns[-1])
+            last, turn = (keys[-1], nameless[-1]), int(turns[-1])
+            # turns below zero are those of rows without a key
+            turns = np.where(nameless, -1 - turns, turns)
             ids, sizes = coder.encode(batch["t"])
             ids = np.insert(ids, np.cumsum(sizes), end_id)
             sizes = sizes + 1
@@ -363,8 +367,10 @@ def read_documents(spark: SparkSession, path: str, *, with_ids: bool = False) ->
                 parts = [shard.ids[o : o + n] for o, n in zip(offset, length, strict=True)]
                 crc = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
                 start = row["part_start"] + row["start_in_part"] + offset
-                columns = [keys, turns, start, length, np.array(crc, np.int64)]
-                arrays = [pa.array(c) for c in columns]
+                shown = pa.array(keys, mask=turns < 0)
+                turns = np.where(turns < 0, -1 - turns, turns).astype(np.int32)
+                columns = [turns, start, length, np.array(crc, np.int64)]
+                arrays = [shown, *(pa.array(c) for c in columns)]
                 if with_ids:
                     arrays.append(pa.array([p.astype(np.int32) for p in parts]))
                 names = [x.split()[0] for x in schema.split(", ")]
@@ -382,7 +388,8 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "key"
     time it is asked.
     """
     shards = spark.read.schema(_SHARD).parquet(path)
-    bounds = shards.groupBy("part").agg(F.min("first_key").alias("low")).orderBy("low").collect()
+    bounds = shards.groupBy("part").agg(F.min("first_key").alias("low"))
+    bounds = bounds.where("low IS NOT NULL").orderBy("low").collect()
     lows = np.array([r.low for r in bounds], np.int64)
     parts = np.array([-1, *(r.part for r in bounds)], np.int32)
 

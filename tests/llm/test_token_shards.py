@@ -74,9 +74,21 @@ def test_round_trip(spark, library, shard_ids):
     assert got == sorted([(2, want[2][0]), (2, want[2][0]), (950, want[950][0])])
 
 
-def test_empty_and_null_ids(spark):
+def test_no_documents(spark):
     path = scratch_path(spark, "shards")
     write_shards(documents(spark).limit(0), path, public_encoder(NAME))
     assert read_documents(spark, path).count() == 0
-    with pytest.raises(Exception, match="has no id"):
-        write_shards(documents(spark, [(None, "x")]), path, public_encoder(NAME))
+
+
+@pytest.mark.parametrize("shard_ids", [3, 1 << 20])
+def test_null_ids_come_first_and_answer_to_no_key(spark, library, shard_ids):
+    path = scratch_path(spark, "shards")
+    texts = [(None, "x y"), (0, "zero"), (None, "z"), (-5, "below"), (None, "x y"), (7, None)]
+    write_shards(documents(spark, texts), path, public_encoder(NAME), shard_ids=shard_ids)
+    rows = sorted(read_documents(spark, path, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.key for r in rows] == [None, None, None, -5, 0, 7]
+    assert sorted(r.turn for r in rows[:3]) == [0, 1, 2]
+    asked = spark.createDataFrame([(0,), (-5,), (7,), (None,), (1,)], "key long")
+    got = {r.key: r.ids for r in lookup(spark, path, asked).collect()}
+    encode = lambda t: [*library.encode(t, add_special_tokens=False).ids, 2]
+    assert got == {0: encode("zero"), -5: encode("below"), 7: [2]}
