@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 from types import ModuleType
@@ -12,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Fixed value: the option of the C library for the size above which it maps memory.
+_MMAP_THRESHOLD = -3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -54,6 +57,19 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
         lo = hi
 
 
+def release_memory() -> None:
+    """Give freed memory back, so that workers hold little of it between tasks.
+
+    Arrow takes its memory from the system like others, and larger pieces are
+    mapped one by one, so freeing them returns them at once.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim"):
+        libc.mallopt(_MMAP_THRESHOLD, 1 << 18)
+        libc.malloc_trim(0)
+
+
 def task_cache() -> dict:
     """What a worker process keeps from one task to the next.
 

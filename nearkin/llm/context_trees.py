@@ -17,8 +17,8 @@ them up. Words are counted and come back the same way for the base score.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import ceil, log, log10
 
 import numpy as np
@@ -28,23 +28,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearkin.llm.common import fold_of, read
+from nearkin.llm.common import as_bytes, fold_of, read, release_memory
 from nearkin.sources.storage import durable
 
 #: Bytes of context; a string of these and the next byte fits 48 bits.
 DEPTH = 5
 #: Contexts of so many bytes are the roots of what one task works out.
 SUBTREE_DEPTH = 3
-BLOCK_BYTES = 40 << 20
-SUBTREE_STRINGS = 400_000
+BLOCK_BYTES = 36 << 20
+SUBTREE_STRINGS = 250_000
 
 _START, _END = 0xFE, 0xFF  # bytes that UTF-8 never has
-_PIECE = 1 << 20
+_PIECE = 1 << 19
 # Texts of a block that are held as Python objects at a time.
-_TEXTS = 1_000
+_TEXTS = 500
 _LOG_HALF = log(0.5)
 
 _LISTED = "block int, key long, word binary, n long"
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _TOP = "ctx long, node int, n0 double, n1 double, lw double"
 
 
@@ -130,22 +131,38 @@ def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return key, np.bincount(inverse, weights=weights, minlength=len(key)).astype(np.int64)
 
 
-def _parts(block: pa.Table) -> Iterator[tuple[bool, list[bytes]]]:
+def _lower(texts: pa.ChunkedArray) -> pa.Array:
+    lower = pc.ascii_lower(pc.fill_null(texts, ""))
+    return lower.combine_chunks() if isinstance(lower, pa.ChunkedArray) else lower
+
+
+def _words(lower: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in a row, and how many each text has."""
+    split = pc.ascii_split_whitespace(lower)
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy()
+    real = pc.not_equal(words, "")
+    owner = np.repeat(np.arange(len(sizes)), sizes)[real.to_numpy(zero_copy_only=False)]
+    return words.filter(real), np.bincount(owner, minlength=len(sizes))
+
+
+def _parts(block: pa.Table) -> Iterator[tuple[bool, pa.Array]]:
     """Lower-case texts of a block, a part at a time, those to learn from apart."""
     for lo in range(0, block.num_rows, _TEXTS):
         part = block.slice(lo, _TEXTS)
         for learn in (True, False):
-            some = part.filter(pc.equal(part["train"], learn))["t"].to_pylist()
-            if some:
-                yield learn, [(t or b"").lower() for t in some]
+            some = part.filter(pc.equal(part["train"], learn))
+            if some.num_rows:
+                yield learn, _lower(some["t"])
 
 
 def _list_block(key: tuple, block: pa.Table) -> pa.Table:
     """Different strings and words of a block with their counts in training texts."""
+    release_memory()
     keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    words: Counter[bytes] = Counter()
+    empty = {"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())}
+    words = [pa.table(empty)]
     for learn, some in _parts(block):
-        for strings, _ in _pieces(some):
+        for strings, _ in _pieces(as_bytes(some)):
             strings.sort()
             first = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]]))
             keys.append(strings[first])
@@ -154,27 +171,34 @@ def _list_block(key: tuple, block: pa.Table) -> pa.Table:
             if len(keys) > 8:
                 key_, n_ = _counted(keys, counts)
                 keys, counts = [key_], [n_]
-        for t in some:
-            if learn:
-                words.update(t.split())
-            else:
-                words.update(dict.fromkeys(t.split(), 0))
+        found = _words(some)[0].value_counts()
+        n = found.field(1) if learn else pa.array(np.zeros(len(found), np.int64))
+        words.append(pa.table({"word": found.field(0), "n": n}))
+        if len(words) > 8:
+            words = [_summed(words)]
     strings, n = _counted(keys, counts)
-    rows = len(strings) + len(words)
+    counted = _summed(words)
+    rows = len(strings) + counted.num_rows
+    listed = counted["word"].combine_chunks().cast(pa.binary())
+    del keys, counts, words
+    release_memory()
     return pa.table(
         {
             "block": pa.array(np.full(rows, key[0].as_py(), np.int32)),
             "key": pa.concat_arrays(
-                [pa.array(strings.astype(np.int64)), pa.nulls(len(words), pa.int64())]
-            ),
-            "word": pa.concat_arrays(
-                [pa.nulls(len(strings), pa.binary()), pa.array(list(words), pa.binary())]
+                [pa.array(strings.astype(np.int64)), pa.nulls(counted.num_rows, pa.int64())]
             ),
-            "n": pa.concat_arrays([pa.array(n), pa.array(list(words.values()), pa.int64())]),
+            "word": pa.concat_arrays([pa.nulls(len(strings), pa.binary()), listed]),
+            "n": pa.concat_arrays([pa.array(n), counted["n"].combine_chunks()]),
         }
     )
 
 
+def _summed(words: list[pa.Table]) -> pa.Table:
+    summed = pa.concat_tables(words).group_by("word").aggregate([("n", "sum")])
+    return summed.rename_columns({"n_sum": "n"})
+
+
 # -- trees ------------------------------------------------------------------------
 
 
@@ -250,6 +274,7 @@ def _probabilities(strings: pa.Table, tops: pa.Table) -> pa.Table:
     keys = strings["key"].to_numpy().astype(np.uint64)
     if not len(keys):
         return pa.table({"key": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
+    release_memory()
     tree = _Subtree(keys, strings["n"].to_numpy())
     code = (tops["ctx"].to_numpy() << 8) | tops["node"].to_numpy().astype(np.int64)
     order = np.argsort(code)
@@ -320,6 +345,20 @@ def string_probabilities(counts: DataFrame) -> DataFrame:
     return pairs.applyInArrow(_probabilities, "key long, lp double")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Groups are handed to Python in batches of so many rows meanwhile.
+
+    A block in one batch takes its size several times over in buffers.
+    """
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 # -- scores -----------------------------------------------------------------------
 
 
@@ -342,7 +381,7 @@ def score_texts(
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.expr(train), F.lit(False)).alias("train"),
-        F.col(text_col).cast("binary").alias("t"),
+        F.col(text_col).cast("string").alias("t"),
     )
     sums = rows.agg(
         F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64).alias("bytes"),
@@ -351,7 +390,8 @@ def score_texts(
     blocks = max(1, ceil((sums.bytes or 0) / block_bytes))
     block = F.pmod(F.xxhash64("id", "t"), F.lit(blocks)).cast("int")
     rows = rows.withColumn("block", block)
-    listed = durable(rows.groupBy("block").applyInArrow(_list_block, _LISTED), "listed")
+    with _small_batches(docs.sparkSession):
+        listed = durable(rows.groupBy("block").applyInArrow(_list_block, _LISTED), "listed")
     strings = listed.where("key IS NOT NULL").select("block", "key", "n")
     words = listed.where("word IS NOT NULL").select("block", "word", "n")
     word_counts = durable(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -369,15 +409,21 @@ def score_texts(
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        release_memory()
+        found = found.select(["key", "word", "lp"])
         is_word = found["key"].is_null()
         table = found.filter(is_word)
-        count = dict(zip(table["word"].to_pylist(), table["lp"].to_pylist(), strict=True))
-        table = found.filter(pc.invert(is_word)).sort_by("key")
+        listed = table["word"].combine_chunks().cast(pa.string())
+        count = table["lp"].to_numpy()
+        table = found.filter(pc.invert(is_word)).select(["key", "lp"]).sort_by("key")
         keys, lps = table["key"].to_numpy(), table["lp"].to_numpy()
+        del table, found, is_word
+        release_memory()
         end = log10((sums.n + 0.5) / unit)
-        total, sizes, n_tokens, n_known, base = [], [], [], [], []
+        total, sizes, n_tokens, n_known, base = ([np.empty(0)] for _ in range(5))
         for lo in range(0, texts.num_rows, _TEXTS):
-            t = [(x or b"").lower() for x in texts["t"].slice(lo, _TEXTS).to_pylist()]
+            lower = _lower(texts["t"].slice(lo, _TEXTS))
+            t = as_bytes(lower)
             sums_ = np.zeros(len(t))
             for strings_, owner in _pieces(t):
                 packed = (strings_ << np.uint64(16)) | owner.astype(np.uint64)
@@ -388,21 +434,26 @@ def score_texts(
                 each = np.repeat(each, np.diff(np.concatenate([starts, [len(place)]])))
                 sums_ += np.bincount(own.astype(np.int64), weights=each, minlength=len(t))
             total.append(sums_)
-            for x in t:
-                c = np.fromiter(map(count.__getitem__, x.split()), float)
-                sizes.append(len(x))
-                n_tokens.append(len(c) + 1)
-                n_known.append(int((c > 0).sum()) + (sums.n > 0))
-                base.append(float(np.log10((c + 0.5) / unit).sum()) + end)
+            words_, per_text = _words(lower)
+            c = count[pc.index_in(words_, value_set=listed).to_numpy(zero_copy_only=False)]
+            owner = np.repeat(np.arange(len(t)), per_text)
+            logs = np.log10((c + 0.5) / unit)
+            sizes.append([len(x) for x in t])
+            n_tokens.append(per_text + 1)
+            n_known.append(np.bincount(owner, weights=c > 0, minlength=len(t)) + (sums.n > 0))
+            base.append(np.bincount(owner, weights=logs, minlength=len(t)) + end)
+        del keys, lps, listed, count
+        release_memory()
+        n = texts.num_rows
         return pa.table(
             {
                 id_col: texts["id"],
-                "n_tokens": pa.array(n_tokens, pa.int64()),
-                "n_known": pa.array(n_known, pa.int64()),
-                "train_tokens": pa.array([n_train] * len(base), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": np.concatenate([*total, np.empty(0)]),
-                "n_bytes": pa.array(sizes, pa.int64()),
+                "n_tokens": np.concatenate(n_tokens).astype(np.int64),
+                "n_known": np.concatenate(n_known).astype(np.int64),
+                "train_tokens": np.full(n, n_train, np.int64),
+                "base_score": np.concatenate(base),
+                "score": np.concatenate(total),
+                "n_bytes": np.concatenate(sizes).astype(np.int64),
             }
         )
 
@@ -411,7 +462,8 @@ def score_texts(
         " base_score double, score double, n_bytes long"
     )
     pairs = rows.drop("train").groupBy("block").cogroup(back.union(known).groupBy("block"))
-    return pairs.applyInArrow(score, schema)
+    with _small_batches(docs.sparkSession):
+        return durable(pairs.applyInArrow(score, schema), "scores")
 
 
 def op8_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
