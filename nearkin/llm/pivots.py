@@ -5,7 +5,9 @@ list of a pivot holds the vectors that name it; vectors of a list that name at
 least two pivots in common are candidates, and the cosine of each candidate pair
 is computed. A pair is looked at in the list of its first common pivot only. The
 pivots are a bounded sample of the vectors, four times the square root of their
-number, so that lists stay short as tables grow; every vector is indexed.
+number, so that lists stay short as tables grow; every vector is indexed. They are
+kept apart: pivots from within a dense group would crowd its members' nearest ones,
+each member would name others, and links among them would be lost.
 
 Equal vectors are one row with a count. Lists are cut into blocks, any two blocks
 of a list meet in a task of their own, and a task hands on the number of links of
@@ -33,8 +35,11 @@ SHARED = 2
 #: Pivots are sampled from the vectors; more are not taken, however many there are.
 MAX_PIVOTS = 65_536
 PIVOTS_PER_ROOT = 4.0
+#: No two pivots have this cosine. Twice the pivots wanted are sampled for that.
+PIVOTS_APART = 0.8
 BLOCK_ROWS = 1_024
 _PAIRS = 65_536
+_PIVOT_STEP = 256
 
 
 def usable(v: Column) -> Column:
@@ -45,6 +50,22 @@ def usable(v: Column) -> Column:
     return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def kept_apart(sample: np.ndarray, n: int, most: float = PIVOTS_APART) -> np.ndarray:
+    """The first n unit rows, without those too near to one already taken."""
+    kept = sample[:0]
+    for i in range(0, len(sample), _PIVOT_STEP):
+        part = sample[i : i + _PIVOT_STEP]
+        if len(kept):
+            part = part[(part @ kept.T).max(axis=1) < most]
+        near, free = part @ part.T >= most, np.ones(len(part), bool)
+        for k in range(1, len(part)):
+            free[k] = not (near[k, :k] & free[:k]).any()
+        kept = np.concatenate([kept, part[free]])
+        if len(kept) >= n:
+            break
+    return kept[:n]
+
+
 def pivot_prefixes(x: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
     """The n nearest pivots of each unit row by cosine, nearest first."""
     near = x @ pivots.T
@@ -156,8 +177,9 @@ def _list_links(
     for row in sized.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():
         wanted = min(MAX_PIVOTS, max(prefix, ceil(PIVOTS_PER_ROOT * sqrt(row.n))))
         same = sized.where(F.col("dim") == row.dim)
-        sample = same.orderBy(F.xxhash64("node"), "node").limit(wanted).select("v").toArrow()
-        pivots = unit_rows(_unit_scaled(matrix(sample["v"])))
+        sample = same.orderBy(F.xxhash64("node"), "node").limit(min(MAX_PIVOTS, 2 * wanted))
+        sample = unit_rows(_unit_scaled(matrix(sample.select("v").toArrow()["v"])))
+        pivots = kept_apart(sample, wanted)
         parts.append(_index_links(same, pivots, min_cosine, prefix, shared, block_rows))
     schema = "node long, other long, links long"
     result = spark.createDataFrame([], schema)

@@ -66,3 +66,17 @@ def test_recall_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = sum(r.n_links for r in vector_links(df).collect()) / 2
     assert 0.9 * 500 <= found <= 500
+
+
+def test_recall_in_a_dense_group(spark):
+    """A third of the vectors near each other, not equal: pivots must not crowd there."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:1000] = x[0] + 0.3 * x[:1000]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in vector_links(df).collect())
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    assert links > 500_000
+    assert 0.99 * links <= found <= links + 2
