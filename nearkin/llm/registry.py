@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearkin.llm.context_trees import op8_context_tree_weighting
+from nearkin.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
 from nearkin.llm.pieces import op5_piece_suffix_arrays
@@ -30,10 +31,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_context_tree_weighting,
         op9_token_shards,
         op10_simhash_near_dedup,
+        op13_conversation_trie,
     )
 }
 
 ORACLES: dict[str, str] = {
     op2_url_lists.__name__: OP2_SQL,
     op3_log_templates.__name__: OP3_SQL,
+    op13_conversation_trie.__name__: OP13_SQL,
 }
