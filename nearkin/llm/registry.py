@@ -17,6 +17,7 @@ from nearkin.llm.simhash import op10_simhash_near_dedup
 from nearkin.llm.token_shards import op9_token_shards
 from nearkin.llm.toxicity import op6_toxicity
 from nearkin.llm.url_lists import OP2_SQL, op2_url_lists
+from nearkin.llm.word_runs import op12_word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_context_tree_weighting,
         op9_token_shards,
         op10_simhash_near_dedup,
+        op12_word_runs,
         op13_conversation_trie,
     )
 }
