@@ -10,6 +10,7 @@ from nearkin.llm.context_trees import op8_context_tree_weighting
 from nearkin.llm.conversation_trie import OP13_SQL, op13_conversation_trie
 from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
+from nearkin.llm.multi_index import op11_multi_index
 from nearkin.llm.pieces import op5_piece_suffix_arrays
 from nearkin.llm.pivots import op4_pivot_permutations
 from nearkin.llm.repeats import op7_suffix_array_family
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_context_tree_weighting,
         op9_token_shards,
         op10_simhash_near_dedup,
+        op11_multi_index,
         op12_word_runs,
         op13_conversation_trie,
     )
