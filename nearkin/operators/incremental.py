@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearkin.operators.bloom import select_by_cascade
 from nearkin.sources.storage import MAX_BROADCAST_KEYS, durable, few_keys, restrict, settled
 
 KEEP, FIRST = "keep", "first"
@@ -54,22 +53,17 @@ def select_in_place(
     """The rows with one of ``keys``, without moving any row.
 
     ``others`` are the keys of all other rows. The fewer of the two are sent to the
-    rows; where both are more than ``most``, the keys go in parts of that size,
-    each with a read of the rows of its own.
+    rows; where both are more than ``most``, a cascade of Bloom filters is. The rows
+    are read once in any case.
     """
     wanted, rest = keys.count(), others.count()
     if not rest:
         return rows
     if rest < wanted and rest <= most:
         return rows.join(F.broadcast(others), on, "left_anti")
-    parts = max(1, ceil(wanted / most))
-    own = F.pmod(F.xxhash64(*on), F.lit(parts))
-    result = None
-    for i in range(parts):
-        part = keys if parts == 1 else keys.where(own == i)
-        found = rows.join(F.broadcast(part), on, "left_semi")
-        result = found if result is None else result.union(found)
-    return result
+    if wanted <= most:
+        return rows.join(F.broadcast(keys), on, "left_semi")
+    return select_by_cascade(rows, keys, others, on, most)
 
 
 def new_files(
