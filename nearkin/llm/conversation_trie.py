@@ -35,9 +35,13 @@ TOP_NODES = 200_000
 _ROOT = bytes(16)
 _NO_ENDS = hashlib.sha256().hexdigest()
 
-_SEQUENCES = (
-    "key binary, conv long, n long, depth int, keys binary, sizes binary, ends string"
-)
+# Bytes of ids that a part of a sequence has.
+_HELD_IDS = 1 << 20
+_PARTS = "key binary, conv long, n long, depth int, keys binary, sizes binary, ends string, ids binary"
+_PART_NAMES = [c.split()[0] for c in _PARTS.split(", ")]
+_PART_TYPES = [
+    pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary()
+]
 _STEPS = "key binary, node binary, parent binary, depth int, bytes long, below long, conv long, n long"
 _NODES = (
     "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long,"
@@ -151,44 +155,77 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class _Sequence:
+    """Conversations of one sequence, gathered in the order of their ids."""
+
+    def __init__(self, key: bytes, conv: int, depth: int, known: bool):
+        self.key, self.conv, self.depth, self.n = key, conv, depth, 0
+        self.keys = self.sizes = None
+        self.known = known  # whether all its conversations are here
+        self.ids: list[bytes] = []
+        self.held = 0
+
+    def row(self, whole: bool) -> tuple:
+        ids = b",".join(self.ids)
+        ends, ids = (hashlib.sha256(ids).hexdigest(), None) if whole else (None, ids)
+        return self.key, self.conv, self.n, self.depth, self.keys, self.sizes, ends, ids
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    arrays = [pa.array(c, t) for c, t in zip(columns, _PART_TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=_PART_NAMES)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each sequence, from rows sorted by key and conversation.
+
+    A sequence that may go on in another task, the first and the last one here, and one
+    of very many conversations keeps its ids, in parts, instead of their digest.
+    """
+    now: _Sequence | None = None
+    for batch in batches_of(batches):
+        done: list[tuple] = []
+        columns = (batch[c].to_pylist() for c in ("key", "conv", "depth", "keys", "sizes"))
+        for key, conv, depth, keys, sizes in zip(*columns, strict=True):
+            if now is None or now.key != key or now.held > _HELD_IDS:
+                if now is not None:
+                    done.append(now.row(now.known and now.key != key))
+                known = now is not None and now.key != key
+                now = _Sequence(key, conv, depth, known)
+            now.n += 1
+            now.ids.append(b"%d" % conv)
+            now.held += len(now.ids[-1]) + 1
+            if now.keys is None and keys is not None:
+                now.keys, now.sizes = keys, sizes
+        if done:
+            yield _as_batch(done)
+    if now is not None:
+        yield _as_batch([now.row(False)])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each sequence, from rows sorted by key and conversation."""
-    names = [c.split()[0] for c in _SEQUENCES.split(", ")]
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-    held: list | None = None
+    """One row for each sequence from its parts, sorted by key and conversation."""
+    now: list | None = None
     digest = hashlib.sha256()
     for batch in batches_of(batches):
-        done: list[list] = []
-        key, convs = batch["key"].to_pylist(), batch["conv"].to_pylist()
-        depth, keys, sizes = (batch[c].to_pylist() for c in ("depth", "keys", "sizes"))
-        lo = 0
-        while lo < len(key):
-            hi = lo + 1
-            while hi < len(key) and key[hi] == key[lo]:
-                hi += 1
-            ids = ",".join(map(str, convs[lo:hi])).encode()
-            if held is not None and held[0] == key[lo]:
-                held[2] += hi - lo
-                digest.update(b"," + ids)
+        done: list[tuple] = []
+        for part in batch.to_pylist():
+            if now is not None and now[0] == part["key"]:
+                now[2] += part["n"]
+                digest.update(b",")
             else:
-                if held is not None:
-                    done.append([*held, digest.hexdigest()])
-                held = [key[lo], convs[lo], hi - lo, depth[lo], None, None]
-                digest = hashlib.sha256(ids)
-            for i in range(lo, hi):
-                if held[4] is None and keys[i] is not None:
-                    held[4:] = [keys[i], sizes[i]]
-            lo = hi
+                if now is not None:
+                    done.append((*now, digest.hexdigest(), None))
+                now = [part["key"], part["conv"], 0, part["depth"], None, None]
+                now[2], digest = part["n"], hashlib.sha256()
+            digest.update(part["ids"])
+            if now[4] is None:
+                now[4:] = [part["keys"], part["sizes"]]
         if done:
-            columns = zip(*done, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
-            )
-    if held is not None:
-        last = [*held, digest.hexdigest()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([v], t) for v, t in zip(last, types, strict=True)], names=names
-        )
+            yield _as_batch(done)
+    if now is not None:
+        yield _as_batch([(*now, digest.hexdigest(), None)])
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,8 +398,12 @@ def conversation_trie(
     paths = digests.select("conv", "turns").mapInArrow(
         _paths, "key binary, conv long, depth int, keys binary, sizes binary"
     )
-    sorted_paths = paths.repartition("key").sortWithinPartitions("key", "conv")
-    sequences = durable(sorted_paths.mapInArrow(_merge, _SEQUENCES), "trie_sequences")
+    paths = durable(paths, "trie_paths")
+    in_order = paths.repartitionByRange("key", "conv").sortWithinPartitions("key", "conv")
+    parts = durable(in_order.mapInArrow(_gather, _PARTS), "trie_parts")
+    split = parts.where("ends IS NULL").repartition("key").sortWithinPartitions("key", "conv")
+    sequences = parts.where("ends IS NOT NULL").union(split.mapInArrow(_merge, _PARTS))
+    sequences = durable(sequences.drop("ids"), "trie_sequences")
     size = sequences.agg(F.sum("depth").alias("turns"), F.min("conv").alias("conv")).first()
     turns, first = size.turns or 0, F.lit(size.conv).cast("long")
 
