@@ -2,17 +2,16 @@
 
 The work is a block matrix product inside Arrow batches, and every task keeps
 only its k best rows per query, so what is shuffled is ``tasks * queries * k``
-small rows and never the pairs. Queries go to the tasks in blocks of bounded
-size, one block as a rule; the vector table is read in place, once for each
-block, and never shuffled. Large tables are read in part beforehand, which gives
-each query a distance that later rows have to beat, so that most tasks have
-little to hand on.
+small rows and never the pairs. As long as they have a bounded size, the queries
+are sent to the tasks, and the vector table is read in place and never shuffled.
+Large tables are read in part beforehand, which gives each query a distance that
+later rows have to beat, so that most tasks have little to hand on. More queries
+than that are joined to the table by cells (``metric_cells``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,11 @@ from pyspark.sql import types as T
 
 from nearkin.functions import vectors as V
 from nearkin.functions.vectors import COSINE, L2
+from nearkin.operators.metric_cells import search_cells
 from nearkin.sources.storage import durable, planned_bytes, restrict, settled
 
 MAX_BROADCAST_HITS = 200_000
-# A block of queries that is sent to the tasks.
+# Queries that are sent to the tasks; more are joined to the table.
 BLOCK_BYTES = 32 << 20
 # Larger tables are worth a look at some of their rows beforehand.
 SEED_ABOVE_BYTES = 16 << 30
@@ -243,11 +243,17 @@ def knn(
         raise ValueError("k must be at least 1")
     left = table.select(id_col, *carry, F.col(vector_col).alias("_v"))
     schema = _partial_schema(table, queries, id_col, carry)
-    seed = planned_bytes(left) > seed_above_bytes
-    partial = None
-    for block in _query_blocks(queries, block_bytes):
-        found = _nearest(left, block, k, metric, id_col, carry, schema, seed)
-        partial = found if partial is None else partial.union(found)
+    # written first, so whatever makes the queries runs once, and measured
+    asked = durable(queries.select("query_id", "v"), "queries")
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("values")).first()
+    if 8 * (size.values or 0) <= block_bytes:
+        block = asked.toArrow()
+        _check_once(pc.count_distinct(block["query_id"], mode="all").as_py(), size.n)
+        seed = planned_bytes(left) > seed_above_bytes
+        partial = _nearest(left, block, k, metric, id_col, carry, schema, seed)
+    else:
+        _check_once(asked.select("query_id").distinct().count(), size.n)
+        partial = search_cells(left, asked, k, metric, id_col, carry, schema, _tools(metric))
     order = Window.partitionBy("query_id").orderBy(F.desc("_near"), F.asc(id_col))
     return (
         partial.withColumn("rank", F.row_number().over(order))
@@ -257,22 +263,18 @@ def knn(
     )
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
-    """The queries in parts of about ``block_bytes``, equal ids in the same part.
+def _check_once(different: int, n: int) -> None:
+    if different < n:
+        raise ValueError("a query_id is given more than once")
 
-    They are written first, so whatever makes them runs once, and measured before
-    any of them comes to the driver.
-    """
-    written = durable(queries.select("query_id", "v"), "queries")
-    size = written.agg(F.count("*").alias("n"), F.sum(F.size("v")).alias("values")).first()
-    blocks = max(1, ceil(8 * (size.values or 0) / block_bytes))
-    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for i in range(blocks):
-        block = written if blocks == 1 else written.where(own == i)
-        rows = block.toArrow()
-        if pc.count_distinct(rows["query_id"], mode="all").as_py() < rows.num_rows:
-            raise ValueError("a query_id is given more than once")
-        yield rows
+
+def _tools(metric: str) -> dict:
+    """What a search by cells compares vectors with."""
+
+    def prepare(x: np.ndarray) -> np.ndarray:
+        return _prepare(x, metric)
+
+    return {"prepare": prepare, "matrix": matrix, "top": _TopK, "hits": _hits}
 
 
 def _prepare(x: np.ndarray, metric: str) -> np.ndarray:
