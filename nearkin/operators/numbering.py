@@ -28,11 +28,12 @@ def sums_before(
         return df.withColumn(name, _before(Window.orderBy(*order), value))
     cut = df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id())
     cut = durable(cut, "ranges")
-    totals = cut.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    starts = sums_before(totals, ["_range"], "_sum", "_start", ranges, range_rows)
+    totals = cut.groupBy(F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    starts = sums_before(totals, ["_at"], "_sum", "_start", ranges, range_rows)
+    starts = starts.select(F.col("_at").alias("_range"), "_start")
     within = cut.withColumn("_within", _before(Window.partitionBy("_range").orderBy(*order), value))
     # as many starts as ranges, 16 bytes each
-    placed = within.join(F.broadcast(starts.drop("_sum")), "_range")
+    placed = within.join(F.broadcast(starts), "_range")
     return placed.withColumn(name, F.col("_start") + F.col("_within")).select(*df.columns, name)
 
 

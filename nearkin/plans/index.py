@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
-from nearkin.sources.storage import durable, read_or_empty
+from nearkin.operators.numbering import sums_before
+from nearkin.sources.storage import durable
 
-
-_ABOUT = "metric string"
+#: Files whose places are sent to the rows, 16 bytes each.
+MAX_SENT_FILES = 2_000_000
+_METRIC = "metric"
 
 
 def dimension(documents: DataFrame, vector_col: str = "embedding") -> int | None:
@@ -27,28 +26,29 @@ def number_rows(stored: DataFrame, id_col: str = "row_id") -> DataFrame:
 
     Each row's place in its file is known to the reader, so only the row counts
     per file are summed up: no sort and no shuffle of the rows themselves. Files
-    go by the number of the task that wrote them, and then by name. A file is
-    few numbers here, which the driver puts in order and the tasks are sent.
+    go by the number of the task that wrote them, and then by name. Two numbers a
+    file are sent to the rows, or joined to them if the files are too many.
     """
     path = F.col("_metadata.file_path")
     task = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
     files = stored.select(path.alias("_f"), task.alias("_t")).groupBy("_f", "_t").count()
     told = files.select(
-        F.xxhash64("_f").alias("f"),
-        F.coalesce(F.expr("try_cast(_t AS bigint)"), F.lit(-1)).alias("t"),
-        F.col("_f").alias("name"),
+        F.xxhash64("_f").alias("_h"),
+        F.coalesce(F.expr("try_cast(_t AS bigint)"), F.lit(-1)).alias("_t"),
+        "_f",
         "count",
     )
-    rows = told.select("f", "t", "name", "count").toArrow()
-    rows = rows.sort_by([("t", "ascending"), ("name", "ascending")]).select(["f", "count"])
-    count = rows["count"].to_numpy()
-    if pc.count_distinct(rows["f"]).as_py() < rows.num_rows:
+    told = durable(told, "files")
+    size = told.agg(F.count("*").alias("n"), F.count_distinct("_h").alias("different")).first()
+    if size.different < size.n:
         raise ValueError("two files have the same hash of their path")
-    before = pa.table({"_h": rows["f"], "_o": np.cumsum(count) - count})
-    offsets = stored.sparkSession.createDataFrame(before, "_h long, _o long")
+    offsets = sums_before(told, ["_t", "_f"], "count", "_o", size.n).select("_h", "_o")
+    offsets = durable(offsets, "file-starts")
+    if size.n <= MAX_SENT_FILES:
+        offsets = F.broadcast(offsets)
     at = stored.select("*", F.xxhash64(path).alias("_h"), F.col("_metadata.row_index").alias("_i"))
     number = (F.col("_o") + F.col("_i")).alias(id_col)
-    return at.join(F.broadcast(offsets), "_h").select(number, *stored.columns)
+    return at.join(offsets, "_h").select(number, *stored.columns)
 
 
 def vector_rows(
@@ -95,14 +95,9 @@ def build_index(
     else:
         numbered = rows.withColumn("row_id", F.monotonically_increasing_id())
     columns = ["row_id", "uuid", "filename", "v", "norm", "metric"]
-    numbered.select(*columns).write.mode("overwrite").parquet(path)
-    # beside the table, as a table without rows could not tell
-    about = documents.sparkSession.createDataFrame([(metric,)], _ABOUT).coalesce(1)
-    about.write.mode("overwrite").parquet(_about_path(path))
-
-
-def _about_path(path: str) -> str:
-    return f"{path.rstrip('/')}.about"
+    # also with the schema, as a table without rows could not tell
+    told = numbered.select(*columns).withMetadata("v", {_METRIC: metric})
+    told.write.mode("overwrite").parquet(path)
 
 
 def open_index(
@@ -113,11 +108,13 @@ def open_index(
     ``keep`` holds the table on the executors for a series of searches.
     """
     table = spark.read.parquet(path)
+    metric = table.schema["v"].metadata.get(_METRIC)
+    if metric is None:  # written by other means
+        row = table.select("metric").first()
+        metric = row.metric if row else V.L2
     if keep:
         table = table.persist(StorageLevel.MEMORY_AND_DISK)
-    row = read_or_empty(spark, _about_path(path), _ABOUT).first()
-    row = row or table.select("metric").first()
-    return table, row.metric if row else V.L2
+    return table, metric
 
 
 def id_map(table: DataFrame) -> DataFrame:
