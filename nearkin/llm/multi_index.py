@@ -46,6 +46,7 @@ _LEAST_BLOCK_ROWS = 256
 _MOST_SALT_QUERIES = 1 << 20
 _ROUNDS = 8
 _STEP = 256
+_SHARES = 8
 _BINS = 1_024
 
 _MESSAGE = "block int, salt int, query boolean, id long, v array<double>, cell int, bound double, spread double, first double"
@@ -221,10 +222,19 @@ def nearest_neighbours(
             index = _index(_different(same, k), row.n, row.dim, per_block, max_centroids)
             asking = same.where("asks").select("id", "v")
             hits = hits.union(_search(index, asking, row.n, row.asked, k, missed))
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return _best(hits, k).select("query_id", "rank", "vec_id", "score")
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best hits of each query with their rank, a vector found twice once."""
+    # k of each share first, as queries in dense regions have many
+    shared = hits.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(_SHARES)))
+    shared = shared.repartition("query_id", "share")
+    best = shared.groupBy("query_id", "share", "vec_id").agg(F.max("score").alias("score"))
+    for keys in (["query_id", "share"], ["query_id"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.drop("share")
 
 
 def _index(
@@ -350,16 +360,14 @@ def _search(
     if n <= FIRST * k:
         return found
     # the k-th best of the first cells, or none if there are fewer
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = durable(_best(found, k).drop("rank"), "first_ranked")
     kth = F.when(F.count("*") == k, F.min("score")).otherwise(float("-inf"))
     bounds = ranked.groupBy("query_id").agg(kth.alias("bound"))
     again = questions.join(bounds, F.col("id") == F.col("query_id"), "left").select(
         "id", "v", "salt", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"),
         F.lit(float("inf")).alias("first"),
     )
-    return found.union(durable(hits(again), "hits"))
+    return ranked.union(durable(hits(again), "hits"))
 
 
 def _met(batches: Iterator[pa.RecordBatch], cells: Cells, k: int) -> Iterator[pa.RecordBatch]:
@@ -422,11 +430,12 @@ def _ranked(
         wanted = _visits(m, scatter, bound, spread, first)[:, place]
     wanted &= own[:, None] != ids
     near = np.where(wanted, near, -np.inf)
+    # below what was found before, or k here; ties and what rounding may have mixed up stay in
+    least = np.where(bound[:, 0] < np.inf, bound[:, 0], -np.inf)
     if len(ids) > k:
-        # ties and what rounding may have mixed up stay in
-        kth = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
-        size = np.abs(q).max(axis=1) * np.abs(x).max() * q.shape[1]
-        wanted &= ~(near < (kth - 1e-12 * size)[:, None])
+        least = np.maximum(least, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+    size = np.abs(q).max(axis=1) * np.abs(x).max() * q.shape[1]
+    wanted &= ~(near < (least - 1e-12 * size)[:, None])
     r, c = np.nonzero(wanted)
     score = np.empty(len(r))
     for lo in range(0, len(r), 65_536):
