@@ -9,7 +9,6 @@ not zero, since the diagonal is part of it. Only the minimum has no closed form.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearkin.functions import vectors as V
+from nearkin.operators.balls import lowest_by_balls, lowest_product
 from nearkin.operators.neighbors import matrix, unit_rows
 from nearkin.sources.storage import bounded_rows, durable
 
@@ -25,7 +25,6 @@ _START_PIVOTS = 16
 _ROUNDS = 3
 _ANGLE_SLACK = 1e-6
 _LIST = pa.list_(pa.float64())
-_CELLS = 4_000_000
 MAX_BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 64 << 20
 # Averages that differ by less are equal but for rounding errors.
@@ -146,9 +145,10 @@ def min_cosine(
     become the next pivots. Each pivot p also gives its largest angle ``R(p)``,
     and by the triangle inequality no pair of ``x`` is wider than
     ``angle(x, p) + R(p)``. Vectors for which some pivot keeps that below the
-    widest pair found cannot take part and are dropped; the rest are compared in
-    blocks, a minimum per block leaving the task. On vectors without structure
-    little is dropped and the last step stays quadratic, as exactness demands.
+    widest pair found cannot take part and are dropped. The rest, if they are many,
+    are dealt to balls, and pairs of balls are visited by how wide a pair they may
+    hold (``balls``). On vectors without structure little is dropped and the last
+    step stays quadratic, as exactness demands.
     """
     units = units.select(F.col(u).alias("u")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -179,11 +179,10 @@ def _min_cosine(units: DataFrame, max_broadcast_bytes: int, block_bytes: int) ->
     rest = durable(rest, "contenders")
     bound = max(1, max_broadcast_bytes // (8 * pivots.shape[1]))
     small = bounded_rows(rest, bound)
-    if small is not None:
-        spread = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism)
-        found = _min_against(spread, matrix(small["u"], pivots.shape[1]))
-    else:
-        found = _min_in_blocks(rest, pivots.shape[1], block_bytes)
+    if small is None:
+        return lowest_by_balls(rest, pivots.shape[1], lowest, block_bytes).lowest
+    spread = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism)
+    found = _min_against(spread, matrix(small["u"], pivots.shape[1]))
     rest_low = found.agg(F.min("low")).first()[0]
     return lowest if rest_low is None else min(lowest, rest_low)
 
@@ -238,11 +237,6 @@ def _contenders(units, u, pivots, reach, lowest) -> DataFrame:
     return units.select(F.col(u).alias("u")).mapInArrow(keep, "u array<double>")
 
 
-def _lowest_product(x: np.ndarray, y: np.ndarray) -> float:
-    step = max(1, _CELLS // max(1, len(y)))
-    return min(float((x[i : i + step] @ y.T).min()) for i in range(0, len(x), step))
-
-
 def _min_against(rest: DataFrame, others: np.ndarray) -> DataFrame:
     shared = rest.sparkSession.sparkContext.broadcast(others)
 
@@ -250,30 +244,7 @@ def _min_against(rest: DataFrame, others: np.ndarray) -> DataFrame:
         y = shared.value
         for batch in batches:
             if batch.num_rows and len(y):
-                low = _lowest_product(matrix(batch[0], y.shape[1]), y)
+                low = lowest_product(matrix(batch[0], y.shape[1]), y)
                 yield pa.RecordBatch.from_arrays([pa.array([low])], names=["low"])
 
     return rest.mapInArrow(lowest, "low double")
-
-
-def _min_in_blocks(rest: DataFrame, dim: int, block_bytes: int) -> DataFrame:
-    """Cut into blocks; any two blocks meet in a cell, and each with itself in one."""
-    blocks = max(1, ceil(rest.count() * 8 * dim / block_bytes))
-    own = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")
-    spread = rest.withColumn("b", own).withColumn(
-        "o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    cells = spread.select(
-        F.least("b", "o").alias("i"),
-        F.greatest("b", "o").alias("j"),
-        (F.col("b") > F.col("o")).alias("right"),
-        "u",
-    )
-
-    def lowest(key: tuple, cell: pa.Table) -> pa.Table:
-        x, right = matrix(cell["u"], dim), cell["right"].to_numpy()
-        left, other = (x, x) if key[0] == key[1] else (x[~right], x[right])
-        low = [_lowest_product(left, other)] if len(left) and len(other) else []
-        return pa.table({"low": pa.array(low, pa.float64())})
-
-    return cells.groupBy("i", "j").applyInArrow(lowest, "low double")
