@@ -95,7 +95,19 @@ def durable(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``durable`` wrote, once all that reads them is written."""
+    for table in tables:
+        path = vars(table).pop("_written_to", None) if table is not None else None
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def read_or_empty(
