@@ -8,6 +8,7 @@ in the same place, so embedding adds no shuffle.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -20,7 +21,6 @@ from nearkin.functions import text as X
 from nearkin.sources.storage import (
     MAX_BROADCAST_KEYS,
     durable,
-    empty,
     read_or_empty,
     spread,
 )
@@ -31,7 +31,12 @@ MAX_TOKENS = 2048
 BATCH_SIZE = 256
 NO_TEXT = "nothing to embed: the text is blank"
 
-CACHE_SCHEMA = "text_sha1 string, model string, embedding array<double>"
+CACHE_SCHEMA = (
+    "text_sha1 string, embedding array<double>, error string, run string,"
+    " model string, prefix string"
+)
+#: Characters of a text's hash that the cache is laid out by, sixteen parts for each.
+PREFIX_CHARS = 1
 EMBEDDED = "embedding array<double>, error string"
 
 _LIST = pa.list_(pa.float64())
@@ -222,12 +227,6 @@ def embed_documents(
     return found.select(*documents.columns, "embedding", "error").union(blank)
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Written keys, to be sent out if they are few."""
-    few = keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
-
-
 def _cached_entries(
     keyed: DataFrame,
     embedder: Embedder,
@@ -240,25 +239,75 @@ def _cached_entries(
     """``text_sha1, embedding, error`` for each text of ``keyed``, once.
 
     Hashes alone tell what the cache lacks. Only texts that it lacks are carried
-    along, each once, to be embedded and appended. The result is written, so the
-    join to it has no aggregate below and a hot text can be split.
+    along, each once, to be embedded and written to the cache, from where the result
+    is read; there is no aggregate in it, so a join to it can split a hot text.
     """
     spark = keyed.sparkSession
-    keys = _few(durable(keyed.select("text_sha1").distinct(), "keys"))
-    stored = cache_hits(read_cache(spark, cache_path), keys, model)
-    missing = durable(keys.join(_few(stored.select("text_sha1")), "text_sha1", "left_anti"), "missing")
-    errors = empty(spark, "text_sha1 string, embedding array<double>, error string")
-    fresh = stored.limit(0)
-    if missing.limit(1).count():
-        wanted = keyed.select("text_sha1", text_col).join(_few(missing), "text_sha1", "left_semi")
-        once = wanted.groupBy("text_sha1").agg(F.min(text_col).alias(text_col))
-        new = _with_embedding(spread(once, after_shuffle=True), chunks, embedder, batch_size)
-        new = durable(new.select("text_sha1", "embedding", "error"), "embedded")
-        fresh = new.where(F.col("error").isNull()).select("text_sha1", "embedding")
-        put_cache(fresh.withColumn("model", F.lit(model)), cache_path)
-        errors = new.where(F.col("error").isNotNull())
-    good = stored.union(fresh).withColumn("error", F.lit(None).cast("string"))
-    return durable(good.union(errors), "entries")
+    keys = Keys(keyed.select("text_sha1"))
+    cache = keys.part_of(read_cache(spark, cache_path), model)
+    found = keys.found_in(cache)
+    good = _once(cache.where(F.col("error").isNull()), found)
+    good = keys.join_few(good).select("text_sha1", "embedding", "error")
+    if not found.missing:
+        return good
+    run = uuid.uuid4().hex
+    lacking = found.table.where("n IS NULL").select("text_sha1")
+    few = F.broadcast(lacking) if found.missing <= MAX_BROADCAST_KEYS else lacking
+    wanted = keyed.select("text_sha1", text_col).join(few, "text_sha1", "left_semi")
+    once = wanted.groupBy("text_sha1").agg(F.min(text_col).alias(text_col))
+    new = _with_embedding(spread(once, after_shuffle=True), chunks, embedder, batch_size)
+    put_cache(new.withColumns({"model": F.lit(model), "run": F.lit(run)}), cache_path)
+    # what failed is kept as well until the cache is compacted, and only told to this run
+    mine = keys.part_of(read_cache(spark, cache_path), model).where(F.col("run") == run)
+    return good.union(mine.select("text_sha1", "embedding", "error"))
+
+
+class Found:
+    """Which keys a cache has: ``table`` has ``text_sha1, n``, n null where it has none."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        size = table.agg(F.count_if(F.col("n").isNull()).alias("missing"), F.max("n").alias("most"))
+        row = size.first()
+        self.missing: int = row.missing
+        self.twice: bool = (row.most or 0) > 1
+
+
+class Keys:
+    """The different hashes of some texts, written, and what can be said of them."""
+
+    def __init__(self, hashes: DataFrame):
+        self.table = durable(hashes.distinct(), "keys")
+        prefix = F.substring("text_sha1", 1, PREFIX_CHARS)
+        size = self.table.agg(F.count("*").alias("n"), F.collect_set(prefix).alias("prefixes")).first()
+        self.n: int = size.n
+        self.prefixes: list[str] = sorted(size.prefixes)
+        self.few = self.n <= MAX_BROADCAST_KEYS
+
+    def part_of(self, cache: DataFrame, model: str) -> DataFrame:
+        """The partitions of a cache that may have these keys."""
+        mine = cache.where(F.col("model") == model)
+        every = len(self.prefixes) == 16**PREFIX_CHARS
+        return mine if every else mine.where(F.col("prefix").isin(self.prefixes))
+
+    def found_in(self, cache: DataFrame) -> Found:
+        """Which keys the cache has, and how often, from its column of hashes alone."""
+        has = self.join_few(cache.where(F.col("error").isNull()).select("text_sha1"))
+        has = has.groupBy("text_sha1").agg(F.count("*").alias("n"))
+        return Found(durable(self.table.join(has, "text_sha1", "left"), "found"))
+
+    def join_few(self, cache: DataFrame) -> DataFrame:
+        """The entries of these keys, if they are few; otherwise a join will tell."""
+        return cache.join(F.broadcast(self.table), "text_sha1", "left_semi") if self.few else cache
+
+
+def _once(entries: DataFrame, found: Found) -> DataFrame:
+    """One entry for each text; writers that raced may have stored one twice."""
+    if not found.twice:
+        return entries
+    first = F.first("embedding").alias("embedding")
+    error = F.lit(None).cast("string").alias("error")
+    return durable(entries.groupBy("text_sha1").agg(first, error), "once")
 
 
 def read_cache(spark, path: str) -> DataFrame:
@@ -267,22 +316,43 @@ def read_cache(spark, path: str) -> DataFrame:
 
 
 def put_cache(rows: DataFrame, path: str) -> None:
-    """Append embeddings to the cache, which is laid out by model."""
-    columns = rows.select("text_sha1", "model", "embedding")
-    columns.write.mode("append").partitionBy("model").parquet(path)
+    """Append embeddings to the cache, which is laid out by model and start of the hash.
+
+    Rows have ``text_sha1, model, embedding``, and may have an ``error`` instead of an
+    embedding and the ``run`` they are of. Each task writes its own starts of hashes,
+    so there is about one file for each.
+    """
+    missing = [c for c in ("error", "run") if c not in rows.columns]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in missing})
+    rows = rows.withColumn("prefix", F.substring("text_sha1", 1, PREFIX_CHARS))
+    columns = rows.select("text_sha1", "embedding", "error", "run", "model", "prefix")
+    columns = columns.repartition(16**PREFIX_CHARS, "model", "prefix")
+    columns.write.mode("append").partitionBy("model", "prefix").parquet(path)
 
 
-def cache_hits(cache: DataFrame, keys: DataFrame, model: str) -> DataFrame:
-    """``text_sha1, embedding`` of a model's entries for ``keys``, one for each, written.
+def compact_cache(spark, path: str) -> None:
+    """Rewrite a cache with one entry for each text, in order, without failed ones.
 
-    Writers that raced may have stored a text twice, so one entry is taken.
+    For a time when nobody writes or reads it. Each partition is replaced as a whole
+    from a copy written before, which stays until ``storage.clear_scratch``.
     """
-    mine = cache.where(F.col("model") == model).join(keys, "text_sha1", "left_semi")
+    cache = read_cache(spark, path).where(F.col("error").isNull())
     first = F.first("embedding").alias("embedding")
-    return durable(mine.groupBy("text_sha1").agg(first), "hits")
+    once = durable(cache.groupBy("model", "prefix", "text_sha1").agg(first), "compacted")
+    none = F.lit(None).cast("string")
+    rows = once.select(
+        "text_sha1", "embedding", none.alias("error"), none.alias("run"), "model", "prefix"
+    )
+    laid_out = rows.repartition(16**PREFIX_CHARS, "model", "prefix")
+    sorted_rows = laid_out.sortWithinPartitions("model", "prefix", "text_sha1")
+    writer = sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model", "prefix").parquet(path)
 
 
 def cache_lookup(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Left join on the text's hash: ``embedding`` is NULL on a miss."""
-    keys = durable(keyed.select("text_sha1").distinct(), "keys")
-    return keyed.join(cache_hits(cache, _few(keys), model), "text_sha1", "left")
+    keys = Keys(keyed.select("text_sha1"))
+    mine = keys.part_of(cache, model)
+    entries = _once(mine.where(F.col("error").isNull()), keys.found_in(mine))
+    entries = keys.join_few(entries).select("text_sha1", "embedding")
+    return keyed.join(entries, "text_sha1", "left")
