@@ -37,6 +37,9 @@ SEED_ROWS = 50_000
 # products of unit vectors to that many decimals.
 DIGITS = 12
 
+# How many times more hits a query is asked for that is short of them.
+DEEPER = 4
+
 # Cells of one score block, and bytes of one exact re-evaluation.
 _CELLS = 4_000_000
 _EXACT_BYTES = 32 << 20
@@ -322,11 +325,33 @@ def knn_overfetch(
     id_col: str = "row_id",
     **options,
 ) -> DataFrame:
-    """Fetch 2k per query, let ``keep`` filter them, rank again and cut to k."""
-    wide = knn(table, queries, 2 * k, metric, id_col=id_col, **options)
-    kept = keep(wide) if keep else wide
+    """The first k hits per query that ``keep`` leaves, or all it leaves of the table.
+
+    Twice as many are fetched at first. Queries that are then short of k, though the
+    table has more, are asked again for ``DEEPER`` times as many, until none is; so a
+    filter that removes most hits costs a few searches for the queries that need them.
+    ``keep`` sees the hits by rank and may drop any, but not add to them.
+    """
+    if keep is None:
+        return knn(table, queries, k, metric, id_col=id_col, **options)
+    asked = durable(queries.select("query_id", "v"), "queries")
+    fetch, filled = 2 * k, None
+    while True:
+        wide = durable(knn(table, asked, fetch, metric, id_col=id_col, **options), "fetched")
+        left = durable(keep(wide), "left")
+        fetched = wide.groupBy("query_id").agg(F.count("*").alias("fetched"))
+        some = left.groupBy("query_id").agg(F.count("*").alias("left"))
+        short = fetched.where(F.col("fetched") == fetch).join(some, "query_id", "left")
+        short = short.where(F.coalesce("left", F.lit(0)) < k).select("query_id")
+        short, _ = settled(durable(short, "short"), MAX_BROADCAST_HITS)
+        done = left.join(short, "query_id", "left_anti")
+        filled = done if filled is None else filled.union(done)
+        if short.isEmpty():
+            break
+        asked = durable(asked.join(short, "query_id", "left_semi"), "queries")
+        fetch *= DEEPER
     again = Window.partitionBy("query_id").orderBy("rank")
-    return kept.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
+    return filled.withColumn("rank", F.row_number().over(again)).where(F.col("rank") <= k)
 
 
 def with_metadata(

@@ -137,18 +137,29 @@ def _average_similarity(source: str, extra: str) -> str:
 """
 
 
+def _overfetch(keep: str) -> str:
+    """The first five of all rows in order that a condition leaves."""
+    return f"""
+WITH {_CENTROIDS}, {_knn("scaled", "centroids", 1_000_000_000, "cosine", "label")},
+  again AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn
+    FROM hits WHERE {keep})
+SELECT query_id, rn::int AS rank, row_id, label, {_ROUNDED} FROM again WHERE rn <= 5
+"""
+
+
 def _search_page(metric: str) -> str:
     scale = "sqrt(list_inner_product(v, v))" if metric == "cosine" else "1"
     asked = f"""{_CORPUS}, {_hashed("benchmark", "item_id", None, "b")},
   scaled_corpus AS (
     SELECT row_id, filename, list_transform(v, lambda x: x / {scale}) AS v FROM corpus),
-  asked AS (SELECT key AS query_id, v FROM b WHERE key = 7)"""
+  asked AS (SELECT key AS query_id, v FROM b)"""
     return f"""
 {_pca(asked, "scaled_corpus")},
   {_knn("scaled_corpus", "asked", 5, metric, "filename")}
-SELECT p.row_id, CASE WHEN c.filename IN (SELECT filename FROM hits) THEN 'neighbour'
-       ELSE 'background' END AS role, pc1, pc2, rank, h.filename, round(score, 3) AS score
-FROM points p JOIN corpus c USING (row_id) LEFT JOIN hits h ON h.row_id = p.row_id
+SELECT h.query_id, p.row_id, CASE WHEN h.query_id IS NULL THEN 'background' ELSE 'neighbour' END AS role,
+       pc1, pc2, rank, h.filename, round(score, 3) AS score
+FROM points p LEFT JOIN hits h ON h.row_id = p.row_id
 """
 
 
@@ -389,13 +400,8 @@ WITH {_VECTORS},
   {_knn("turned", "asked", 10, "cosine")}
 SELECT query_id, rank, row_id FROM hits
 """,
-    "knn_overfetch": f"""
-WITH {_CENTROIDS}, {_knn("scaled", "centroids", 10, "cosine", "label")},
-  again AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn
-    FROM hits WHERE label <> query_id)
-SELECT query_id, rn::int AS rank, row_id, label, {_ROUNDED} FROM again WHERE rn <= 5
-""",
+    "knn_overfetch": _overfetch("label <> query_id"),
+    "knn_overfetch_rare": _overfetch("label = (query_id + 1) % 10"),
     "hit_metadata_default": f"""
 WITH {_CENTROIDS}, {_knn("scaled", "centroids", 10, "l2")}
 SELECT hits.* REPLACE ({_ROUNDED}), coalesce(url, 'unknown') AS filename

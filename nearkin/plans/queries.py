@@ -404,6 +404,14 @@ def knn_overfetch(spark, sf_dir):
     return _rounded_hits(hits)
 
 
+def knn_overfetch_rare(spark, sf_dir):
+    """A filter that leaves one label of ten still gives five hits for each query."""
+    keep = lambda hits: hits.where(F.col("label") == (F.col("query_id") + 1) % 10)
+    table, queries = _scaled(spark, sf_dir), _centroids(spark, sf_dir)
+    hits = neighbors.knn_overfetch(table, queries, 5, V.COSINE, keep=keep, carry=("label",))
+    return _rounded_hits(hits)
+
+
 def hit_metadata_default(spark, sf_dir):
     """Pages stand in as metadata; vectors beyond the last page are unknown."""
     pages = _read(spark, sf_dir, "pages")
@@ -523,17 +531,12 @@ def similarity_map_absent_query(spark, sf_dir):
 
 
 def _search_page(spark, sf_dir, metric: str, overfetch: bool) -> DataFrame:
-    """One uploaded file: its hits, as listed, with their places on the map."""
+    """All uploaded files: their hits, as listed, with their places on the map."""
     table, metric = _document_index(spark, sf_dir, metric)
-    files_ = _benchmark_files(spark, sf_dir)
-    one = files_.where(F.col("query_id") == 7)
-    hits = search.search_files(table, one, EMBEDDER, 5, metric, overfetch=overfetch)
-    hits, _ = settled(hits, 100)
-    roles = search.hit_roles(hits.withColumn("query_id", F.lit("upload")), "upload")
-    points = _points(reduce.similarity_map(table, roles))
-    listed = neighbors.hit_list(hits).join(hits.select("rank", "row_id"), "rank")
-    shown = points.join(F.broadcast(listed.drop("query_id")), "row_id", "left")
-    return shown.select("row_id", "role", "pc1", "pc2", "rank", "filename", "score")
+    uploads = _benchmark_files(spark, sf_dir)
+    hits = search.search_files(table, uploads, EMBEDDER, 5, metric, overfetch=overfetch)
+    shown = search.search_map(table, durable(hits, "hits"))
+    return shown.withColumns({c: F.round(c, 4) for c in ("pc1", "pc2")})
 
 
 def search_page_l2(spark, sf_dir):
@@ -590,6 +593,7 @@ QUERIES: dict[str, Query] = {
         knn_l2_small_scale,
         knn_near_copies,
         knn_overfetch,
+        knn_overfetch_rare,
         hit_metadata_default,
         hit_metadata_strict,
         search_texts,

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from nearkin.functions import text as X
 from nearkin.functions import vectors as V
 from nearkin.operators.embedding import Embedder, embed_documents
-from nearkin.operators.neighbors import knn, knn_overfetch, with_metadata
-from nearkin.operators.reduce import NEIGHBOUR, role_table
+from nearkin.operators.neighbors import hit_list, knn, knn_overfetch, with_metadata
+from nearkin.operators.reduce import BACKGROUND, NEIGHBOUR, pca_2d, role_table
 from nearkin.sources.files import extracted, utf8_text
 
 PREVIEW_CHARS = 1000
@@ -80,7 +80,7 @@ def search_files(
     """Nearest documents to query files, each embedded whole.
 
     ``metric`` is the one the table was built for (``open_index``). With
-    ``overfetch`` twice as many are fetched, filtered by ``keep`` and ranked
+    ``overfetch`` more are fetched as long as ``keep`` leaves too few, and ranked
     again. Unreadable files have no hits; ``read_query_files`` tells why.
     """
     readable = read_query_files(files, extractor).where(F.col("error").isNull())
@@ -99,3 +99,17 @@ def hit_roles(hits: DataFrame, query_id: str) -> DataFrame:
     mine = hits.where(F.col("query_id") == query_id)
     near = mine.select("filename", F.lit(NEIGHBOUR).alias("role"))
     return near.union(role_table(hits.sparkSession, query_id, []))
+
+
+def search_map(table: DataFrame, hits: DataFrame, vector_col: str = "v") -> DataFrame:
+    """The map of a table once, with the hits of any number of queries on it.
+
+    A point that queries have found has a row for each of them, as ``neighbour`` with its
+    rank, filename and score as shown to a reader; any other point is one row of the
+    background without a query.
+    """
+    points = pca_2d(table.select("row_id", vector_col), vector_col).drop(vector_col)
+    listed = hit_list(hits).join(hits.select("query_id", "rank", "row_id"), ["query_id", "rank"])
+    role = F.when(F.col("query_id").isNull(), F.lit(BACKGROUND)).otherwise(F.lit(NEIGHBOUR))
+    shown = points.join(listed, "row_id", "left").withColumn("role", role)
+    return shown.select("query_id", "row_id", "role", "pc1", "pc2", "rank", "filename", "score")

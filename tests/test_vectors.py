@@ -329,3 +329,22 @@ def test_metrics_agree_on_unit_vectors(spark):
         for m in V.METRICS
     ]
     assert order[0] == order[1]
+
+
+def test_a_filter_that_leaves_few_is_filled_up(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    asked = [(i, rng.normal(size=4).tolist()) for i in range(6)]
+    every = plain(neighbors.knn(table(spark, rows), queries(spark, asked), 400))
+    for rest in (10, 150):
+        hits = neighbors.knn_overfetch(
+            table(spark, rows), queries(spark, asked), 3, keep=lambda h: h.where(F.col("row_id") % rest == 7)  # noqa: B023
+        )
+        wanted = []
+        for q in range(6):
+            mine = [r for r in every if r[0] == q and r[2] % rest == 7][:3]
+            wanted += [(q, place, r[2]) for place, r in enumerate(mine, start=1)]
+        assert [r[:3] for r in plain(hits)] == wanted
+    none = neighbors.knn_overfetch(table(spark, rows), queries(spark, asked), 3, keep=lambda h: h.where("1 = 0"))
+    assert none.count() == 0
