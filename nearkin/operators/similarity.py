@@ -69,13 +69,16 @@ def sum_vector(documents: DataFrame, vector_col: str = "v") -> DataFrame:
     )
 
 
-def average_similarity(documents: DataFrame, vector_col: str = "v") -> DataFrame:
+def average_similarity(
+    documents: DataFrame, vector_col: str = "v", *, sums: DataFrame | None = None
+) -> DataFrame:
     """Add ``avg_sim``: mean cosine to every other document, NULL if alone.
 
     Two reads of the vectors and no shuffle of documents. The first gives one
-    vector, which the second takes along.
+    vector, which the second takes along; with ``sums`` as from ``sum_vector``,
+    which ``documents`` are part of, there is no first.
     """
-    sums = sum_vector(documents, vector_col).first()
+    sums = (sum_vector(documents, vector_col) if sums is None else sums).first()
     total, n = np.asarray(sums.total, float), sums.n or 0
 
     @F.arrow_udf("double")
@@ -120,10 +123,10 @@ def similarity_stats(
         low = min_cosine(
             units, max_broadcast_bytes=max_broadcast_bytes, block_bytes=block_bytes
         )
-    return _stats(sum_vector(documents, vector_col), low)
+    return stats_of_sums(sum_vector(documents, vector_col), low)
 
 
-def _stats(sums: DataFrame, low: float | None) -> DataFrame:
+def stats_of_sums(sums: DataFrame, low: float | None) -> DataFrame:
     total, n = F.col("total"), F.col("n").cast("double")
     return sums.select(
         (V.dot(total, total) / n / n).alias("mean_sim"),

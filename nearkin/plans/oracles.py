@@ -461,6 +461,24 @@ WITH n AS (
 SELECT round(avg(n), 6) AS mean_tokens, round(stddev_pop(n), 6) AS std_tokens,
        count(DISTINCT text) AS unique_texts, count(*) AS total_texts
 FROM n
+""",
+    "kept_statistics": f"""
+WITH {_CORPUS}, one AS (
+    SELECT count(*) AS n, max(len(v))::int AS dim,
+      round(avg(sqrt(list_inner_product(v, v))), 6) AS mean_norm,
+      round(stddev_pop(sqrt(list_inner_product(v, v))), 6) AS std_norm FROM corpus),
+  two AS (
+    SELECT round(avg(list_cosine_similarity(a.v, b.v)), 6) + 0.0 AS mean_sim,
+      round(max(list_cosine_similarity(a.v, b.v)), 6) AS max_sim FROM corpus a, corpus b),
+  n AS (
+    SELECT text, CASE WHEN {_clean("text")} = '' THEN 0
+                      ELSE len(string_split({_clean("text")}, ' ')) END AS n
+    FROM corpus),
+  three AS (
+    SELECT round(avg(n), 6) AS mean_tokens, round(stddev_pop(n), 6) AS std_tokens,
+           count(DISTINCT text) AS unique_texts, count(*) AS total_texts
+    FROM n)
+SELECT * FROM one, two, three
 """,
     "pca_2d": f"{_pca(_VECTORS, 'scaled')} SELECT row_id, pc1, pc2 FROM points",
     "role_labels": f"WITH {_CORPUS}, {_ROLES} SELECT row_id, filename, role FROM roles",

@@ -12,7 +12,7 @@ from nearkin.functions import text as X
 from nearkin.functions import vectors as V
 from nearkin.operators import embedding as E
 from nearkin.operators import incremental, neighbors, pooling, reduce, similarity, words
-from nearkin.plans import index, ingest, reports, search
+from nearkin.plans import index, ingest, reports, search, statistics
 from nearkin.sources import files, jsonl
 from nearkin.sources.storage import durable, scratch_path, settled, spread
 from nearkin.streaming.ingest import start_ingest
@@ -485,6 +485,34 @@ def text_stats(spark, sf_dir):
     return s.withColumns({c: _r6(c) for c in ("mean_tokens", "std_tokens")})
 
 
+def kept_statistics(spark, sf_dir):
+    """Statistics of a document table kept up over two ingests, from its states alone."""
+    path = scratch_path(spark, "documents")
+    corpus = _corpus(spark, sf_dir)
+    labels = _read(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"))
+    for how, time in (("left_semi", "2024-01-01 00:00:00"), ("left_anti", "2024-01-02 00:00:00")):
+        rows = corpus.join(labels, "row_id", how).select(
+            "id",
+            "filename",
+            "text",
+            "embedding",
+            F.lit(time).cast("timestamp").alias("ingested_at"),
+            F.lit(None).cast("string").alias("error"),
+            F.lit(ingest.OK).alias("status"),
+        )
+        rows.write.mode("append").partitionBy("status").parquet(path)
+        statistics.update_statistics(spark, path)
+    told = statistics.kept_diagnostics(spark, path)
+    # one row each
+    row = told["embeddings"].first() + told["similarity"].drop("min_sim").first() + told["texts"].first()
+    schema = (
+        "n long, dim int, mean_norm double, std_norm double, mean_sim double, max_sim double,"
+        " mean_tokens double, std_tokens double, unique_texts long, total_texts long"
+    )
+    every = spark.createDataFrame([row], schema)
+    return every.select([_r6(c).alias(c) if t == "double" else c for c, t in every.dtypes])
+
+
 def pca_2d(spark, sf_dir):
     points = reduce.pca_2d(_scaled(spark, sf_dir))
     return points.select("row_id", *[F.round(c, 4).alias(c) for c in ("pc1", "pc2")])
@@ -607,6 +635,7 @@ QUERIES: dict[str, Query] = {
         embedding_stats,
         similarity_stats,
         text_stats,
+        kept_statistics,
         pca_2d,
         role_labels,
         similarity_map,

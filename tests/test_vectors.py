@@ -267,7 +267,7 @@ def test_copies_have_one_average_wherever_they_lie(spark):
 
 def test_very_many_vectors_do_not_overflow(spark):
     sums = spark.createDataFrame([([3e9, 0.0], 4_000_000_000, 1.0)], "total array<double>, n long, longest double")
-    assert similarity._stats(sums, None).first().mean_sim == pytest.approx(0.5625)
+    assert similarity.stats_of_sums(sums, None).first().mean_sim == pytest.approx(0.5625)
 
 
 def test_the_minimum_can_be_left_out(spark):
