@@ -54,13 +54,26 @@ def prepare_documents(
     file_id = X.content_id(F.col("content")).alias("id")
     hashed = files.select(file_id, "filename", "content")
     new, twice = incremental.new_files(hashed, existing, within_batch)
-    read = new.withColumn("_x", extracted(F.col("content"), extractor)).select(
+    read = read_texts(new, extractor)
+    if twice:
+        read = read.dropDuplicates(["id"])
+    return finished_documents(read, embedder, cache_path=cache_path, **embed_options)
+
+
+def read_texts(files: DataFrame, extractor: Callable[[bytes], str]) -> DataFrame:
+    """``id, filename, content`` rows to ``id, filename, text, error``, text cleaned."""
+    read = files.withColumn("_x", extracted(F.col("content"), extractor)).select(
         "id", "filename", X.clean_text(F.col("_x.text")).alias("text"), "_x.error"
     )
     empty = F.when(F.col("text") == "", F.lit(EMPTY_TEXT))
-    read = read.withColumn("_bad", F.coalesce("error", empty)).drop("error")
-    if twice:
-        read = read.dropDuplicates(["id"])
+    return read.withColumn("error", F.coalesce("error", empty))
+
+
+def finished_documents(
+    read: DataFrame, embedder: Embedder, *, cache_path: str | None = None, **embed_options
+) -> DataFrame:
+    """``id, filename, text, error`` rows to stored rows."""
+    read = read.withColumnRenamed("error", "_bad")
     # from here on texts, which may move; with a cache they are read several times
     read = durable(read, "texts") if cache_path is not None else spread(read)
     out = embed_documents(
@@ -85,7 +98,10 @@ def ingest_files(files: DataFrame, path: str, embedder: Embedder, **options) ->
     is extracted or embedded twice.
     """
     existing = stored_documents(files.sparkSession, path).select("id")
-    rows = prepare_documents(files, existing, embedder, **options)
+    store_documents(prepare_documents(files, existing, embedder, **options), path)
+
+
+def store_documents(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("status").parquet(path)
 
 

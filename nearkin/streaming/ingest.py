@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nearkin.operators import incremental
+from nearkin.functions import text as X
 from nearkin.operators.embedding import Embedder
-from nearkin.plans.ingest import ingest_files
-from nearkin.sources.files import read_hidden, stream_folder
+from nearkin.operators.incremental import FIRST, new_only
+from nearkin.plans.ingest import (
+    finished_documents,
+    ingest_files,
+    read_texts,
+    store_documents,
+    stored_documents,
+)
+from nearkin.sources.files import read_hidden, stream_folder, utf8_text
+from nearkin.sources.storage import durable
+from nearkin.streaming.seen import fresh_files
 
 
 def start_ingest(
@@ -17,22 +29,32 @@ def start_ingest(
     checkpoint: str,
     embedder: Embedder,
     *,
-    within_batch: str = incremental.FIRST,
+    extractor: Callable[[bytes], str] = utf8_text,
     **options,
 ) -> StreamingQuery:
     """Ingest all files that have arrived, then stop.
 
-    ``files`` is a stream of ``filename, content``. A batch that is replayed
-    after a failure finds its documents stored and adds none; files without text are
-    tried again, and the last try is what ``rejected_files`` tells. Within a batch
-    one of several equal files is kept, as otherwise the result would depend on
-    where batches end.
+    ``files`` is a stream of ``filename, content``. Keyed state tells which ids are
+    stored already, so what a micro-batch costs doesn't depend on how many are; texts
+    are read before that, so that contents stay where they are. Of equal files in a
+    micro-batch the first by name is kept. Only the first micro-batch of a run can be
+    one that was stored before and not yet committed, and is held against the table.
+    Files without text are told by ``rejected_files`` and tried again when they arrive
+    again in a later run.
     """
+    file_id = X.content_id(F.col("content")).alias("id")
+    texts = read_texts(files.select(file_id, "filename", "content"), extractor)
+    begun = False
 
     def store(batch: DataFrame, _: int) -> None:
-        ingest_files(batch, path, embedder, within_batch=within_batch, **options)
+        nonlocal begun
+        if not begun:
+            existing = stored_documents(batch.sparkSession, path).select("id")
+            batch = new_only(durable(batch, "arrived"), existing)
+            begun = True
+        store_documents(finished_documents(batch, embedder, **options), path)
 
-    writer = files.writeStream.foreachBatch(store)
+    writer = fresh_files(texts, path).writeStream.foreachBatch(store)
     return (
         writer.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -58,7 +80,6 @@ def start_folder_ingest(
     """
     hidden = read_hidden(spark, folder, suffix, literal)
     if hidden is not None:
-        rule = options.get("within_batch", incremental.FIRST)
-        ingest_files(hidden, path, embedder, **{**options, "within_batch": rule})
+        ingest_files(hidden, path, embedder, within_batch=FIRST, **options)
     files = stream_folder(spark, folder, suffix, literal, max_files)
     return start_ingest(files, path, checkpoint, embedder, **options)
