@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from nearkin.sources.storage import durable
 
@@ -15,7 +16,12 @@ RANGE_ROWS = 10_000
 
 
 def sums_before(
-    df: DataFrame, order: Sequence[str], value: str, name: str, rows: int, range_rows: int = RANGE_ROWS
+    df: DataFrame,
+    order: Sequence[str | Column],
+    value: str,
+    name: str,
+    rows: int,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Adds ``name``: the sum of ``value`` over all rows that come earlier by ``order``.
 
@@ -37,5 +43,5 @@ def sums_before(
     return placed.withColumn(name, F.col("_start") + F.col("_within")).select(*df.columns, name)
 
 
-def _before(window, value: str):
+def _before(window: WindowSpec, value: str) -> Column:
     return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -423,6 +423,12 @@ WITH {_CORPUS}, {_average_similarity("corpus", ", a.filename, a.text")}
 SELECT filename, round(avg_sim, 6) + 0.0 AS avg_sim, substr(text, 1, 200) || '...' AS preview
 FROM (
   SELECT * FROM averages ORDER BY round(avg_sim, 12) DESC, filename DESC, text DESC LIMIT 10)
+""",
+    "universal_ranks": f"""
+WITH {_CORPUS}, {_average_similarity("corpus", ", a.filename, a.text")}
+SELECT row_id, round(avg_sim, 6) + 0.0 AS avg_sim, filename, row_number() OVER (
+  ORDER BY round(avg_sim, 12) DESC, filename DESC, text DESC, row_id) AS rank
+FROM averages
 """,
     "common_words": f"""
 WITH {_CORPUS}, {_average_similarity("corpus", ", a.text")},

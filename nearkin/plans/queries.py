@@ -458,6 +458,11 @@ def universal_report(spark, sf_dir):
     return report.withColumn("avg_sim", _r6("avg_sim"))
 
 
+def universal_ranks(spark, sf_dir):
+    ranks = reports.universal_ranks(_corpus(spark, sf_dir), range_rows=100)
+    return ranks.withColumn("avg_sim", _r6("avg_sim"))
+
+
 def common_words(spark, sf_dir):
     return words.most_common(reports.common_words(_corpus(spark, sf_dir), 5), 20)
 
@@ -629,6 +634,7 @@ QUERIES: dict[str, Query] = {
         search_files_cosine,
         average_similarity,
         universal_report,
+        universal_ranks,
         common_words,
         word_counts,
         top_words,

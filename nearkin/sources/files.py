@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXTRACTED = "text string, error string"
+#: Files with names that Spark passes over, which the driver lists.
+MAX_HIDDEN = 100_000
 
 # Fixed value: the columns of Spark's binary file source.
 _BINARY_FILE = (
@@ -81,7 +83,7 @@ def read_hidden(
     """The files whose names start with ``_`` or ``.``, if there are any.
 
     Spark's file sources pass over such names without a word. Their paths are
-    listed here and the files are opened in the tasks.
+    listed here, ``MAX_HIDDEN`` at most, and the files are opened in the tasks.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs
     base = hadoop.Path(folder)
@@ -95,6 +97,8 @@ def read_hidden(
             rows.append((status.getPath().toString(), name))
     if not rows:
         return None
+    if len(rows) > MAX_HIDDEN:
+        raise ValueError(f"more than {MAX_HIDDEN} files of {folder} start with '_' or '.'")
     paths = spark.createDataFrame(rows, "path string, filename string")
     paths = paths.repartition(min(len(rows), spark.sparkContext.defaultParallelism))
     return paths.select("path", "filename", _opened(F.col("path")).alias("content"))

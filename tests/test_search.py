@@ -232,3 +232,36 @@ def test_an_empty_table_keeps_its_metric(spark, tmp_path):
         index.build_index(none, path, metric)
         table, found = index.open_index(spark, path)
         assert found == metric and table.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1_000])
+def test_ranks_of_all_documents_with_ties(spark, monkeypatch, few):
+    rows = [(i, f"f{i % 4}", f"text {i % 3}", [1.0, float(i // 12)]) for i in range(60)]
+    rows += [(60, "f1", None, [1.0, 0.0]), (61, None, "text", [1.0, 0.0])]
+    docs = spark.createDataFrame(rows, "row_id long, filename string, text string, embedding array<double>")
+    monkeypatch.setattr(reports, "MAX_BROADCAST_KEYS", few)
+    got = reports.universal_ranks(docs.repartition(3), range_rows=9).collect()
+    sims = {r.row_id: round(r.avg_sim, 12) for r in got}
+
+    def down(text):
+        # descending, nulls last
+        return (text is None, [-ord(c) for c in text or ""] + [1])
+
+    order = sorted(rows, key=lambda r: (-sims[r[0]], down(r[1]), down(r[2]), r[0]))
+    assert [r.row_id for r in sorted(got, key=lambda r: r.rank)] == [r[0] for r in order]
+    assert sorted(r.rank for r in got) == list(range(1, 63))
+
+
+def test_one_map_for_many_queries(spark):
+    rows = [(i, f"f{i}", [float(i), float(i * i % 7)]) for i in range(12)]
+    table = spark.createDataFrame(rows, "row_id long, filename string, v array<double>")
+    hits = spark.createDataFrame(
+        [("a", 1, 3, "f3", 0.12345), ("a", 2, 4, "f4", 0.1), ("b", 1, 3, "f3", 0.9)],
+        "query_id string, rank int, row_id long, filename string, score double",
+    )
+    shown = search.search_map(table, hits).collect()
+    assert len(shown) == 13
+    near = sorted((r.query_id, r.rank, r.row_id, r.score) for r in shown if r.role == "neighbour")
+    assert near == [("a", 1, 3, 0.123), ("a", 2, 4, 0.1), ("b", 1, 3, 0.9)]
+    assert sorted(r.row_id for r in shown if r.query_id is None) == [0, 1, 2, *range(5, 12)]
+    assert all(r.role == "background" for r in shown if r.query_id is None)
