@@ -13,6 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearkin.operators.bloom import KeyFilter
+from nearkin.sources.storage import MAX_BROADCAST_KEYS, durable, settled
+
 # Fixed value: the option of the C library for the size above which it maps memory.
 _MMAP_THRESHOLD = -3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,6 +35,52 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a further column that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id isn't in ``gone`` (one column of different ids); null is an id.
+
+    Few ids are sent to the rows. Of many a Bloom filter is, and only rows that it
+    doesn't clear are joined, so that most rows don't move.
+    """
+    name = unused(docs, "gone")
+    gone = durable(gone.toDF(name), "gone")
+    few, sent = settled(gone, MAX_BROADCAST_KEYS)
+    same = docs[id_col].eqNullSafe(F.col(name))
+    if sent:
+        return docs.join(F.broadcast(few), same, "left_anti")
+    held = KeyFilter(gone, [name], gone.count())
+    asked = docs.withColumn(name, F.col(id_col).cast(gone.schema[name].dataType))
+    may_go = unused(asked, "may_go")
+    asked = asked.withColumn(may_go, held.may_hold())
+    clear = asked.where(~F.col(may_go)).select(docs.columns)
+    unclear = asked.where(F.col(may_go)).select(docs.columns)
+    same = unclear[id_col].eqNullSafe(gone[name])
+    return clear.union(unclear.join(gone, same, "left_anti"))
+
+
+def fetch_rows(rows: DataFrame, wanted: DataFrame, id_col: str, hash_col: str, text_col: str) -> DataFrame:
+    """``wanted`` with the row of ``rows`` that has its id and the hash of its text.
+
+    Few wanted rows are sent out; of many a Bloom filter is, so that texts that nobody
+    wants don't move. Column names of the two must differ but for the id's.
+    """
+    few, sent = settled(wanted, MAX_BROADCAST_KEYS)
+    own = rows.withColumns({"_i": F.col(id_col), "_h": F.xxhash64(text_col)}).drop(id_col)
+    same = F.col("_i").eqNullSafe(F.col(id_col)) & (F.col("_h") == F.col(hash_col))
+    if sent:
+        return own.join(F.broadcast(few), same).drop("_i", "_h")
+    keys = wanted.select(F.col(id_col).alias("_i"), F.col(hash_col).alias("_h"))
+    held = KeyFilter(keys, ["_i", "_h"], keys.count())
+    return own.where(held.may_hold()).join(wanted, same).drop("_i", "_h")
+
+
 def batches_of(
     batches: Iterator[pa.RecordBatch],
 ) -> Iterator[pa.RecordBatch]:

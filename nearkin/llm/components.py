@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearkin.sources.storage import durable
+from nearkin.sources.storage import durable, forget
 
 # Edges that a task contracts at a time.
 _HELD_EDGES = 500_000
@@ -68,17 +68,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = durable(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "stars")
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return hung, low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = durable(down.groupBy("u").agg(F.min("v").alias("m")), "stars")
     moved = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v")))
+    return moved.union(low.select("u", F.col("m").alias("v"))), low
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -99,8 +100,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = durable(named.mapInArrow(_contract, "u long, v long").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        step = durable(_large_star(now).mapInArrow(_contract, "u long, v long"), "edges")
-        now = durable(_small_star(step).distinct(), "edges")
+        large, low = _large_star(now)
+        step = durable(large.mapInArrow(_contract, "u long, v long"), "edges")
+        forget(now, low)
+        small, low = _small_star(step)
+        now = durable(small.distinct(), "edges")
+        forget(step, low)
         before, state = state, _state(now)
         if state == before:
             break
