@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from nearkin.llm.log_templates import dedup_lines
 from tests.llm.cases import clashing, documents
 
@@ -31,6 +33,34 @@ def test_variable_fields(spark):
     assert [g[3] for g in kept(spark, blanks)] == [0, 1, 1, 1]
 
 
+def test_several_templates_in_a_leaf(spark):
+    words = [f"{a}{b}" for a in "bdfgklmnpr" for b in ("asa", "ele", "iro", "omu")]
+    desks = [f"Please contact our {w} desk for help today" for w in words]
+    more = [f"Please contact our {w} when you need more" for w in words[:30]]
+    last = [f"Please contact our {w} if all has failed" for w in words[:4]]
+    got = sorted(kept(spark, list(enumerate(desks + more + last))))
+    assert [g[3] for g in got] == [0] + 39 * [1] + [0] + 29 * [1] + [0] + 3 * [1]
+    # the same with a token that two of them share
+    shared = [line.replace("more", "today") for line in more]
+    got = sorted(kept(spark, list(enumerate(desks + shared))))
+    assert [g[3] for g in got] == [0] + 39 * [1] + [0] + 29 * [1]
+
+
+def test_long_lines_without_blanks(spark):
+    line = "本站所有内容均为原创未经许可不得转载或用于任何商业用途谢谢您的理解和配合支持"
+    got = kept(spark, [(i, f"{line}\n短行{i}\n短行") for i in range(4)])
+    assert [g[3] for g in got] == [0, 1, 1, 1]
+
+
+def test_own_counts_stay(spark):
+    docs = clashing(documents(spark))
+    for name in ("_doc", "_dh", "_gone", "owner", "LOST", "part", "counts", "pos", "t"):
+        docs = docs.withColumn(name, F.lit(7))
+    got = dedup_lines(docs, counts=False)
+    assert got.columns == docs.columns
+    assert {r.n_lines for r in got.collect()} == {r.owner for r in got.collect()} == {7}
+
+
 def test_unlike_lines_of_a_leaf_stay(spark):
     texts = [(i, f"It was the {a} {b} {c} {d} {e}") for i, (a, b, c, d, e) in
              enumerate(["abcde", "fghij", "klmno", "pqrst", "uvwxy"])]
