@@ -362,6 +362,28 @@ def _small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
 # -- scores -----------------------------------------------------------------------
 
 
+def _sides(found: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with their counts, and strings with their logs in the order of the strings.
+
+    Taken from one batch after the other, so that there is no second copy of them all.
+    """
+    n = found.num_rows - found["key"].null_count
+    keys, lps, at = np.empty(n, np.int64), np.empty(n), 0
+    words, counts = [pa.array([], pa.binary())], [np.empty(0)]
+    for batch in found.select(["key", "word", "lp"]).to_batches():
+        is_string = batch["key"].is_valid().to_numpy(zero_copy_only=False)
+        lp, more = batch["lp"].to_numpy(), at + int(is_string.sum())
+        keys[at:more], lps[at:more] = batch["key"].drop_null().to_numpy(), lp[is_string]
+        at = more
+        words.append(batch["word"].filter(pa.array(~is_string)))
+        counts.append(lp[~is_string])
+    order = np.argsort(keys)
+    keys = keys[order]
+    lps = lps[order]
+    listed = pa.concat_arrays([w.cast(pa.binary()) for w in words]).cast(pa.string())
+    return listed, np.concatenate(counts), keys, lps
+
+
 def score_texts(
     docs: DataFrame,
     train: str,
@@ -410,14 +432,8 @@ def score_texts(
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         release_memory()
-        found = found.select(["key", "word", "lp"])
-        is_word = found["key"].is_null()
-        table = found.filter(is_word)
-        listed = table["word"].combine_chunks().cast(pa.string())
-        count = table["lp"].to_numpy()
-        table = found.filter(pc.invert(is_word)).select(["key", "lp"]).sort_by("key")
-        keys, lps = table["key"].to_numpy(), table["lp"].to_numpy()
-        del table, found, is_word
+        listed, count, keys, lps = _sides(found)
+        del found
         release_memory()
         end = log10((sums.n + 0.5) / unit)
         total, sizes, n_tokens, n_known, base = ([np.empty(0)] for _ in range(5))
