@@ -27,7 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
-from nearkin.llm.common import IdStore, as_bytes, batches_of, read, task_cache, text_slices
+from nearkin.llm.common import (
+    IdStore,
+    as_bytes,
+    batches_of,
+    read,
+    release_memory,
+    task_cache,
+    text_slices,
+)
 
 BLANK = "▁"
 _NONE = np.int64(1 << 40)
@@ -419,6 +427,7 @@ def encode_pieces(
     at = kept.index(text_col) if text_col in kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # what tasks of other kinds left in this worker
         model, store = sent.value, task_cache().setdefault(path, IdStore(_MEMO))
         for whole in batches_of(batches):
             row = whole["row"]
