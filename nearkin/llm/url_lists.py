@@ -18,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import read
+from nearkin.llm.common import read, unused
 from nearkin.sources.storage import durable
 
 ADD, REMOVE = "add", "remove"
+#: Labels of the longest host name there can be.
+MAX_LABELS = 127
 _END = "9999-12-31"
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
 
@@ -32,23 +34,29 @@ def url_host(url: Column) -> Column:
     return F.rtrim(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit("."))
 
 
-def url_patterns(url: Column) -> Column:
+def url_patterns(url: Column, depths: list[int] | None = None) -> Column:
     """Patterns that would list a URL: ``b.org``, ``a.b.org``, ``a.b.org/x/y``, ...
 
-    A host has two labels at least; a beginning of a path ends with a whole
-    segment. Null and unreadable URLs have no patterns.
+    A host has two labels at least and ``MAX_LABELS`` at most, or is an address in
+    brackets as a whole; a beginning of a path ends with a whole segment. With
+    ``depths`` only beginnings of so many segments are told, so that a very long path
+    has few. Null and unreadable URLs have no patterns.
     """
-    labels = F.split(url_host(url), r"\.")
+    host = url_host(url)
+    labels = F.split(host, r"\.")
     n = F.size(labels)
-    hosts = F.transform(
-        F.when(n >= 2, F.sequence(F.lit(1), n - 1)),
+    parents = F.transform(
+        F.when((n >= 2) & (n <= MAX_LABELS), F.sequence(F.lit(1), n - 1)),
         lambda i: F.array_join(F.slice(labels, i, n), "."),
     )
+    hosts = F.when(host.startswith("["), F.array(host)).otherwise(parents)
     segments = F.filter(F.split(F.regexp_extract(url, _PATH, 1), "/"), lambda s: s != "")
-    paths = F.transform(
-        F.sequence(F.lit(0), F.size(segments)),
-        lambda i: F.concat_ws("/", F.lit(""), F.slice(segments, 1, i)),
-    )
+    if depths is None:
+        wanted = F.sequence(F.lit(0), F.size(segments))
+    else:
+        known = F.array(*[F.lit(d) for d in depths]).cast("array<int>")
+        wanted = F.filter(known, lambda d: d <= F.size(segments))
+    paths = F.transform(wanted, lambda i: F.concat_ws("/", F.lit(""), F.slice(segments, 1, i)))
     both = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     return F.array_distinct(both)
 
@@ -58,10 +66,12 @@ def list_intervals(entries: DataFrame) -> DataFrame:
 
     ``valid_to`` is the first day it holds no more. Of entries for a pattern on
     one day an ``add`` wins. Entries with a null, or another action than ``add``
-    and ``remove``, say nothing; patterns lose upper case and closing slashes and
-    dots. Repeated entries change nothing.
+    and ``remove``, say nothing; patterns lose closing slashes and dots, and upper case
+    in the host alone, as paths are told apart by it. Repeated entries change nothing.
     """
-    pattern = F.rtrim(F.lower("pattern"), F.lit("/."))
+    host = F.substring_index("pattern", "/", 1)
+    rest = F.substring(F.col("pattern"), F.length(host) + 1, F.length("pattern"))
+    pattern = F.rtrim(F.concat(F.lower(host), rest), F.lit("/."))
     said = entries.select(
         "list", pattern.alias("pattern"), "action", F.col("day").cast("date").alias("day")
     ).where(F.col("action").isin(ADD, REMOVE))
@@ -93,21 +103,26 @@ def judge_captures(
     names = ("blocked", "n_matches", "pattern", "lists")
     captures = captures.drop(*names)
     day = F.col(day_col).cast("date")
-    seen = captures.select(F.col(url_col).alias("_url"), day.alias("_day")).distinct()
-    keyed = seen.select("_url", "_day", F.explode(url_patterns(F.col("_url"))).alias("key"))
-    asked = keyed.select("key", "_day").distinct()
-    intervals = list_intervals(entries).withColumnRenamed("pattern", "key")
-    active = asked.join(intervals, "key").where("_day >= valid_from AND _day < valid_to")
-    active = durable(active.select("key", "_day", "list"), "active")
-    matched = keyed.join(active, ["key", "_day"])
-    verdicts = matched.groupBy("_url", "_day").agg(
+    seen = captures.select(F.col(url_col).alias("url"), day.alias("on_day")).distinct()
+    intervals = durable(list_intervals(entries).withColumnRenamed("pattern", "key"), "intervals")
+    # one number for each depth of path that the lists have
+    segments = F.length("key") - F.length(F.replace("key", F.lit("/"), F.lit("")))
+    depths = intervals.agg(F.sort_array(F.collect_set(segments))).first()[0]
+    patterns = url_patterns(F.col("url"), depths)
+    keyed = seen.select("url", "on_day", F.explode(patterns).alias("key"))
+    asked = keyed.select("key", "on_day").distinct()
+    active = asked.join(intervals, "key").where("on_day >= valid_from AND on_day < valid_to")
+    active = durable(active.select("key", "on_day", "list"), "active")
+    matched = keyed.join(active, ["key", "on_day"])
+    verdicts = matched.groupBy("url", "on_day").agg(
         F.count("*").alias("n_matches"),
         F.min(F.struct((-F.length("key")).alias("n"), "key"))["key"].alias("pattern"),
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"),
     )
-    verdicts = durable(verdicts, "verdicts")
-    same = (F.col(url_col) == F.col("_url")) & (day == F.col("_day"))
-    judged = captures.join(verdicts, same, "left").drop("_url", "_day")
+    own = [unused(captures, c) for c in ("capture_url", "capture_day")]
+    verdicts = durable(verdicts.withColumnsRenamed(dict(zip(("url", "on_day"), own, strict=True))), "verdicts")
+    same = (F.col(url_col) == F.col(own[0])) & (day == F.col(own[1]))
+    judged = captures.join(verdicts, same, "left").drop(*own)
     return judged.select(
         *captures.columns,
         F.col("n_matches").isNotNull().alias("blocked"),

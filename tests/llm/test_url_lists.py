@@ -19,6 +19,7 @@ def day(n):
         ("http://b.org", ["b.org"]),
         ("http://b.org./", ["b.org"]),
         ("ftp://localhost/x", None),
+        ("http://[2001:DB8::1]:80/x", ["[2001:db8::1]", "[2001:db8::1]/x"]),
         ("no url", None),
         ("", None),
         (None, None),
@@ -61,3 +62,31 @@ def test_some_are_blocked_in_the_query(spark):
     judged = op2_url_lists(spark, "/root/testdata/sf0.001")
     counts = {r.blocked: r["count"] for r in judged.groupBy("blocked").count().collect()}
     assert counts[True] and counts[False]
+
+
+def test_paths_keep_their_case_and_hosts_do_not(spark):
+    entries = spark.createDataFrame(
+        [("l", "Example.ORG/Docs/", "add", DAY), ("l", "B.org", "add", DAY)],
+        "list string, pattern string, action string, day date",
+    )
+    urls = ["http://example.org/Docs/x", "http://EXAMPLE.org/docs/x", "https://a.b.ORG/Z", "http://example.org"]
+    captures = spark.createDataFrame([(u, DAY) for u in urls], "url string, fetched_on date")
+    for name in ("_url", "_day", "capture_url", "key", "day"):
+        captures = captures.withColumn(name, F.lit(7))
+    judged = judge_captures(captures, entries)
+    assert judged.columns == [*captures.columns, "blocked", "n_matches", "pattern", "lists"]
+    assert {r.url: r.blocked for r in judged.collect()} == dict(zip(urls, [True, False, True, False]))
+    assert {r._url for r in judged.collect()} == {7}
+
+
+def test_a_very_long_url_has_as_many_patterns_as_the_list_has_depths(spark):
+    url = "http://a.b.org/" + "/".join(f"segment{i}" for i in range(1_500))
+    df = spark.createDataFrame([(url,)], "u string")
+    few = df.select(url_patterns(F.col("u"), [0, 1, 2_000]).alias("p")).first().p
+    assert few == ["a.b.org", "a.b.org/segment0", "b.org", "b.org/segment0"]
+    entries = spark.createDataFrame(
+        [("l", "b.org/segment0/segment1", "add", DAY)], "list string, pattern string, action string, day date"
+    )
+    captures = spark.createDataFrame([(url, DAY)], "url string, fetched_on date")
+    assert judge_captures(captures, entries).first().pattern == "b.org/segment0/segment1"
+    assert judge_captures(captures, entries.where("1 = 0")).first().blocked is False
