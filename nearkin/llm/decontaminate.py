@@ -25,17 +25,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import batches_of, read
+from nearkin.llm.common import batches_of, read, unused
 from nearkin.sources.storage import durable
 
 #: Share of an item's words that may be edited.
 ERROR_RATE = 0.2
-#: Items of fewer words say too little to tell a leak from chance.
+#: Items of fewer words say too little to tell a leak with edits from chance.
 MIN_ITEM_WORDS = 6
+#: Items of fewer words say too little to tell any leak from chance.
+MIN_EXACT_WORDS = 3
 #: Characters of test items that go to the tasks at a time.
 BLOCK_CHARS = 8 << 20
 
-_WORD = re.compile(r"\w+")
+# Ranges of scripts without spaces, as for chunks, whose characters are words.
+_UNSPACED = (
+    "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d"
+    "\U00020000-\U0003ffff"
+)
+_WORD = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _LEAK = "item_id:bigint,distance:int,first_word:int,last_word:int"
 _LEAKS = pa.list_(
     pa.struct(
@@ -91,14 +98,20 @@ def pieces_of(words: list[str], budget: int) -> list[tuple[int, list[str]]]:
 class LeakFinder:
     """Finds test items in texts."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_words: int):
+    def __init__(
+        self,
+        items: list[tuple[int | None, str]],
+        rate: float,
+        min_words: int,
+        min_exact: int = MIN_EXACT_WORDS,
+    ):
         self.items = []
         found: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < min_words:
+            if len(words) < min_exact:
                 continue
-            budget = int(len(words) * rate)
+            budget = int(len(words) * rate) if len(words) >= min_words else 0
             masks: dict[str, int] = defaultdict(int)
             for i, word in enumerate(words):
                 masks[word] |= 1 << i
@@ -175,28 +188,30 @@ def with_leaks(
     item_text_col: str = "text",
     error_rate: float = ERROR_RATE,
     min_item_words: int = MIN_ITEM_WORDS,
+    min_exact_words: int = MIN_EXACT_WORDS,
     block_chars: int = BLOCK_CHARS,
+    leaks_col: str = "leaks",
 ) -> DataFrame:
     """All columns of ``docs`` and ``leaks``, the test items found in each text.
 
-    ``leaks`` is an array of ``item_id, distance, first_word, last_word``, empty
+    ``leaks`` (or ``leaks_col``) is an array of ``item_id, distance, first_word, last_word``, empty
     where there is none; words are counted from 0, and where a distance allows
     several stretches the one of the item's own length at the first end is told.
     Null texts, of documents or items, match nothing; of items that are the same
     text under several ids each is reported; rows may repeat. Items under
-    ``min_item_words`` words are not looked for. A column ``leaks`` of ``docs``
-    itself is replaced.
+    ``min_item_words`` words are looked for without edits, those under
+    ``min_exact_words`` not at all. A column ``leaks`` of ``docs`` itself is replaced.
     """
     none = F.array().cast(f"array<struct<{_LEAK}>>")
-    result = docs.drop("leaks").withColumn("leaks", none)
+    result = docs.drop(leaks_col).withColumn(leaks_col, none)
     schema, names = result.schema, result.columns
     for n, block in enumerate(_blocks(items, item_id_col, item_text_col, block_chars)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = LeakFinder(shared.value, error_rate, min_item_words)
+            finder = LeakFinder(shared.value, error_rate, min_item_words, min_exact_words)
             for batch in batches_of(batches):
-                before = batch["leaks"].to_pylist()
+                before = batch[leaks_col].to_pylist()
                 texts = batch[text_col].to_pylist()
                 leaks = [
                     old + [dict(zip(_LEAKS.value_type.names, x, strict=True)) for x in new]
@@ -215,7 +230,9 @@ def with_leaks(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their own columns."""
-    return with_leaks(docs, items, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    name = unused(docs, "leaks")
+    found = with_leaks(docs, items, leaks_col=name, **options)
+    return found.where(F.size(name) == 0).select(*docs.columns)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,8 @@ def test_equals_brute_force(spark):
         found = []
         for i, item in items:
             pattern = words_of(item or "")
-            if len(pattern) >= 6 and (k := distance(pattern, words_of(t or ""))) <= int(len(pattern) * 0.2):
+            budget = int(len(pattern) * 0.2) if len(pattern) >= 6 else 0
+            if len(pattern) >= 3 and (k := distance(pattern, words_of(t or ""))) <= budget:
                 found.append((i, k))
         want.append((d, sorted(found, key=repr)))
     frame = spark.createDataFrame(items, "item_id long, text string")
@@ -75,3 +76,21 @@ def test_only_leaks_are_dropped(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7, 8, 9]
     assert drop_leaks(docs, items.limit(0)).count() == docs.count()
     assert drop_leaks(docs.limit(0), items).count() == 0
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = spark.createDataFrame(
+        [(1, "Name the capital"), (2, "水の沸点は何度ですか"), (3, "two words"), (4, "ok")],
+        "item_id long, text string",
+    )
+    docs = documents(spark, [
+        (1, "He said: name the capital, now"), (2, "name a capital"), (3, "問題。水の沸点は何度ですか？答え"),
+        (4, "問題。水の沸点は十度ですか？答え"), (5, "two words, ok"), (6, "水が好きです"),
+    ])
+    found = {r.doc_id: [x.item_id for x in r.leaks] for r in with_leaks(docs, items).collect()}
+    # ten characters may differ in two, three words in none
+    assert found == {1: [1], 2: [], 3: [2], 4: [2], 5: [], 6: []}
+    mine = docs.withColumn("leaks", docs["doc_id"] * 10)
+    kept = drop_leaks(mine, items)
+    assert kept.columns == mine.columns
+    assert sorted((r.doc_id, r.leaks) for r in kept.collect()) == [(2, 20), (5, 50), (6, 60)]
