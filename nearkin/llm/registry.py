@@ -12,7 +12,7 @@ from nearkin.llm.decontaminate import op1_decontamination
 from nearkin.llm.log_templates import OP3_SQL, op3_log_templates
 from nearkin.llm.multi_index import op11_multi_index
 from nearkin.llm.pieces import op5_piece_suffix_arrays
-from nearkin.llm.pivots import op4_pivot_permutations
+from nearkin.llm.pivots import OP4_SQL, op4_pivot_permutations
 from nearkin.llm.repeats import op7_suffix_array_family
 from nearkin.llm.simhash import op10_simhash_near_dedup
 from nearkin.llm.token_shards import op9_token_shards
@@ -42,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     op2_url_lists.__name__: OP2_SQL,
     op3_log_templates.__name__: OP3_SQL,
+    op4_pivot_permutations.__name__: OP4_SQL,
     op13_conversation_trie.__name__: OP13_SQL,
 }

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearkin.llm.common import as_bytes, batches_of, read
+from nearkin.llm.common import as_bytes, batches_of, read, unused
 from nearkin.llm.components import connected_components
 from nearkin.sources.storage import durable
 
@@ -127,8 +127,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     groups = simhash_groups(docs, id_col, text_col)
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "kept")
+    kept = kept.select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col(name)), "left_semi")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

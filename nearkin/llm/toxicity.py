@@ -250,8 +250,8 @@ def _training_rows(
         F.max((F.col(label_col) > 0).cast("int")).alias("y")
     )
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    rows_of = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id"))
-    return rows_of.select(docs[text_col].alias("t"), "y")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
+    return texts.join(F.broadcast(chosen), "_id").select("t", "y")
 
 
 def fit_toxicity(

@@ -26,7 +26,9 @@ def documents(spark, texts=TEXTS):
 def clashing(df):
     """More columns, with names that operators might use themselves."""
     names = ["id", "t", "fp", "component_id", "key", "block", "score", "features", "leaks", "ids",
-             "n", "n_lines", "_row", "probability", "doc", "dh", "runs", "blocked", "p"]
+             "n", "n_lines", "_row", "probability", "doc", "dh", "runs", "blocked", "p",
+             "_doc", "_dh", "_gone", "_kept", "kept", "gone", "y", "_id", "_t", "_url", "_day",
+             "capture_url", "node", "root", "v"]
     for name in names:
         df = df.withColumn(name, F.lit(7))
     return df
