@@ -269,7 +269,10 @@ class Search:
         dealt = stored.mapInArrow(deal, T.StructType(fields))
         salt = F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int").alias("_salt")
         each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-        asked = self.messages(queries, floors)
+        asked = durable(self.messages(queries, floors), "messages")
+        # rows that no query visits stay where they are; blocks are few beside rows
+        visited = asked.select("_block").distinct()
+        dealt = dealt.join(F.broadcast(visited), "_block", "left_semi")
 
         def null(df: DataFrame, c: str) -> object:
             return F.lit(None).cast(df.schema[c].dataType).alias(c)
