@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 MAX_TOKENS = 2048
 BATCH_SIZE = 256
+#: Bytes of text that are held as Python strings at a time, or one document.
+PART_BYTES = 1 << 20
 NO_TEXT = "nothing to embed: the text is blank"
 
 CACHE_SCHEMA = (
@@ -48,7 +51,7 @@ class HashedWords:
     Deterministic and free of any service, for tests and offline use.
     """
 
-    MEMO = 1 << 18
+    MEMO = 1 << 16
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -132,6 +135,17 @@ def _pool(
     return out
 
 
+def _parts(chunks: pa.Array) -> Iterator[pa.Array]:
+    """A batch of documents' chunks in parts of at most ``PART_BYTES``, or one document."""
+    sizes = pc.fill_null(pc.binary_length(chunks.values), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[chunks.offsets.to_numpy()]
+    lo = 0
+    while lo < len(chunks):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PART_BYTES, "right")) - 1)
+        yield chunks.slice(lo, hi - lo)
+        lo = hi
+
+
 def pooled_embedding(
     chunks: Column, embedder: Embedder, batch_size: int = BATCH_SIZE
 ) -> Column:
@@ -141,23 +155,27 @@ def pooled_embedding(
     embedded beside it is kept.
     """
 
+    def embedded(part: pa.Array) -> pa.Array:
+        documents = part.to_pylist()
+        full = [i for i, d in enumerate(documents) if d]
+        vectors: list = [None] * len(documents)
+        errors: list = [None if d else NO_TEXT for d in documents]
+        pooled = _pool(embedder, [documents[i] for i in full], batch_size)
+        for i, v in zip(full, pooled, strict=True):
+            if isinstance(v, Exception):
+                errors[i] = f"embedding failed: {type(v).__name__}: {v}"
+            else:
+                vectors[i] = v
+        return pa.StructArray.from_arrays(
+            [pa.array(vectors, _LIST), pa.array(errors, pa.string())],
+            names=["embedding", "error"],
+        )
+
     @F.arrow_udf(EMBEDDED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            documents = batch.to_pylist()
-            full = [i for i, d in enumerate(documents) if d]
-            vectors: list = [None] * len(documents)
-            errors: list = [None if d else NO_TEXT for d in documents]
-            pooled = _pool(embedder, [documents[i] for i in full], batch_size)
-            for i, v in zip(full, pooled, strict=True):
-                if isinstance(v, Exception):
-                    errors[i] = f"embedding failed: {type(v).__name__}: {v}"
-                else:
-                    vectors[i] = v
-            yield pa.StructArray.from_arrays(
-                [pa.array(vectors, _LIST), pa.array(errors, pa.string())],
-                names=["embedding", "error"],
-            )
+            for part in _parts(batch):
+                yield embedded(part)
 
     # never evaluated twice, whatever filter is put on its result
     return run.asNondeterministic()(chunks)
