@@ -8,8 +8,9 @@ query's own, nearer than the plane between the two. Only cells that these bounds
 open are looked at for the second, whole answer.
 
 Queries are never gathered: they are sent to the cells they have to visit and stream past
-a cell's vectors, of which a task holds a block of bounded size. The driver sees the pivots
-and a few numbers for each.
+their vectors. Cells that lie together share a block of bounded size, a large one has
+several, and a task holds one block, so a query is sent out as often as there are blocks
+at most, however many cells are open. The driver sees the pivots and a few numbers for each.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BLOCK_VALUES = 1 << 20
 #: Distances are sums of squares that may cancel; bounds give way by this share of them.
 SLACK = 1e-7
 _MOST_SALT_QUERIES = 1 << 20
+#: Groups of a block and a share of the queries for each core, so that all have work.
+_GROUPS = 8
 _STEP = 256
 _QUERY_STEP = 1_024
 _ZERO_CELL = -1
@@ -95,17 +98,21 @@ class Cells:
         self.n, self.low, self.high = np.zeros(p, np.int64), np.zeros(p), np.full(p, -np.inf)
         self.n[cell], self.low[cell], self.high[cell] = n, low, high
         self.parts = np.maximum(1, -(-self.n // rows))
-        # the last block is that of the zero vectors
-        self.block = np.cumsum(self.parts) - self.parts
+        self.block, at = np.zeros(p, np.int64), 0
+        for group in together(self.pivots, self.n, rows):
+            self.block[group] = at
+            at += int(self.parts[group].max())
 
     def blocks_of(self, cells: np.ndarray) -> np.ndarray:
+        """The blocks of some cells, each once."""
         parts = self.parts[cells]
         shift = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        return np.repeat(self.block[cells], parts) + shift
+        return np.unique(np.repeat(self.block[cells], parts) + shift)
 
     @property
     def zero_block(self) -> int:
-        return int(self.block[-1] + self.parts[-1])
+        """The last block, which is that of the zero vectors."""
+        return int((self.block + self.parts).max())
 
     def first(self, away: np.ndarray, k: int) -> np.ndarray:
         """The nearest cells that have k vectors, from distances to the pivots."""
@@ -129,6 +136,21 @@ class Cells:
         return np.flatnonzero(filled & (ball <= reach + slack) & (plane <= reach + slack + planar))
 
 
+def together(pivots: np.ndarray, n: np.ndarray, rows: int) -> Iterator[np.ndarray]:
+    """Groups of neighbouring cells of at most ``rows`` vectors; larger cells are alone."""
+    left = [np.arange(len(n))]
+    while left:
+        group = left.pop()
+        if len(group) == 1 or n[group].sum() <= rows:
+            yield group
+            continue
+        at = pivots[group]
+        group = group[np.argsort(at[:, int(np.argmax(at.var(axis=0)))], kind="stable")]
+        half = int(np.searchsorted(np.cumsum(n[group]), n[group].sum() / 2)) + 1
+        half = min(half, len(group) - 1)
+        left += [group[half:], group[:half]]
+
+
 def reach_of(near: np.ndarray, metric: str) -> np.ndarray:
     """The distance that goes with the closeness of a k-th neighbour."""
     square = 2 - 2 * (near - 1e-11) if metric == COSINE else -near * (1 + 1e-11)
@@ -192,14 +214,25 @@ class Search:
         some = cell >= 0
         cells = Cells(pivots, int(n[~some].sum()))
         per_block = max(64, BLOCK_VALUES // max(1, pivots.shape[1]))
-        # at least a few blocks for each core, so that small tables are shared out too
-        per_block = min(per_block, max(64, rows // (4 * spark.sparkContext.defaultParallelism)))
+        # small tables are shared out too: by blocks and, as much, by shares of the queries
+        self.groups = _GROUPS * spark.sparkContext.defaultParallelism
+        per_block = min(per_block, max(64, ceil(rows / sqrt(self.groups))))
         cells.fill(cell[some].astype(np.int64), n[some], low[some], high[some], per_block)
         self.cells = cells
         self.sent: Broadcast = spark.sparkContext.broadcast(cells.arrays())
 
+    def salts(self, queries: int) -> int:
+        """Into how many shares queries are dealt, so that there are enough groups."""
+        wanted = min(ceil(self.groups / (self.cells.zero_block + 1)), ceil(queries / _QUERY_STEP))
+        return max(1, wanted, ceil(queries / _MOST_SALT_QUERIES))
+
     def messages(self, queries: DataFrame, floors: DataFrame | None) -> DataFrame:
-        """``_block, _salt, query_id, _q, _floor``: each query for each block it visits.
+        """``_block, query_id, _q, _floor``: each query for each block it visits."""
+        routes = self.routes(queries, floors)
+        return routes.select(F.explode("_blocks").alias("_block"), "query_id", "_q", "_floor")
+
+    def routes(self, queries: DataFrame, floors: DataFrame | None) -> DataFrame:
+        """``_blocks, query_id, _q, _floor``: each query with the blocks it visits.
 
         ``floors`` has the closeness of the k-th found, by query; without them the
         nearest cells are visited that have k vectors.
@@ -224,7 +257,7 @@ class Search:
                 turned = metric == COSINE
                 for lo in range(0, len(q), _STEP):
                     away = cells.to_pivots(q[lo : lo + _STEP])
-                    rows, blocks = [], []
+                    rows, blocks, sizes = [], [], []
                     for r in range(lo, min(lo + _STEP, len(q))):
                         if not np.isfinite(q[r]).all():
                             continue  # never near to anything
@@ -239,15 +272,17 @@ class Search:
                         # zero vectors have cosine 0 to all
                         if cells.zeros and (not second or np.isnan(near[r]) or near[r] <= 1e-11):
                             found = np.append(found, cells.zero_block)
-                        rows.append(np.full(len(found), r))
+                        rows.append(r)
                         blocks.append(found)
+                        sizes.append(len(found))
                     if rows:
-                        row = pa.array(np.concatenate(rows))
+                        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                         block = pa.array(np.concatenate(blocks).astype(np.int32))
-                        taken = batch.take(row)
-                        yield pa.RecordBatch.from_arrays([block, *taken.columns], names=["_block", *batch.schema.names])
+                        block = pa.ListArray.from_arrays(ends, block)
+                        taken = batch.take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([block, *taken.columns], names=["_blocks", *batch.schema.names])
 
-        schema = T.StructType([T.StructField("_block", T.IntegerType()), *asked.schema])
+        schema = T.StructType([T.StructField("_blocks", T.ArrayType(T.IntegerType())), *asked.schema])
         return asked.mapInArrow(run, schema)
 
     def found(self, queries: DataFrame, floors: DataFrame | None, salts: int, schema: T.StructType) -> DataFrame:
@@ -269,7 +304,8 @@ class Search:
         dealt = stored.mapInArrow(deal, T.StructType(fields))
         salt = F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int").alias("_salt")
         each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-        asked = durable(self.messages(queries, floors), "messages")
+        asked = durable(self.routes(queries, floors), "routes")
+        asked = asked.select(F.explode("_blocks").alias("_block"), "query_id", "_q", "_floor")
         # rows that no query visits stay where they are; blocks are few beside rows
         visited = asked.select("_block").distinct()
         dealt = dealt.join(F.broadcast(visited), "_block", "left_semi")
@@ -285,7 +321,9 @@ class Search:
             "_block", salt, F.lit(True).alias("_asks"),
             *(null(dealt, c) for c in (*names, "_v")), "query_id", "_q", "_floor",
         )
-        both = rows.union(asked).repartition("_block", "_salt")
+        # by number, as small groups may take long: partitions aren't merged by their bytes
+        groups = salts * (self.cells.zero_block + 1)
+        both = rows.union(asked).repartition(groups, "_block", "_salt")
         tools, carry, id_col, k, metric = self.tools, self.carry, self.id_col, self.k, self.metric
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +383,7 @@ def search_cells(
     search = Search(left, id_col, carry, metric, k, tools)
     if search.cells is None:
         return left.sparkSession.createDataFrame([], schema)
-    salts = max(1, ceil(queries.count() / _MOST_SALT_QUERIES))
+    salts = search.salts(queries.count())
     first = durable(search.found(queries, None, salts, schema), "first-hits")
     order = Window.partitionBy("query_id").orderBy(F.desc("_near"), id_col)
     ranked = first.select("query_id", "_near", id_col).withColumn("_rank", F.row_number().over(order))

@@ -42,6 +42,8 @@ DEEPER = 4
 
 # Cells of one score block, and bytes of one exact re-evaluation.
 _CELLS = 4_000_000
+# Rows that are evaluated for a query without a look at the k-th.
+_FEW = 32
 _EXACT_BYTES = 32 << 20
 
 
@@ -71,10 +73,13 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def _closeness(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     """n x m closeness (higher is nearer) as one matrix product."""
-    near = x @ q.T
     if metric == L2:
-        near = 2 * near - (x * x).sum(1)[:, None] - (q * q).sum(1)[None, :]
-    return np.nan_to_num(near, nan=-np.inf)
+        near = (2 * x) @ q.T
+        near -= (x * x).sum(1)[:, None]
+        near -= (q * q).sum(1)[None, :]
+    else:
+        near = x @ q.T
+    return near if np.isfinite(near.sum()) else np.nan_to_num(near, nan=-np.inf)
 
 
 def _exact(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -151,13 +156,23 @@ class _TopK:
 
     def _add_queries(self, rows: pa.Table, x: np.ndarray, lo: int, hi: int) -> None:
         q = self.q[lo:hi]
-        near = _closeness(x, q, self.metric)
+        near = _closeness(q, x, self.metric)
         slack = 2 * _rounding_slack(x, q, self.metric)
         floor = self.floor[lo:hi]
-        if len(x) > self.k:
-            kth = np.partition(near, len(x) - self.k, axis=0)[len(x) - self.k]
-            floor = np.maximum(floor, kth)
-        row, query = np.nonzero((near >= floor - slack) & (near > -np.inf))
+        found = near >= (floor - slack)[:, None]
+        # where a floor leaves many the k-th of these rows is one, which takes longer to find
+        many = np.flatnonzero(np.count_nonzero(found, axis=1) > max(self.k, _FEW))
+        if len(many):
+            some = near[many]
+            if len(x) > self.k:
+                kth = np.partition(some, len(x) - self.k, axis=1)[:, len(x) - self.k]
+                floor = np.maximum(floor[many], kth)
+            else:
+                floor = floor[many]
+            found[many] = some >= (floor - slack)[:, None]
+        query, row = np.divmod(np.flatnonzero(found), len(x))
+        real = near[query, row] > -np.inf
+        row, query = row[real], query[real]
         step = max(1, _EXACT_BYTES // (8 * max(1, x.shape[1])))
         for i in range(0, len(row), step):
             r, c = row[i : i + step], query[i : i + step]

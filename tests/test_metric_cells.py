@@ -99,3 +99,30 @@ def test_few_copies_leaves_the_smallest_ids(spark):
     x = [[i % 3, 0] for i in range(90)] + [[9, i] for i in range(5)]
     kept = metric_cells.few_copies(table(spark, x), "v", "row_id", 4)
     assert sorted(r.row_id for r in kept.collect()) == [*range(12), *range(90, 95)]
+
+
+def test_queries_go_to_blocks_and_not_to_each_open_cell(spark):
+    """Without structure all cells are open; the cells of a block take one message."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4000, 24))
+    left = table(spark, x).select("row_id", F.col("v").alias("_v"))
+    search = metric_cells.Search(left, "row_id", [], V.L2, 5, neighbors._tools(V.L2))
+    queries = asked(spark, x[::100])
+    floors = queries.select("query_id", F.lit(-1000.0).alias("_floor"))
+    cells = int((search.cells.n > 0).sum())
+    sent = search.messages(queries, floors)
+    assert sent.count() == sent.distinct().count()
+    assert sent.count() < 0.5 * cells * 40
+    assert search.salts(100_000) > 1
+
+
+@pytest.mark.parametrize("rows", [1, 30, 1000])
+def test_cells_that_lie_together_share_blocks(rows):
+    rng = np.random.default_rng(10)
+    n = rng.integers(1, 60, 50)
+    groups = list(metric_cells.together(rng.normal(size=(50, 3)), n, rows))
+    assert sorted(np.concatenate(groups)) == list(range(50))
+    assert all(len(g) == 1 or n[g].sum() <= rows for g in groups)
+    cells = metric_cells.Cells(rng.normal(size=(50, 3)))
+    cells.fill(np.arange(50), n, np.zeros(50), np.ones(50), rows)
+    assert len(cells.blocks_of(np.arange(50))) == cells.zero_block
