@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from nearkin.llm import log_templates
 from nearkin.llm.log_templates import dedup_lines
 from tests.llm.cases import clashing, documents
 
@@ -82,3 +83,12 @@ def test_repeated_rows_and_columns(spark):
     assert got.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_dropped"]
     assert got.count() == docs.count() and got.agg({"n_dropped": "sum"}).first()[0] == 0
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_texts_are_hashed_before_they_are_broken(spark, capsys):
+    """Neither a text nor a line is worked on once for each line or condition."""
+    places = log_templates._places(spark.createDataFrame([(1, "a b c\nd")], "doc_id long, text string"), "doc_id", "text")
+    places.explain()
+    above = capsys.readouterr().out.split("Generate")[0]
+    assert "xxhash64(text" not in above and "Filter" not in above
+    assert sorted((r.pos, r.counts, r.th is None) for r in places.collect()) == [(0, True, False), (1, False, True)]
